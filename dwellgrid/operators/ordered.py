@@ -63,6 +63,12 @@ def _by(keys: list[str]):
     return Window.partitionBy(*(keys or [F.lit(0)]))
 
 
+def _backwards(order: list[str]) -> list[Column]:
+    """The reverse order.  Looking ahead is done as looking back in it: a frame
+    that is unbounded ahead is evaluated anew for every row."""
+    return [F.col(c).desc() for c in order]
+
+
 def _in_slices(df: DataFrame, keys: list[str], order: list[str], size: Size, limit: int) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, 2, -(-size.total // limit))
@@ -94,12 +100,12 @@ def running(
     if size.largest <= limit:
         w = _by(keys).orderBy(*order)
         up = w.rowsBetween(Window.unboundedPreceding, 0)
-        down = w.rowsBetween(0, Window.unboundedFollowing)
+        down = _by(keys).orderBy(*_backwards(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(
             "*",
             *[F.sum(c).over(up).alias(n) for n, c in sums.items()],
             *[F.last(c, ignorenulls=True).over(up).alias(n) for n, c in last.items()],
-            *[F.first(c, ignorenulls=True).over(down).alias(n) for n, c in next.items()],
+            *[F.last(c, ignorenulls=True).over(down).alias(n) for n, c in next.items()],
             *[F.lag(c).over(w).alias(n) for n, c in lag.items()],
             *[F.lead(c).over(w).alias(n) for n, c in lead.items()],
         )
@@ -125,26 +131,26 @@ def running(
     )
     wk = _by(keys).orderBy("_slice")
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    after = wk.rowsBetween(1, Window.unboundedFollowing)
+    after = _by(keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
         F.col("_slice").alias("_c_slice"),
         *[F.col(k).alias(f"_c_{k}") for k in keys],
         F.count(F.lit(1)).over(_by(keys)).alias("_c_slices"),
         *[F.sum(f"_s_{n}").over(before).alias(f"_cs_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_cl_{n}") for n in last],
-        *[F.first(f"_n_{n}", ignorenulls=True).over(after).alias(f"_cn_{n}") for n in next],
+        *[F.last(f"_n_{n}", ignorenulls=True).over(after).alias(f"_cn_{n}") for n in next],
         *[F.lag(f"_g_{n}").over(wk).alias(f"_cg_{n}") for n in lag],
         *[F.lead(f"_d_{n}").over(wk).alias(f"_cd_{n}") for n in lead],
     ).where("_c_slices > 1")
 
     w = Window.partitionBy("_slice", *keys).orderBy(*order)
     up = w.rowsBetween(Window.unboundedPreceding, 0)
-    down = w.rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy("_slice", *keys).orderBy(*_backwards(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select(
         "_slice", *df.columns,
         *[F.sum(f"_s_{n}").over(up).alias(f"_s_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(up).alias(f"_l_{n}") for n in last],
-        *[F.first(f"_n_{n}", ignorenulls=True).over(down).alias(f"_n_{n}") for n in next],
+        *[F.last(f"_n_{n}", ignorenulls=True).over(down).alias(f"_n_{n}") for n in next],
         *[F.lag(f"_g_{n}").over(w).alias(f"_g_{n}") for n in lag],
         *[F.lead(f"_d_{n}").over(w).alias(f"_d_{n}") for n in lead],
     )
