@@ -79,7 +79,7 @@ def bracket(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, values
     on_node = F.coalesce(p["t"] == t, F.lit(False))
     width = n["t"] - p["t"]
     ok = on_node | F.coalesce((p[label] == n[label]) & (width <= max_gap_s), F.lit(False))
-    w = F.when(on_node, 1.0).otherwise((t - p["t"]) / width)
+    w = F.when(on_node, 1.0).otherwise(F.try_divide(t - p["t"], width))
     dt = F.abs(t - F.col("_near.t"))
     mix = _lerp_arrays if arrays else _lerp
     held = F.lit(False) if hold_s is None else F.coalesce(~ok & (dt <= hold_s), F.lit(False))
@@ -99,7 +99,7 @@ def hold_ends(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, valu
     """Linear in time between nodes, held before the first and after the last."""
     both = around(rows, time, nodes, node_time, [value], keys, limit)
     p, n, t = F.col("prev"), F.col("next"), F.col(time)
-    w = (t - p["t"]) / (n["t"] - p["t"])
+    w = F.try_divide(t - p["t"], n["t"] - p["t"])
     inside = F.when(p["t"] == n["t"], p[value]).otherwise(_lerp(p[value], n[value], w))
     return both.select(*rows.columns, F.coalesce(inside, p[value], n[value]).alias(value))
 
@@ -195,7 +195,7 @@ def bracket_errors(nodes: DataFrame, time: str, value: str, spans: list[int], li
 
     left, right, own = at(-F.col("_p.j")), at(F.col("_p.m") - F.col("_p.j")), at(F.lit(0))
     w = (own["t"] - left["t"]) / (right["t"] - left["t"])
-    error = F.abs((_lerp(left["v"], right["v"], w) - own["v"]) / own["v"])
+    error = F.abs(F.try_divide(_lerp(left["v"], right["v"], w) - own["v"], own["v"]))
     return got.select(F.col("_p.m").alias("m"), (F.col("k") - F.col("_p.j")).alias("i"), "k", error.alias("error")).where("error IS NOT NULL")
 
 
@@ -206,13 +206,13 @@ def across_gap(nodes: DataFrame, time: str, value: str, tolerance_s: float, limi
     between nodes the same span apart (to within the tolerance)."""
     led = running(nodes.select(time, value), [], [time], lead={"_t1": F.col(time), "_v1": F.col(value)}, limit=limit)
     gap = led.where("_t1 IS NOT NULL").agg(F.max_by(
-        F.struct(F.col(time).alias("before"), F.col("_t1").alias("after"), (F.col("_v1") / F.col(value) - 1).alias("r")),
+        F.struct(F.col(time).alias("before"), F.col("_t1").alias("after"), (F.try_divide(F.col("_v1"), F.col(value)) - 1).alias("r")),
         F.struct(F.col("_t1") - F.col(time), -F.col(time))).alias("g")).select(
         "g.before", "g.after", F.abs("g.r").alias("change"))
     early = attach(nodes.select(F.col(time).alias("t"), F.col(value).alias("v")), gap, []).where("t <= before")
     early = early.withColumn("_target", F.col("t") + F.col("after") - F.col("before"))
     mate = nearest(early, "_target", nodes.select(F.col(time).alias("nt"), F.col(value).alias("nv")), "nt", ["nv"],
                    tolerance_s=tolerance_s, strict=True, prefix="m_", limit=limit)
-    pairs = mate.where("m_nv IS NOT NULL AND _target - m_dt <= before").withColumn("c", F.abs(F.col("m_nv") / F.col("v") - 1))
+    pairs = mate.where("m_nv IS NOT NULL AND _target - m_dt <= before").withColumn("c", F.abs(F.try_divide(F.col("m_nv"), F.col("v")) - 1))
     other = quantiles(pairs, [], F.col("c"), {"median_elsewhere": 0.5}, limit=limit).withColumnRenamed("n", "n_elsewhere")
     return attach(gap, other, [])
