@@ -13,8 +13,8 @@ def padded(cte: str, source: str, keys: str, order: str, cols: str, half: int, n
     """CTE ``name``: rows of ``source`` numbered per key with their end rows repeated."""
     k = f"PARTITION BY {keys}" if keys else ""
     return f"""{name}0 AS (SELECT {keys + ',' if keys else ''} {cols}, row_number() OVER ({k} ORDER BY {order}) AS rn, count(*) OVER ({k.replace('ORDER','')}) AS cn FROM {source}),
-{name} AS (SELECT * FROM {name}0 UNION ALL SELECT * REPLACE (1-j AS rn) FROM {name}0, (SELECT unnest(range(1,{half + 1})) AS j) WHERE rn=1
- UNION ALL SELECT * REPLACE (cn+j AS rn) FROM {name}0, (SELECT unnest(range(1,{half + 1})) AS j) WHERE rn=cn)"""
+{name} AS (SELECT * FROM {name}0 UNION ALL SELECT * EXCLUDE (j) REPLACE (1-j AS rn) FROM {name}0, (SELECT unnest(range(1,{half + 1})) AS j) WHERE rn=1
+ UNION ALL SELECT * EXCLUDE (j) REPLACE (cn+j AS rn) FROM {name}0, (SELECT unnest(range(1,{half + 1})) AS j) WHERE rn=cn)"""
 
 
 def _roll(keys, half):
@@ -62,10 +62,10 @@ def persistent_track(spark, folder):
 
 
 # mirrored copies of the five cells at each end, then a plain frame of 11
-_MIRROR = CELLS + """, e AS (SELECT row_no, label, chan, x, chan AS at FROM cells UNION ALL SELECT row_no, label, chan, x, -chan FROM cells WHERE chan BETWEEN 1 AND 5
+_MIRROR = CELLS + """, e AS (SELECT row_no, label, chan, x, chan AS pos FROM cells UNION ALL SELECT row_no, label, chan, x, -chan FROM cells WHERE chan BETWEEN 1 AND 5
  UNION ALL SELECT row_no, label, chan, x, 126-chan FROM cells WHERE chan BETWEEN 58 AND 62),
-md AS (SELECT row_no, label, chan, at, x-median(x) OVER (PARTITION BY row_no ORDER BY at ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS r FROM e),
-rs AS (SELECT * FROM md WHERE at=chan)"""
+md AS (SELECT row_no, label, chan, pos, x-median(x) OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS r FROM e),
+rs AS (SELECT * FROM md WHERE pos=chan)"""
 
 
 @query("median_flagger", f"""WITH {_MIRROR}, s AS (SELECT label, median(CASE WHEN r<>0 THEN abs(r) END) AS s FROM rs GROUP BY 1)
@@ -76,9 +76,9 @@ def median_flagger(spark, folder):
 
 
 def _mean_pass(src, k, out):
-    return f"""{out}e AS (SELECT row_no, chan, p, w, chan AS at FROM {src} UNION ALL SELECT row_no, chan, p, w, -1-chan FROM {src} WHERE chan<{k} UNION ALL SELECT row_no, chan, p, w, 127-chan FROM {src} WHERE chan>=64-{k}),
-{out}f AS (SELECT row_no, chan, at, p, w, sum(p*w) OVER (PARTITION BY row_no ORDER BY at ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)-p*w AS sp, sum(w) OVER (PARTITION BY row_no ORDER BY at ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)-w AS sw FROM {out}e),
-{out} AS (SELECT row_no, chan, p, CASE WHEN sw>0 AND abs(p-sp/sw)>abs(sp/sw)*(30/p)*5 THEN 0.0 ELSE 1.0 END AS w FROM {out}f WHERE at=chan)"""
+    return f"""{out}e AS (SELECT row_no, chan, p, w, chan AS pos FROM {src} UNION ALL SELECT row_no, chan, p, w, -1-chan FROM {src} WHERE chan<{k} UNION ALL SELECT row_no, chan, p, w, 127-chan FROM {src} WHERE chan>=64-{k}),
+{out}f AS (SELECT row_no, chan, pos, p, w, sum(p*w) OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)-p*w AS sp, sum(w) OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)-w AS sw FROM {out}e),
+{out} AS (SELECT row_no, chan, p, CASE WHEN sw>0 AND abs(p-sp/sw)>abs(sp/sw)*(30/p)*5 THEN 0.0 ELSE 1.0 END AS w FROM {out}f WHERE pos=chan)"""
 
 
 @query("mean_flagger", f"""WITH {CELLS}, w0 AS (SELECT row_no, chan, p, 1.0 AS w FROM cells), {_mean_pass('w0', 3, 'w3')}, {_mean_pass('w3', 4, 'w4')}, {_mean_pass('w4', 5, 'w5')} SELECT row_no, chan, w=0 AS flag FROM w5""")

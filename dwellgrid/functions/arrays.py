@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,26 +34,40 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def fold(j: Column, n: Column, edge: str) -> Column:
-    """Index of entry ``j`` beyond the ends: nearest (aaa|abc), mirror (cb|abc)
-    or reflect (ba|abc)."""
-    if edge == "nearest":
-        return F.least(F.greatest(j, F.lit(0)), n - 1)
-    period = F.greatest(2 * (n - 1), F.lit(1)) if edge == "mirror" else 2 * n
-    m = F.pmod(j, period)
-    back = period - m if edge == "mirror" else period - 1 - m
-    return F.when(m < n, m).otherwise(back)
+# numpy names of the edge rules: nearest (aaa|abc), mirror (cb|abc), reflect (ba|abc)
+_EDGES = {"nearest": "edge", "mirror": "reflect", "reflect": "symmetric"}
 
 
-def around(values: Column, half: int, edge: str, use: Callable[[Column, Column], Column]) -> Column:
-    """``use(window, index)`` for the window of ``half`` entries either side."""
-    n = F.size(values)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: use(
-        F.transform(F.sequence(i - half, i + half), lambda j: F.get(values, fold(j, n, edge).cast("int"))), i))
+def windows(x: np.ndarray, half: int, edge: str) -> np.ndarray:
+    """(rows, channels, 2 half + 1) view of the padded rows."""
+    padded = np.pad(x, ((0, 0), (half, half)), mode=_EDGES[edge])
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1, axis=1)
+
+
+def by_length(fn: Callable[..., np.ndarray], *columns: pd.Series) -> pd.Series:
+    """Apply ``fn`` to dense (rows, channels) blocks of equally long arrays."""
+    out = pd.Series([None] * len(columns[0]), index=columns[0].index, dtype=object)
+    lengths = columns[0].map(lambda a: -1 if a is None else len(a))
+    for n, rows in lengths.groupby(lengths).groups.items():
+        if n > 0:
+            block = fn(*[np.stack(c.loc[rows].to_list()).astype(float) for c in columns])
+            out.loc[rows] = pd.Series(list(block), index=rows)
+        elif n == 0:
+            out.loc[rows] = pd.Series([[]] * len(rows), index=rows)
+    return out
 
 
 def rolling_median(values: Column, half: int, edge: str) -> Column:
-    return around(values, half, edge, lambda w, _: median(w))
+    """Moving median along the array, missing entries ignored.
+
+    A batch of spectra is one numpy call: sorting small windows entry by entry
+    in array lambdas costs far more, and Catalyst may inline them repeatedly."""
+
+    @F.pandas_udf("array<double>")
+    def medians(x: pd.Series) -> pd.Series:
+        return by_length(lambda a: np.nanmedian(windows(a, half, edge), axis=2), x)
+
+    return medians(values)
 
 
 def minus(a: Column, b: Column) -> Column:
