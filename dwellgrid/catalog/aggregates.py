@@ -273,10 +273,10 @@ def overflow_top_channels(spark, folder):
 
 @query("tooth_contrast", f"""WITH {CELLS}, r AS (SELECT label, chan, median(x) AS r FROM cells GROUP BY 1,2), m AS (SELECT label, median(r) AS m FROM r GROUP BY 1), s AS (SELECT label, 1.4826*median(abs(r-m)) AS s FROM r JOIN m USING (label) GROUP BY 1),
 p AS (SELECT label, ph, median(CASE WHEN chan%4=ph THEN r END) AS a, median(CASE WHEN chan%4<>ph THEN r END) AS b FROM r, (SELECT unnest(range(0,4)) AS ph) GROUP BY 1,2), c AS (SELECT label, ph, (a-b)/s AS c FROM p JOIN s USING (label))
-SELECT label, round(max(c),9) AS contrast, arg_max(ph,(c,-ph))::INT AS phase FROM c GROUP BY 1""")
+SELECT label, round(max(c),9) AS contrast, arg_max(ph,(c,-ph))::DOUBLE AS phase FROM c GROUP BY 1""")
 def tooth_contrast(spark, folder):
     r = op.block_stats(cells(spark, folder), ["label"], "chan", "x")
-    return rounded(op.tooth_contrast(r, ["label"], "chan", "value", 4))
+    return rounded(op.tooth_contrast(r, ["label"], "value", op.locked_teeth(F.col("chan"), 4)))
 
 
 @query("comb_present", f"""WITH {CELLS}, d AS (SELECT row_no, chan, x-(lag(x) OVER w+lead(x) OVER w)/2 AS d FROM cells WINDOW w AS (PARTITION BY row_no ORDER BY chan)), b AS (SELECT * FROM d WHERE chan>=4 AND chan<60),

@@ -85,11 +85,11 @@ def thermistor(spark, folder):
     return table(spark, folder, "events").select("event_id", r6(S.thermistor_k(F.col("value") * 100, 4700.0, 0.001, 0.0002, 1e-7)).alias("k"))
 
 
-@query("three_state_ratio", """SELECT l_orderkey, l_linenumber, l_suppkey, round(CASE WHEN l_quantity<>25 THEN 300+917*(l_extendedprice-25000)/((l_quantity-25)*1000) END/7.3,5) AS t FROM lineitem""")
+@query("three_state_ratio", """SELECT l_orderkey, l_linenumber, l_suppkey, round(CASE WHEN l_quantity<>25 THEN 300+917*(l_extendedprice-25000)/((l_quantity-25)*1000) END/pi(),5) AS t FROM lineitem""")
 def three_state_ratio(spark, folder):
     p = F.lit(25000.0)
     t = S.three_state(F.col("l_extendedprice"), F.col("l_quantity") * 1000, p, F.lit(300.0), 917.0)
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", r6(t / 7.3, 5).alias("t"))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", r6(t / F.pi(), 5).alias("t"))
 
 
 @query("reflection_corrections", f"""WITH {_Z}, m AS (SELECT row_no, ar, ai, (1-ar*ar-ai*ai)/((1-(ar*br-ai*bi))*(1-(ar*br-ai*bi))+(ar*bi+ai*br)*(ar*bi+ai*br)) AS ma, (1-0.01)/((1-0.1*br)*(1-0.1*br)+0.01*bi*bi) AS ml FROM z)

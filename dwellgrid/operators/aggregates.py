@@ -280,22 +280,36 @@ def overflow_top(df: DataFrame, channels: str, top: int = 8) -> DataFrame:
     return spread.groupBy("chan").agg(F.sum("_n").alias("wrapped")).orderBy(F.desc("wrapped"), "chan").limit(top)
 
 
-def tooth_contrast(spectra: DataFrame, keys: list[str], chan: str, resid: str, spacing: int, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Best phase of a comb locked to the channels, in units of the residual MAD.
+def locked_teeth(chan: Column, spacing: int) -> dict[float, Column]:
+    """phase -> tooth predicate of a comb at fixed channels."""
+    return {float(p): F.pmod(chan, F.lit(spacing)) == p for p in range(spacing)}
+
+
+def walking_teeth(freq: Column, spacing: float, width: float, phases: int = 16) -> dict[float, Column]:
+    """phase -> tooth predicate of a comb off the channel grid: within half a channel."""
+    out = {}
+    for i in range(phases):
+        off = (freq - i * spacing / phases) / spacing
+        out[i * spacing / phases] = F.abs(off - F.rint(off)) * spacing <= 0.5 * width
+    return out
+
+
+def tooth_contrast(spectra: DataFrame, keys: list[str], resid: str, teeth: dict[float, Column], limit: int = GROUP_LIMIT) -> DataFrame:
+    """keys -> contrast and phase of a comb: median of its teeth minus that of
+    the others in units of the residual MAD, at the best phase.
 
     Input: in-band residuals of one median spectrum per group, one row per
-    channel.  A phase needs 8 teeth and 8 others, the band 32 channels.
-    """
-    work = with_mad(spectra.select(*keys, F.pmod(F.col(chan), F.lit(spacing)).alias("_phase"), F.col(resid).alias("_r")),
-                    keys, F.col("_r"), "_c", "_s", limit=limit)
+    channel.  A phase needs 8 teeth and 8 others, the band 32 channels."""
+    offers = F.array(*[F.struct(F.lit(p).alias("phase"), hit.alias("tooth")) for p, hit in teeth.items()])
+    work = with_mad(spectra.select(*keys, F.col(resid).alias("_r"), offers.alias("_o")), keys, F.col("_r"), "_c", "_s", limit=limit)
     scale = work.groupBy(*keys).agg(F.max("_s").alias("_s"), F.count(F.lit(1)).alias("_all"))
-    # the others of a phase: every channel is offered to each of the other phases
-    phases = F.sequence(F.lit(0), F.lit(spacing - 1))
-    offers = work.select(*keys, F.explode(phases).alias("phase"), "_phase", "_r").withColumn("_tooth", F.col("_phase") == F.col("phase"))
-    teeth = quantiles(offers, [*keys, "phase"], F.when(F.col("_tooth"), F.col("_r")), {"_mt": 0.5}, limit=limit).withColumnRenamed("n", "_nt")
-    other = quantiles(offers, [*keys, "phase"], F.when(~F.col("_tooth"), F.col("_r")), {"_mo": 0.5}, limit=limit).withColumnRenamed("n", "_no")
-    both = attach(attach(teeth, other, [*keys, "phase"]), scale, keys).where(
-        "_nt >= 8 AND _no >= 8 AND _all >= 32 AND _s >= 1e-12")
+    # every channel counts as tooth or other of each phase: a spectrum times the phases
+    sides = work.select(*keys, "_r", F.inline("_o"))
+    med = quantiles(sides, [*keys, "phase", "tooth"], F.col("_r"), {"_m": 0.5}, limit=limit)
+    pick = lambda tooth, c: F.max(F.when(F.col("tooth") == tooth, F.col(c)))
+    both = med.groupBy(*keys, "phase").agg(pick(True, "_m").alias("_mt"), pick(False, "_m").alias("_mo"),
+                                           pick(True, "n").alias("_nt"), pick(False, "n").alias("_no"))
+    both = attach(both, scale, keys).where("_nt >= 8 AND _no >= 8 AND _all >= 32 AND _s >= 1e-12")
     both = both.withColumn("contrast", (F.col("_mt") - F.col("_mo")) / F.col("_s"))
     return both.groupBy(*keys).agg(F.max("contrast").alias("contrast"),
                                    F.max_by("phase", F.struct(F.col("contrast"), -F.col("phase"))).alias("phase"))

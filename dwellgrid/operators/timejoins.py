@@ -8,37 +8,65 @@ and a node that serves a third of the rows is no hot join key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.operators.ordered import GROUP_LIMIT, attach, framed, numbered, running
+from dwellgrid.operators.ordered import GROUP_LIMIT, Size, attach, framed, numbered, running
 from dwellgrid.operators.quantiles import quantiles
 
 
-def around(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, payload: list[str],
-           keys: list[str] | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Add ``prev`` (latest node at or before the row) and ``next`` (earliest at
-    or after) as structs of (t, payload).  Node times are unique within a key.
-    A NULL row time has neither."""
+@dataclass(frozen=True)
+class Stream:
+    """A node table on its own cadence; times are unique within a key."""
+
+    nodes: DataFrame
+    time: str
+    payload: list[str]
+
+
+def around_many(rows: DataFrame, time: str, streams: dict[str, Stream], keys: list[str] | None = None,
+                size: Size | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
+    """Add ``prev_<name>`` (latest node at or before the row) and ``next_<name>``
+    (earliest at or after) per stream, as structs of (t, payload).
+
+    Rows and all streams share one time line: one sort serves them all.  A row
+    without a time has neither."""
     keys = keys or []
-    node = F.struct(F.col(node_time).alias("t"), *payload)
     line = rows.where(F.col(time).isNotNull()).select(
-        *keys, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_k"), F.struct(*rows.columns).alias("_row"),
-    ).unionByName(
-        nodes.where(F.col(node_time).isNotNull()).select(
-            *keys, F.col(node_time).cast("double").alias("_t"), F.lit(0).alias("_k"), node.alias("_node")),
-        allowMissingColumns=True)
-    seen = running(line, keys, ["_t", "_k"], last={"_prev": F.col("_node")}, next={"_next": F.col("_node")}, limit=limit)
-    on_node = F.col("_prev.t") == F.col("_t")
-    found = seen.where("_k = 1").select(
-        "_row.*", F.col("_prev").alias("prev"), F.when(on_node, F.col("_prev")).otherwise(F.col("_next")).alias("next"))
+        *keys, F.col(time).cast("double").alias("_t"), F.lit(len(streams)).alias("_k"), F.struct(*rows.columns).alias("_row"))
+    for i, (name, s) in enumerate(streams.items()):
+        node = F.struct(F.col(s.time).cast("double").alias("t"), *s.payload)
+        line = line.unionByName(s.nodes.where(F.col(s.time).isNotNull()).select(
+            *keys, F.col(s.time).cast("double").alias("_t"), F.lit(i).alias("_k"), node.alias(f"_n_{name}")), allowMissingColumns=True)
+    seen = running(line, keys, ["_t", "_k"], last={f"prev_{n}": F.col(f"_n_{n}") for n in streams},
+                   next={f"_next_{n}": F.col(f"_n_{n}") for n in streams}, size=size, limit=limit)
+    found = seen.where(F.col("_k") == len(streams)).select("_row.*", *[c for n in streams for c in (
+        F.col(f"prev_{n}"), F.when(F.col(f"prev_{n}.t") == F.col("_t"), F.col(f"prev_{n}")).otherwise(F.col(f"_next_{n}")).alias(f"next_{n}"))])
     return found.unionByName(rows.where(F.col(time).isNull()), allowMissingColumns=True)
 
 
-def _nearer(time: Column) -> Column:
-    """The nearer of prev and next; equally near: the earlier."""
-    before, after = time - F.col("prev.t"), F.col("next.t") - time
-    return F.when(after.isNull() | (before <= after), F.col("prev")).otherwise(F.col("next"))
+def around(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, payload: list[str],
+           keys: list[str] | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
+    """``around_many`` for one stream, as ``prev`` and ``next``."""
+    return (around_many(rows, time, {"": Stream(nodes, node_time, payload)}, keys, limit=limit)
+            .withColumnRenamed("prev_", "prev").withColumnRenamed("next_", "next"))
+
+
+def nearer(prev: Column, next: Column, time: Column) -> Column:
+    """The nearer of two neighbours; equally near: the earlier."""
+    return F.when(next["t"].isNull() | (time - prev["t"] <= next["t"] - time), prev).otherwise(next)
+
+
+def nearest_values(prev: Column, next: Column, time: Column, payload: list[str], tolerance_s: float | None, strict: bool = False) -> dict[str, Column]:
+    """``dt`` = row time - node time and the payload of the nearest node."""
+    near = nearer(prev, next, time)
+    dt = time - near["t"]
+    usable = F.lit(True)
+    if tolerance_s is not None:
+        usable = (F.abs(dt) < tolerance_s) if strict else (F.abs(dt) <= tolerance_s)
+    return {"dt": F.when(usable, dt), **{p: F.when(usable, near[p]) for p in payload}}
 
 
 def nearest(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, payload: list[str], *,
@@ -47,13 +75,9 @@ def nearest(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, payloa
     """Nearest node: its payload, and ``<prefix>dt`` = row time - node time.
 
     The tolerance is inclusive unless ``strict``; outside it everything is NULL."""
-    both = around(rows, time, nodes, node_time, payload, keys, limit).withColumn("_near", _nearer(F.col(time)))
-    dt = F.col(time) - F.col("_near.t")
-    usable = F.lit(True)
-    if tolerance_s is not None:
-        usable = (F.abs(dt) < tolerance_s) if strict else (F.abs(dt) <= tolerance_s)
-    return both.select(*rows.columns, F.when(usable, dt).alias(f"{prefix}dt"),
-                       *[F.when(usable, F.col("_near")[p]).alias(f"{prefix}{p}") for p in payload])
+    both = around(rows, time, nodes, node_time, payload, keys, limit)
+    got = nearest_values(F.col("prev"), F.col("next"), F.col(time), payload, tolerance_s, strict)
+    return both.select(*rows.columns, *[c.alias(f"{prefix}{n}") for n, c in got.items()])
 
 
 def _lerp(a: Column, b: Column, w: Column) -> Column:
@@ -64,6 +88,23 @@ def _lerp_arrays(a: Column, b: Column, w: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (1 - w) * x + w * y)
 
 
+def bracket_values(prev: Column, next: Column, time: Column, values: list[str], label: str, max_gap_s: float,
+                   hold_s: float | None = None, arrays: bool = False) -> dict[str, Column]:
+    """The values interpolated between two neighbours, ``width`` of the bracket
+    and ``dt`` to the nearest node; see ``bracket``."""
+    on_node = F.coalesce(prev["t"] == time, F.lit(False))
+    width = next["t"] - prev["t"]
+    ok = on_node | F.coalesce((prev[label] == next[label]) & (width <= max_gap_s), F.lit(False))
+    w = F.try_divide(time - prev["t"], width)
+    near = nearer(prev, next, time)
+    dt = F.abs(time - near["t"])
+    held = F.lit(False) if hold_s is None else F.coalesce(~ok & (dt <= hold_s), F.lit(False))
+    mix = _lerp_arrays if arrays else _lerp
+    # on a node: its own value, whatever the other one is
+    out = {v: F.when(on_node, prev[v]).when(ok, mix(prev[v], next[v], w)).when(held, near[v]) for v in values}
+    return {**out, "width": F.when(on_node, 0.0).when(ok, width), "dt": F.when(ok | held, dt)}
+
+
 def bracket(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, values: list[str], label: str, *,
             max_gap_s: float, hold_s: float | None = None, keys: list[str] | None = None, prefix: str = "",
             arrays: bool = False, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -72,26 +113,10 @@ def bracket(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, values
     Only between nodes of one label at most ``max_gap_s`` apart; a row on a
     node takes that node (width 0); nothing is extrapolated.  With ``hold_s``
     a row without a bracket takes the nearest node within that time.
-    Adds the values, ``width`` of the bracket and ``dt`` to the nearest node.
     """
-    both = around(rows, time, nodes, node_time, [label, *values], keys, limit).withColumn("_near", _nearer(F.col(time)))
-    p, n, t = F.col("prev"), F.col("next"), F.col(time)
-    on_node = F.coalesce(p["t"] == t, F.lit(False))
-    width = n["t"] - p["t"]
-    ok = on_node | F.coalesce((p[label] == n[label]) & (width <= max_gap_s), F.lit(False))
-    w = F.when(on_node, 1.0).otherwise(F.try_divide(t - p["t"], width))
-    dt = F.abs(t - F.col("_near.t"))
-    mix = _lerp_arrays if arrays else _lerp
-    held = F.lit(False) if hold_s is None else F.coalesce(~ok & (dt <= hold_s), F.lit(False))
-
-    def value(v):
-        # on a node: its own value, whatever the other one is
-        inside = F.when(on_node, p[v]).otherwise(mix(p[v], n[v], w))
-        return F.when(ok, inside).when(held, F.col("_near")[v]).alias(f"{prefix}{v}")
-
-    return both.select(*rows.columns, *[value(v) for v in values],
-                       F.when(on_node, 0.0).when(ok, width).alias(f"{prefix}width"),
-                       F.when(ok | held, dt).alias(f"{prefix}dt"))
+    both = around(rows, time, nodes, node_time, [label, *values], keys, limit)
+    got = bracket_values(F.col("prev"), F.col("next"), F.col(time), values, label, max_gap_s, hold_s, arrays)
+    return both.select(*rows.columns, *[c.alias(f"{prefix}{n}") for n, c in got.items()])
 
 
 def hold_ends(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, value: str,
