@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scan", "filters", "segments", "timejoins", "aggregates", "rolling", "scalars", "solves", "detect", "jobs"]
+AREAS = ["scan", "filters", "segments", "timejoins", "aggregates", "rolling", "scalars", "solves", "detect", "jobs", "streaming"]
 
 
 def load() -> None:
