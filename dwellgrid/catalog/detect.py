@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.catalog.aggregates import rounded
 from dwellgrid.catalog.registry import query
-from dwellgrid.catalog.views import cells, r6, spectra
+from dwellgrid.catalog.views import SPECTRA, cells, r6, spectra
 from dwellgrid.functions import bits
 from dwellgrid.operators import fits
 from dwellgrid.operators import segments as sg
@@ -101,3 +101,16 @@ def reduce_cross(spark, folder):
     out = series.reduce_cross(p, "row_no", "xr", "xi", tones, "tf", [1.2] * 10, [FREQS[t] for t in tones[2:]], shift=2, delay_us=0.01, modes=5)
     return rounded(out.select("row_no", "tone", "bad", F.col("even.re").alias("even_re"), F.col("even.im").alias("even_im"), "even_measured",
                               F.col("odd.re").alias("odd_re"), F.col("odd.im").alias("odd_im"), "odd_measured"), 6)
+
+
+@query("knn_residual", f"""WITH {SPECTRA}, g AS (SELECT row_no, 3*spec[1] AS az, 2*spec[2] AS el, spec[3] AS res FROM spectra WHERE label<>9),
+p AS (SELECT a.row_no, b.res, row_number() OVER (PARTITION BY a.row_no ORDER BY pow(cos(a.az)-cos(b.az),2)+pow(sin(a.az)-sin(b.az),2)+pow(cos(a.el)-cos(b.el),2)+pow(sin(a.el)-sin(b.el),2), b.row_no) AS rn FROM g a JOIN g b ON a.row_no<>b.row_no),
+l AS (SELECT row_no, median(res) AS m FROM p WHERE rn<=12 GROUP BY 1), h AS (SELECT row_no, res-m AS h FROM g JOIN l USING (row_no)), c AS (SELECT median(h) AS c FROM h), s AS (SELECT 1.4826*median(abs(h-c)) AS s FROM h, c)
+SELECT spectra.row_no, coalesce(abs(h-c)>2.5*s, false) AS outlier FROM spectra LEFT JOIN h USING (row_no), c, s""")
+def knn_residual(spark, folder):
+    """Residuals against their twelve nearest directions, over whole spectra."""
+    from dwellgrid.operators.neighbours import isolated_outliers
+    e = F.col("spec")
+    s = spectra(spark, folder).select("row_no", "label", (3 * e[0]).alias("az"), (2 * e[1]).alias("el"), e[2].alias("res"))
+    out = isolated_outliers(s, "row_no", F.col("az"), F.col("el"), F.col("res"), F.col("label") != 9, 2.5)
+    return out.select("row_no", "outlier")
