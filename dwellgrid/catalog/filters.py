@@ -8,14 +8,15 @@ from dwellgrid.operators import filters as op
 from dwellgrid.sources import checked
 
 
-def _index(spark, folder):
-    return samples(spark, folder).withColumn("time_best", F.when(F.col("power") != 0.5, F.col("t")))
+def _index(spark, folder, **pushed):
+    return samples(spark, folder, **pushed).withColumn("time_best", F.when(F.col("power") != 0.5, F.col("t")))
 
 
 @query("select_rows", f"""WITH {SAMPLES} SELECT event_id, t, state, input FROM ev
 WHERE state IN ('RFANT','RFAMB') AND input=2 AND t>=1704412800 AND t<1705276800 AND power>5""")
 def select_rows(spark, folder):
-    out = op.select_rows(_index(spark, folder), time=(1704412800.0, 1705276800.0), state=["RFANT", "RFAMB"], input=2,
+    pushed = _index(spark, folder, window=(1704412800.0, 1705276800.0), states=["RFANT", "RFAMB"])
+    out = op.select_rows(pushed, time=(1704412800.0, 1705276800.0), state=["RFANT", "RFAMB"], input=2,
                          where=F.col("power") > 5)
     return out.select("event_id", "t", "state", "input")
 

@@ -31,8 +31,8 @@ k AS (SELECT *, pt IS NULL OR nt-t<t-pt AS nx FROM j), l AS (SELECT *, abs(t-CAS
 SELECT visit, n, round(t/7.3,3) AS t, round(power,7) AS power, round(CASE WHEN ok THEN t-CASE WHEN nx THEN nt ELSE pt END END,4) AS node_dt, round(CASE WHEN ok THEN CASE WHEN nx THEN nsc*power+nof ELSE psc*power+pof END END/pi(),7) AS calibrated FROM l""")
 def calibrated_visits(spark, folder):
     """The flagship: filter, visits, weighted means, nearest node, calibration."""
-    s = samples(spark, folder)
-    nd = s.where("state = 'RFNON'").select(F.col("t").alias("node_t"), (2.0 + F.col("power") / 100).alias("sc"), (-F.col("power")).alias("ofs"))
+    s = samples(spark, folder, window=(1704100000.0, 1706000000.0), states=["RFANT"])
+    nd = samples(spark, folder, states=["RFNON"]).select(F.col("t").alias("node_t"), (2.0 + F.col("power") / 100).alias("sc"), (-F.col("power")).alias("ofs"))
     out = calibration.calibrated_visits(s, "t", ["event_id"], "power", 1 + F.col("input"), "state", "RFANT", 1704100000.0, 1706000000.0,
                                         600.0, nd, "node_t", "sc", "ofs", 1800.0)
     return out.select("visit", "n", r6(F.col("t") / 7.3, 3).alias("t"), r6("power", 7).alias("power"), r6("node_dt", 4).alias("node_dt"), r6(F.col("calibrated") / F.pi(), 7).alias("calibrated"))

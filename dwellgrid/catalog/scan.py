@@ -222,7 +222,7 @@ def write_solutions(spark, folder):
 
 @query("scan_window", """SELECT event_id, epoch_us(ts)/1e6 AS t FROM events WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-09 12:00:00'""")
 def scan_window(spark, folder):
-    s = samples(spark, folder)
+    s = samples(spark, folder, window=(1704434400.0, 1704801600.0))
     out = scan.scan_window(s, file_time(F.col("file")), F.col("t"), 1704434400.0, 1704801600.0, margin_s=86400.0)
     return out.select("event_id", "t")
 

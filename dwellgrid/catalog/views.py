@@ -5,6 +5,8 @@ Each view has the matching CTE text for the SQL side.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,17 @@ def _state() -> F.Column:
     return out
 
 
-def samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Integrations without the row number (no shuffle)."""
+def samples(spark: SparkSession, folder: str, window: tuple[float, float] | None = None, states: list[str] | None = None) -> DataFrame:
+    """Integrations without the row number (no shuffle).
+
+    A half-open time window and a list of states are also stated on the stored
+    columns, where the Parquet reader can use them."""
     ev = table(spark, folder, "events")
+    if window is not None:
+        naive = [F.lit(datetime.fromtimestamp(t, timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz") for t in window]
+        ev = ev.where((F.col("ts") >= naive[0]) & (F.col("ts") < naive[1]))
+    if states is not None:
+        ev = ev.where(F.col("event_type").isin([e for e, s in STATES.items() if s in states]))
     return ev.select(
         "event_id", unix_seconds(F.col("ts")).alias("t"),
         F.concat(F.lit("corr_"), F.date_format("ts", "yyyyMMdd"), F.lit("_235959Z.h5")).alias("file"),

@@ -33,13 +33,13 @@ def safe_divide(a: Column, b: Column, eps: float = EPS) -> Column:
 
 
 def radiometer_noise(x: Column, dt: Column, df: Column, cross: bool = False) -> Column:
-    n = F.abs(x) / F.sqrt(dt * df)
+    n = F.try_divide(F.abs(x), F.sqrt(dt * df))
     return n / math.sqrt(2) if cross else n
 
 
 def difference_sigma(a: Column, b: Column, c: Column, bandwidth: Column, t: Column) -> Column:
     """Noise of a - (b + c)/2."""
-    return F.sqrt((a * a + b * b / 4 + c * c / 4) / (bandwidth * t))
+    return F.sqrt(F.try_divide(a * a + b * b / 4 + c * c / 4, bandwidth * t))
 
 
 def residual_z(data: Column, model: Column, dt: Column, df: Column) -> Column:
@@ -98,7 +98,7 @@ def tilt(x: Column, y: Column, z: Column, rotation: list[list[float]] | None = N
 
 def tilt_quaternion(x: Column, y: Column, z: Column, w: Column, rotation: list[list[float]] | None = None) -> Column:
     """The same from a quaternion: the third column of its rotation matrix."""
-    n = x * x + y * y + z * z + w * w
+    n = F.nullif(x * x + y * y + z * z + w * w, F.lit(0.0))
     return tilt(2 * (x * z + y * w) / n, 2 * (y * z - x * w) / n, 1 - 2 * (x * x + y * y) / n, rotation)
 
 

@@ -76,7 +76,7 @@ def dwell_rows(df: DataFrame, keys: list[str], time: str, weight: str, position:
     """Per dwell: weighted time, row count, weighted means of the columns."""
     keep = df.where((F.col(position) >= skip_first) & (F.col(keys[-1]) >= 0))
     w = F.col(weight)
-    return keep.groupBy(*keys).agg((F.sum(F.col(time) * w) / F.sum(w)).alias("t"), F.count(F.lit(1)).alias("n"),
+    return keep.groupBy(*keys).agg(F.try_divide(F.sum(F.col(time) * w), F.sum(w)).alias("t"), F.count(F.lit(1)).alias("n"),
                                    *[weighted_mean(F.col(c), w).alias(c) for c in columns])
 
 
@@ -209,7 +209,7 @@ def isolation(df: DataFrame, series: str, data: Column, background: Column, good
     """90th percentile of (D - B)/B over good rows, in units of the background error."""
     ratio = F.when(good, F.try_divide(data - background, background))
     p90 = quantiles(df, [series], ratio, {"signal": 0.9}, limit=limit)
-    return attach(p90, error, [series]).select(series, "n", "signal", (F.col("signal") / F.col("error")).alias("isolation"))
+    return attach(p90, error, [series]).select(series, "n", "signal", F.try_divide(F.col("signal"), F.col("error")).alias("isolation"))
 
 
 def residual_audit(cells: DataFrame, row: str, expect: Column, value: Column, tol_frac: float, max_off: int,

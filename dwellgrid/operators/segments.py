@@ -15,24 +15,30 @@ from dwellgrid.operators.quantiles import quantiles
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], before: list[str],
-            breaks: Callable[[dict[str, Column]], Column], name: str, limit: int = GROUP_LIMIT) -> DataFrame:
+            breaks: Callable[[dict[str, Column]], Column], name: str, limit: int = GROUP_LIMIT,
+            outside: Column | None = None) -> DataFrame:
     """Number the runs 0, 1, 2... in order.  ``breaks`` gets the columns of the
-    row before and says whether this row starts a run; the first row always does."""
+    row before and says whether this row starts a run; the first row always does.
+    Rows ``outside`` (sorting first) are in no run: -1."""
     size = measure(df, keys)
     lagged = running(df, keys, order, lag={f"_b_{c}": F.col(c) for c in before} | {"_b": F.lit(True)},
                      size=size, limit=limit)
     starts = F.col("_b").isNull() | breaks({c: F.col(f"_b_{c}") for c in before})
-    out = running(lagged, keys, order, sums={name: F.coalesce(starts, F.lit(True)).cast("long")}, size=size, limit=limit)
-    return out.select(*df.columns, (F.col(name) - 1).alias(name))
+    starts = F.coalesce(starts, F.lit(True))
+    number = F.col(name) - 1
+    if outside is not None:
+        starts, number = starts & ~outside, F.when(outside, -1).otherwise(number)
+    out = running(lagged, keys, order, sums={name: starts.cast("long")}, size=size, limit=limit)
+    return out.select(*df.columns, number.cast("long").alias(name))
 
 
 def visits(df: DataFrame, time: str, ties: list[str], gap_s: float, keys: list[str] | None = None,
            name: str = "visit", limit: int = GROUP_LIMIT) -> DataFrame:
     """A gap strictly above ``gap_s`` starts a visit; a NULL time gets -1 and
     neither starts nor bridges one."""
-    timed = islands(df.where(F.col(time).isNotNull()), keys or [], [time, *ties], [time],
-                    lambda b: F.col(time) - b[time] > gap_s, name, limit)
-    return timed.unionByName(df.where(F.col(time).isNull()).withColumn(name, F.lit(-1).cast("long")))
+    # NULL sorts first; the first row with a time follows a NULL and so starts a visit
+    return islands(df, keys or [], [time, *ties], [time], lambda b: F.col(time) - b[time] > gap_s, name, limit,
+                   outside=F.col(time).isNull())
 
 
 def dwells(df: DataFrame, state: str, time: str, ties: list[str], gap_s: float = 5.0,

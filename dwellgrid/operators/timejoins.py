@@ -34,17 +34,21 @@ def around_many(rows: DataFrame, time: str, streams: dict[str, Stream], keys: li
     Rows and all streams share one time line: one sort serves them all.  A row
     without a time has neither."""
     keys = keys or []
-    line = rows.where(F.col(time).isNotNull()).select(
-        *keys, F.col(time).cast("double").alias("_t"), F.lit(len(streams)).alias("_k"), F.struct(*rows.columns).alias("_row"))
+    # many rows may share a time, or have none: a hash spreads them over slices
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "array", "struct"))]
+    line = rows.select(*keys, F.col(time).cast("double").alias("_t"), F.lit(len(streams)).alias("_k"),
+                       F.xxhash64(*plain).alias("_h"), F.struct(*rows.columns).alias("_row"))
     for i, (name, s) in enumerate(streams.items()):
         node = F.struct(F.col(s.time).cast("double").alias("t"), *s.payload)
         line = line.unionByName(s.nodes.where(F.col(s.time).isNotNull()).select(
-            *keys, F.col(s.time).cast("double").alias("_t"), F.lit(i).alias("_k"), node.alias(f"_n_{name}")), allowMissingColumns=True)
-    seen = running(line, keys, ["_t", "_k"], last={f"prev_{n}": F.col(f"_n_{n}") for n in streams},
+            *keys, F.col(s.time).cast("double").alias("_t"), F.lit(i).alias("_k"), F.lit(0).cast("bigint").alias("_h"),
+            node.alias(f"_n_{name}")), allowMissingColumns=True)
+    seen = running(line, keys, ["_t", "_k", "_h"], last={f"prev_{n}": F.col(f"_n_{n}") for n in streams},
                    next={f"_next_{n}": F.col(f"_n_{n}") for n in streams}, size=size, limit=limit)
-    found = seen.where(F.col("_k") == len(streams)).select("_row.*", *[c for n in streams for c in (
-        F.col(f"prev_{n}"), F.when(F.col(f"prev_{n}.t") == F.col("_t"), F.col(f"prev_{n}")).otherwise(F.col(f"_next_{n}")).alias(f"next_{n}"))])
-    return found.unionByName(rows.where(F.col(time).isNull()), allowMissingColumns=True)
+    # rows without a time sort first: nothing lies before them, what follows is not theirs
+    return seen.where(F.col("_k") == len(streams)).select("_row.*", *[c for n in streams for c in (
+        F.col(f"prev_{n}"), F.when(F.col(f"prev_{n}.t") == F.col("_t"), F.col(f"prev_{n}"))
+        .when(F.col("_t").isNotNull(), F.col(f"_next_{n}")).alias(f"next_{n}"))])
 
 
 def around(rows: DataFrame, time: str, nodes: DataFrame, node_time: str, payload: list[str],
@@ -140,12 +144,13 @@ def window_mean_or_nearest(rows: DataFrame, ids: list[str], time: str, start: st
         *ids, F.explode(F.array(
             F.struct(F.col(start).alias("_t"), F.lit(-1).alias("_k")),
             F.struct(F.coalesce(checked, F.col(stop)).alias("_t"), F.lit(1).alias("_k")))).alias("_e"),
-    ).select(*ids, "_e.*")
+    ).select(*ids, "_e.*", F.xxhash64(*ids).alias("_h"))
     finite = F.when(~F.isnan(value), F.col(value))
-    line = edges.unionByName(readings.select(F.col(reading_time).alias("_t"), F.lit(0).alias("_k"), finite.alias("_v")),
+    line = edges.unionByName(readings.select(F.col(reading_time).alias("_t"), F.lit(0).alias("_k"), F.xxhash64(finite).alias("_h"), finite.alias("_v")),
                              allowMissingColumns=True)
-    # equal (time, kind) rows add the same sums in any order: edges add nothing
-    summed = running(line, [], ["_t", "_k"], sums={
+    # edges add nothing and readings of one time are all in or all out: their
+    # order does not matter, the hash only spreads them over slices
+    summed = running(line, [], ["_t", "_k", "_h"], sums={
         "_s": F.coalesce("_v", F.lit(0.0)), "_c": F.col("_v").isNotNull().cast("long")}, limit=limit).where("_k <> 0")
     means = summed.groupBy(*ids).agg(F.sum(F.col("_s") * F.col("_k")).alias("_sum"), F.sum(F.col("_c") * F.col("_k")).alias("_n"))
     near = nearest(rows, time, readings, reading_time, [value], tolerance_s=None, prefix="_near_", limit=limit)
@@ -162,9 +167,10 @@ def near_sweep(rows: DataFrame, time: str, sweeps: DataFrame, guard: tuple[float
     Sweeps do not overlap, so only the latest one opened can hold the row."""
     opened = sweeps.select((F.col("start") - guard[0]).alias("_open"), "stop")
     # strictly after the opening: a row at the opening itself looks one sweep back
-    line = rows.select(F.col(time).alias("_t"), F.lit(0).alias("_k"), F.struct(*rows.columns).alias("_row")).unionByName(
-        opened.select(F.col("_open").alias("_t"), F.lit(1).alias("_k"), F.col("stop").alias("_stop")), allowMissingColumns=True)
-    seen = running(line, [], ["_t", "_k"], last={"_last": F.col("_stop")}, limit=limit).where("_k = 0")
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "array", "struct"))]
+    line = rows.select(F.col(time).alias("_t"), F.lit(0).alias("_k"), F.xxhash64(*plain).alias("_h"), F.struct(*rows.columns).alias("_row")).unionByName(
+        opened.select(F.col("_open").alias("_t"), F.lit(1).alias("_k"), F.lit(0).cast("bigint").alias("_h"), F.col("stop").alias("_stop")), allowMissingColumns=True)
+    seen = running(line, [], ["_t", "_k", "_h"], last={"_last": F.col("_stop")}, limit=limit).where("_k = 0")
     return seen.select("_row.*", F.coalesce(F.col("_t") < F.col("_last") + guard[1], F.lit(False)).alias("near_sweep"))
 
 

@@ -153,9 +153,9 @@ REPORT_BANDS = {  # fixed values: report bands in MHz, half open
 }
 
 
-def _center_scale(df: DataFrame, keys: list[str], value: Column, center: str, scale: str, limit: int) -> DataFrame:
+def _center_scale(df: DataFrame, keys: list[str], value: Column, center: str, scale: str, limit: int, size: Size | None = None) -> DataFrame:
     """Group median (0 without) and MAD scale (at least 1) over non-NULL values."""
-    out = with_mad(df, keys, value, center, scale, limit=limit)
+    out = with_mad(df, keys, value, center, scale, size, limit)
     return out.withColumn(center, F.coalesce(center, F.lit(0.0))).withColumn(scale, F.greatest(F.coalesce(scale, F.lit(1.0)), F.lit(1.0)))
 
 
@@ -173,7 +173,8 @@ def group_triggers(cells: DataFrame, segment: str, row: str, chan: str, freq: st
     in_report = F.lit(False)
     for lo, hi in bands.values():
         in_report = in_report | ((f >= lo) & (f < hi))
-    work = _center_scale(cells, [segment, chan], F.when(ref & (zc < cuts.fit_clip), zc), "_c", "_s", limit)
+    size = measure(cells, [segment, chan])
+    work = _center_scale(cells, [segment, chan], F.when(ref & (zc < cuts.fit_clip), zc), "_c", "_s", limit, size)
     threshold = F.when(in_report, cuts.point).otherwise(cuts.other_point)
     work = work.withColumns({
         "positive_auto_excess": ok & F.coalesce(zc / F.col("_s") > threshold, F.lit(False)),
@@ -182,12 +183,12 @@ def group_triggers(cells: DataFrame, segment: str, row: str, chan: str, freq: st
         "_std": F.coalesce((zc - F.col("_c")) / F.col("_s"), F.lit(0.0))})
     # curvature along channel: teeth stand out of both neighbours
     side = F.struct(F.coalesce(zc, F.lit(0.0)).alias("z"), (ok & zc.isNotNull()).alias("e"))
-    work = ro.beside(work, [segment, row], chan, {"_l": (side, -1), "_r": (side, 1)}, limit)
+    work = ro.beside(work, [segment, row], chan, {"_l": (side, -1), "_r": (side, 1)}, limit, measure(cells, [segment, row]))
     quiet = (f >= cuts.quiet[0]) & (f < cuts.quiet[1])
     work = work.withColumns({
         "_curv": (F.coalesce(zc, F.lit(0.0)) - (F.col("_l.z") + F.col("_r.z")) / 2) / (1.5 ** 0.5),
         "_ev": F.coalesce(ok & zc.isNotNull() & F.col("_l.e") & F.col("_r.e") & ~quiet, F.lit(False))}).drop("_l", "_r")
-    work = _center_scale(work, [segment, chan], F.when(F.col("_ev") & ref, F.col("_curv")), "_cc", "_cs", limit)
+    work = _center_scale(work, [segment, chan], F.when(F.col("_ev") & ref, F.col("_curv")), "_cc", "_cs", limit, size)
     work = work.withColumns({"_tooth": F.coalesce(F.col("_curv") / F.col("_cs"), F.lit(0.0)), "_phase": F.pmod(F.col(chan), F.lit(cuts.comb_spacing))})
     clip = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     hit = F.col("_ev") & (F.col("_tooth") > cuts.comb_tooth)
@@ -216,6 +217,7 @@ def group_triggers(cells: DataFrame, segment: str, row: str, chan: str, freq: st
         F.count_if(good).alias("_n"), F.sum(F.when(good, clip(F.col("_std"), -3.0, 6.0)).otherwise(0.0)).alias("_sum"),
         F.count_if(good & (F.col("_std") > cuts.group_cell)).alias("_high"), F.bool_or(ref).alias("_ref"))
     per = per.withColumn("_raw", F.col("_sum") / F.sqrt(F.greatest("_n", F.lit(1))))
+    per = cut(per)  # one row per (row, group), read for its medians and its hits
     per = _center_scale(per, [segment, "_group"], F.when(F.col("_ref"), F.col("_raw")), "_gc", "_gs", limit)
     lit = (((F.col("_raw") - F.col("_gc")) / F.col("_gs") > cuts.group) & (F.col("_high") / F.greatest("_n", F.lit(1)) >= cuts.group_fraction) & (F.col("_n") >= 3))
     hits = per.where(lit).select(segment, row, "_group").join(groups, "_group").select(segment, row, chan).distinct().withColumn("_band", F.lit(True))
@@ -261,7 +263,7 @@ def segment_flags(rows: DataFrame, keys: list[str], row: str, time: str, dt: str
     seen = _as_cells(second, rows, keys, row, freqs, data, sky, domain)
     seen = seen.withColumn("tested", F.col("valid") & F.col("supported"))
     out = group_triggers(seen, segment, row, "chan", "freq", "z", "cross_score", "tested", "tested", cuts, limit=limit)
-    out = _center_scale(out, [segment, "chan"], F.when(F.col("tested"), F.col("z")), "_mid", "_scatter", limit)
+    out = _center_scale(out, [segment, "chan"], F.when(F.col("tested"), F.col("z")), "_mid", "_scatter", limit, measure(seen, [segment, "chan"]))
     out = out.withColumns({"cross_change": F.col("valid") & F.coalesce(F.col("cross_score") > cuts.cross, F.lit(False)),
                            "non_sky_switch_state": ~F.col(sky), "invalid_input_or_domain": ~F.col("input_ok"),
                            "unsupported_background": ~F.col("supported"), "high_scatter": F.col("valid") & (F.col("_scatter") > max_scatter)})
