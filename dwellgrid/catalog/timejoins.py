@@ -16,37 +16,37 @@ _AROUND = NODES + ", " + SHIPPED + """, pn AS (SELECT s.flag, s.t, s.x, a.t AS p
 nr AS (SELECT *, CASE WHEN pt IS NULL OR nt-t<t-pt THEN nt ELSE pt END AS ct, CASE WHEN pt IS NULL OR nt-t<t-pt THEN nv ELSE pv END AS cv FROM pn)"""
 
 
-@query("join_nearest", f"""WITH {_AROUND} SELECT flag, t, CASE WHEN abs(t-ct)<=43200 THEN t-ct END AS near_dt, round(CASE WHEN abs(t-ct)<=43200 THEN cv END,7) AS near_v FROM nr""")
+@query("join_nearest", f"""WITH {_AROUND} SELECT flag, t, CASE WHEN abs(t-ct)<=43200 THEN t-ct END AS near_dt, round(CASE WHEN abs(t-ct)<=43200 THEN cv END/pi(),6) AS near_v FROM nr""")
 def join_nearest(spark, folder):
     out = op.nearest(shipped(spark, folder), "t", nodes(spark, folder), "t", ["v"], tolerance_s=43200.0)
-    return out.select("flag", "t", "near_dt", r6("near_v", 7).alias("near_v"))
+    return out.select("flag", "t", "near_dt", r6(F.col("near_v") / F.pi()).alias("near_v"))
 
 
-@query("nearest_with_age", f"""WITH {_AROUND} SELECT flag, t, abs(t-ct) AS age, round(cv,7) AS v FROM nr""")
+@query("nearest_with_age", f"""WITH {_AROUND} SELECT flag, t, abs(t-ct) AS age, round(cv/pi(),6) AS v FROM nr""")
 def nearest_with_age(spark, folder):
     out = op.nearest(shipped(spark, folder), "t", nodes(spark, folder), "t", ["v"])
-    return out.select("flag", "t", F.abs("near_dt").alias("age"), r6("near_v", 7).alias("v"))
+    return out.select("flag", "t", F.abs("near_dt").alias("age"), r6(F.col("near_v") / F.pi()).alias("v"))
 
 
 @query("join_bracket", f"""WITH {_AROUND} SELECT flag, t,
- round(CASE WHEN pt=t THEN pv WHEN pl=nl AND nt-pt<=90000 THEN (1-(t-pt)/(nt-pt))*pv+(t-pt)/(nt-pt)*nv END,7) AS v,
+ round(CASE WHEN pt=t THEN pv WHEN pl=nl AND nt-pt<=90000 THEN (1-(t-pt)/(nt-pt))*pv+(t-pt)/(nt-pt)*nv END/pi(),6) AS v,
  CASE WHEN pt=t THEN 0.0::DOUBLE WHEN pl=nl AND nt-pt<=90000 THEN nt-pt END AS width FROM nr""")
 def join_bracket(spark, folder):
     out = op.bracket(shipped(spark, folder), "t", nodes(spark, folder), "t", ["v"], "label", max_gap_s=90000.0)
-    return out.select("flag", "t", r6("v", 7).alias("v"), "width")
+    return out.select("flag", "t", r6(F.col("v") / F.pi()).alias("v"), "width")
 
 
 @query("join_bracket_or_hold", f"""WITH {_AROUND} SELECT flag, t,
- round(CASE WHEN pt=t THEN pv WHEN pl=nl AND nt-pt<=90000 THEN (1-(t-pt)/(nt-pt))*pv+(t-pt)/(nt-pt)*nv WHEN abs(t-ct)<=21600 THEN cv END,7) AS v,
+ round(CASE WHEN pt=t THEN pv WHEN pl=nl AND nt-pt<=90000 THEN (1-(t-pt)/(nt-pt))*pv+(t-pt)/(nt-pt)*nv WHEN abs(t-ct)<=21600 THEN cv END/pi(),6) AS v,
  CASE WHEN pt=t OR (pl=nl AND nt-pt<=90000) OR abs(t-ct)<=21600 THEN abs(t-ct) END AS dt FROM nr""")
 def join_bracket_or_hold(spark, folder):
     out = op.bracket(shipped(spark, folder), "t", nodes(spark, folder), "t", ["v"], "label", max_gap_s=90000.0, hold_s=21600.0)
-    return out.select("flag", "t", r6("v", 7).alias("v"), "dt")
+    return out.select("flag", "t", r6(F.col("v") / F.pi()).alias("v"), "dt")
 
 
-@query("interp_hold_ends", f"""WITH {_AROUND} SELECT flag, t, round(CASE WHEN pt=nt THEN pv ELSE coalesce((1-(t-pt)/(nt-pt))*pv+(t-pt)/(nt-pt)*nv, pv, nv) END,7) AS v FROM nr""")
+@query("interp_hold_ends", f"""WITH {_AROUND} SELECT flag, t, round(CASE WHEN pt=nt THEN pv ELSE coalesce((1-(t-pt)/(nt-pt))*pv+(t-pt)/(nt-pt)*nv, pv, nv) END/pi(),6) AS v FROM nr""")
 def interp_hold_ends(spark, folder):
-    return op.hold_ends(shipped(spark, folder), "t", nodes(spark, folder), "t", "v").select("flag", "t", r6("v", 7).alias("v"))
+    return op.hold_ends(shipped(spark, folder), "t", nodes(spark, folder), "t", "v").select("flag", "t", r6(F.col("v") / F.pi()).alias("v"))
 
 
 @query("window_mean_or_nearest", f"""WITH {SAMPLES}, d AS (SELECT t AS st, event_id, t+600 AS en FROM ev WHERE state='RFANT'),
