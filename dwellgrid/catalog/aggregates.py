@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from dwellgrid.catalog.registry import query
-from dwellgrid.catalog.segments import HOURLY, hourly
 from dwellgrid.catalog.timejoins import POLICY_SQL, policy_rows
-from dwellgrid.catalog.views import CELLS, INTEG, SAMPLES, cells, integrations, r6, samples, spectra, table
+from dwellgrid.catalog.views import CELLS, INTEG, SAMPLES, cells, r6, samples, spectra, table
 from dwellgrid.operators import aggregates as op
 from dwellgrid.operators import segments as sg
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.catalog.aggregates import rounded
 from dwellgrid.catalog.registry import query
-from dwellgrid.catalog.views import SPECTRA, cells, r6, spectra
+from dwellgrid.catalog.views import SPECTRA, cells, spectra
 from dwellgrid.functions import bits
 from dwellgrid.operators import fits
 from dwellgrid.operators import segments as sg

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.catalog.aggregates import rounded
 from dwellgrid.catalog.registry import query
-from dwellgrid.catalog.views import CELLS, NODES, SAMPLES, SPECTRA, cells, nodes, r6, samples, spectra, table
+from dwellgrid.catalog.views import CELLS, NODES, SAMPLES, cells, nodes, r6, samples, spectra
 from dwellgrid.functions import arrays as A
 from dwellgrid.operators import rolling as op
 

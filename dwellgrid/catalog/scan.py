@@ -1,7 +1,5 @@
 """Queries over scans, sources and sinks."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from dwellgrid.catalog.registry import query

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.catalog.registry import query
 from dwellgrid.catalog.segments import _SWEEPS
-from dwellgrid.catalog.views import CELLS, INTEG, NODES, SAMPLES, SHIPPED, SPECTRA, cells, integrations, nodes, r6, samples, shipped, spectra, table
+from dwellgrid.catalog.views import INTEG, NODES, SAMPLES, SHIPPED, SPECTRA, cells, integrations, nodes, r6, samples, shipped, spectra, table
 from dwellgrid.functions.clock import unix_seconds
 from dwellgrid.operators import rangejoins as rj
 from dwellgrid.operators import segments as sg

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from dwellgrid.operators import aggregates as ag
 from dwellgrid.operators import rolling as ro
 from dwellgrid.operators.fits import segment_background
 from dwellgrid.operators.ordered import GROUP_LIMIT, Size, attach, framed, measure
-from dwellgrid.operators.quantiles import quantiles, with_mad, with_median
+from dwellgrid.operators.quantiles import with_mad, with_median
 from dwellgrid.session import cut
 
 
