@@ -234,7 +234,7 @@ fd AS (SELECT *, floor((row_number() OVER (PARTITION BY block ORDER BY ft,file)-
 
 
 @query("resume_plan", f"""WITH {_PLAN} SELECT (SELECT count(*) FROM pf) AS requested, (SELECT count(*) FROM pf WHERE status='use') AS approved, (SELECT count(*) FROM pf WHERE status='reject') AS rejected,
-(SELECT count(*) FROM pf WHERE status='use' AND file IN (SELECT file FROM dn)) AS completed, count(*) AS batches, CAST(sum(files) AS BIGINT) AS pending, CAST(sum(rows) AS BIGINT) AS pending_rows FROM fe""")
+(SELECT count(*) FROM pf WHERE status='use' AND file IN (SELECT file FROM dn)) AS completed, count(*) AS batches, CAST(coalesce(sum(files),0) AS BIGINT) AS pending, CAST(coalesce(sum(rows),0) AS BIGINT) AS pending_rows FROM fe""")
 def resume_plan(spark, folder):
     h = hourly(spark, folder).withColumn("status", F.when((F.col("state") == "UNKNOWN") & (F.col("power") > 40), "reject").otherwise("use"))
     done = h.where("day < '20240110'").select("file")
