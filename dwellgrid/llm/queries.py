@@ -7,25 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellgrid.llm import toxicity, warc
 from dwellgrid.llm.contamination import decontaminate
+from dwellgrid.llm.lines import LINES_SQL, dedup_lines
 from dwellgrid.llm.near import near_duplicates
 from dwellgrid.llm.packing import pack
+from dwellgrid.llm.quality import classify
 from dwellgrid.llm.rules import quality_rules
+from dwellgrid.llm.urls import filter_urls, seeded_labels
+
+# The host and path rules of op9.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def wrap(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return wrap
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query
+@query(LINES_SQL)
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without lines that ten or more sources share."""
+    return dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS said FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS said FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s) WHERE len(w) >= n)),
+m AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.said = iw.said),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query(DECONTAMINATION_SQL)
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in ten-word windows of benchmark items."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -37,19 +70,68 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query()
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's tokens in sequences of 2048."""
     return pack(table(spark, folder, "documents"), with_ids=False)
 
 
-@query
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+l AS (SELECT body, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY 1)
+SELECT page_id, n AS payload_bytes, sha1(p.body) AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN l ON p.body = l.body AND n >= 1000
+"""
+
+
+@query(WARC_SQL)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record as the merged index of the archives tells it."""
+    out = warc.archive_pages(table(spark, folder, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score from two co-trained views."""
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity from weakly supervised training."""
+    out = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, w.doc_id = min(root) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+
+@query(NEAR_SQL)
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its near-duplicate component."""
     return near_duplicates(table(spark, folder, "documents"))
 
 
-@query
+@query()
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL under the rules, and else the boosted trees."""
+    pages = table(spark, folder, "pages")
+    out = filter_urls(pages, seeded_labels(pages, table(spark, folder, "labels")), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query()
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document under rules whose false-rejection rate is bounded per language."""
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))

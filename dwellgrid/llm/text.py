@@ -76,6 +76,7 @@ class Chunk:
     first: int
     buf: np.ndarray  # uint8
     offs: np.ndarray  # int64, n + 1 ends of rows in buf
+    sums: dict | None = None  # prefix sums by buffer
 
     @property
     def n(self) -> int:
@@ -84,8 +85,12 @@ class Chunk:
     def spans(self, h_from: np.ndarray, h_to: np.ndarray, buf: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the byte spans [from, to)."""
         buf = self.buf if buf is None else buf
-        sums = np.zeros(len(buf) + 1, U)
-        np.cumsum(_CODES[buf] * _power(len(buf), False), out=sums[1:])
+        self.sums = self.sums or {}
+        if id(buf) not in self.sums:
+            sums = np.zeros(len(buf) + 1, U)
+            np.cumsum(_CODES[buf] * _power(len(buf), False), out=sums[1:])
+            self.sums[id(buf)] = (sums, buf)  # the buffer too, so that its id stays its own
+        sums = self.sums[id(buf)][0]
         h = (sums[h_to] - sums[h_from]) * _power(len(buf) + 1, True)[h_from]
         return mix(h + (h_to - h_from).astype(U) * U(0xD6E8FEB86659FD93))
 
