@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.llm.store import stored
-from dwellgrid.llm.text import LETTERS, U, bounded_batches, chunks, mix, row_sums, seeded, words
+from dwellgrid.llm.text import LETTERS, U, bounded_batches, chunks, hashed, mix, row_sums, seeded, words
 
 #: Most labelled rows that voters are mined from, the first by hash.
 FIT_ROWS = 20_000
@@ -31,6 +31,8 @@ VOTERS = 400
 VOCABULARY = 4096
 BEGINNINGS = (4, 5, 6)  # bytes
 ROUNDS = 6
+#: Share of toxic documents among a voter's documents, at least.
+PRECISION = 0.95
 #: Patterns of writing that vote: share of capitals, and exclamation marks per 100 characters.
 PATTERNS = {"capitals": (ord("A"), ord("Z"), 0.4), "exclaims": (ord("!"), ord("!"), 0.02)}
 _VOTE, _TOKEN = "votes array<int>", "tokens array<int>"
@@ -39,7 +41,7 @@ _VOTE, _TOKEN = "votes array<int>", "tokens array<int>"
 def _tokens(chunk):
     """(row, hash) of every word and word beginning of a chunk, once per row."""
     w = words(chunk, LETTERS, lower=True)
-    rows, hashes = [w.row], [chunk.spans(w.start, w.end, w.buf)]
+    rows, hashes = [w.row], [hashed(chunk, w)]
     for n in BEGINNINGS:
         longer = np.flatnonzero(w.end - w.start > n)
         rows.append(w.row[longer])
@@ -52,6 +54,38 @@ def _tokens(chunk):
     return row[new], h[new]
 
 
+def one_of_copies(texts: DataFrame) -> DataFrame:
+    """Labelled documents (doc_id, text, y) without near copies, whose words would count as so many witnesses.
+
+    Documents that share the least hash of their three-word windows, under
+    either of two orders, are taken as copies; the smallest id stays.
+    """
+    orders = (U(seeded(21)), U(seeded(22)))
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for c in chunks(batch.column(1)):
+                w = words(c, LETTERS, lower=True)
+                g, place = w.grams(hashed(c, w), 3)
+                edges = np.searchsorted(w.row[place], np.arange(c.n + 1))
+                whole = c.spans(c.offs[:-1], c.offs[1:])
+                keys = []
+                for x in orders:
+                    k = mix(whole ^ x)
+                    full = np.flatnonzero(np.diff(edges))
+                    if len(full):
+                        k[full] = np.minimum.reduceat(mix(g ^ x), edges[full])
+                    keys.append(pa.array(k.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, c.n), *keys], names=["doc_id", "k1", "k2"])
+                at += c.n
+
+    kept = stored(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long"), "toxic-keys")
+    for k in ("k1", "k2"):
+        kept = kept.groupBy(k).agg(F.min(F.struct("doc_id", "k1", "k2")).alias("x")).select("x.*")
+    return texts.join(kept.select("doc_id").distinct(), "doc_id")
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, toxic, clean): labelled documents (text, y) with each token."""
 
@@ -80,8 +114,8 @@ def mine(counts: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndar
     told = n * (part(share, F.lit(base)) + part(1 - share, F.lit(1 - base)))
     known = counts.where("toxic + clean >= 3").withColumn("share", share).withColumn("told", told)
     chance = math.log(max(2, known.count()))  # so that one token of all is taken by chance
-    voters = known.where((F.col("share") > max(0.5, base)) & (F.col("told") > chance)).orderBy(F.desc("told"), "token").limit(VOTERS)
-    vocabulary = known.where(F.col("told") > chance / 2).orderBy(F.desc("told"), "token").limit(VOCABULARY)
+    voters = known.where((F.col("share") >= PRECISION) & (F.col("told") > chance)).orderBy(F.desc("told"), "token").limit(VOTERS)
+    vocabulary = known.where("told > 3").orderBy(F.desc("told"), "token").limit(VOCABULARY)
     take = lambda df: np.array([r["token"] for r in df.select("token").collect()], np.int64)  # noqa: E731  of fixed length
     return take(voters), take(vocabulary)
 
@@ -128,58 +162,72 @@ def voted(docs: DataFrame, voters: np.ndarray, vocabulary: np.ndarray) -> DataFr
 
 
 class LabelModel:
-    """Accuracies and discounts of unipolar voters."""
+    """Accuracies of unipolar voters and the correlations of their votes."""
+
+    def __init__(self, accuracy: np.ndarray, prior: float, together: np.ndarray | None = None):
+        self.accuracy, self.prior = accuracy, prior
+        self.together = np.zeros((len(accuracy), len(accuracy)), np.float32) if together is None else together
+
+    def posterior(self, votes: np.ndarray) -> float:
+        """Of one vote pattern. Each vote counts as one part of those present that come along with it anyway."""
+        base = math.log(self.prior / (1 - self.prior))
+        a = np.clip(self.accuracy[votes], 1e-3, 1 - 1e-3)
+        weight = 1 / (1 + self.together[np.ix_(votes, votes)].sum(1))
+        return 1 / (1 + math.exp(-np.clip(base + float(weight @ (np.log(a / (1 - a)) - base)), -30, 30)))
 
-    def __init__(self, accuracy: np.ndarray, prior: float):
-        self.accuracy, self.prior, self.discount = accuracy, prior, np.ones(len(accuracy))
 
-    def evidence(self) -> np.ndarray:
-        a = np.clip(self.accuracy, 1e-3, 1 - 1e-3)
-        return self.discount * (np.log(a / (1 - a)) - self.base())
+def with_posterior(df: DataFrame, model: LabelModel) -> DataFrame:
+    """``df`` with the posterior ``q`` of its column ``votes``."""
+    at, names = df.columns.index("votes"), df.columns
+    sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def base(self) -> float:
-        return math.log(self.prior / (1 - self.prior))
+    def run(batches):
+        known: dict[bytes, float] = {}
+        for batch in batches:
+            q = []
+            for x in batch.column(at).to_pylist():
+                votes = np.array(x, np.int64)
+                if len(votes) > 1:
+                    q.append(sent.value.posterior(votes))
+                    continue
+                key = votes.tobytes()
+                if key not in known:
+                    known[key] = sent.value.posterior(votes)
+                q.append(known[key])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q, pa.float64())], names=[*names, "q"])
 
-    def posterior(self) -> Column:
-        """Of the column ``votes``."""
-        e = F.array(*map(F.lit, self.evidence().tolist()))
-        total = F.aggregate("votes", F.lit(self.base()), lambda a, v: a + F.element_at(e, v + 1))
-        return 1 / (1 + F.exp(-total))
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "q double"]))
 
 
 def learn(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS) -> LabelModel:
     """Expectation maximisation over ``patterns`` (votes, n); only sums per voter and per pair of voters come to the driver."""
     model = start
     for step in range(rounds):
-        q = patterns.withColumn("q", model.posterior())
-        each = q.select(F.explode("votes").alias("v"), (F.col("q") * F.col("n")).alias("q"), "n").groupBy("v").agg(F.sum("q").alias("q"), F.sum("n").alias("n")).collect()
-        accuracy = model.accuracy.copy()
-        for r in each:  # start is worth ten votes, so that a rare voter keeps what its labels said
-            accuracy[r["v"]] = (r["q"] + 10 * start.accuracy[r["v"]]) / (r["n"] + 10)
-        discount = model.discount
+        q = with_posterior(patterns, model).withColumn("q", F.col("q") * F.col("n"))
         if step == 0:
-            discount = _discounts(q, each, len(accuracy))
-        model = LabelModel(accuracy, start.prior)
-        model.discount = discount
+            q = stored(q, "toxic-first")
+        each = q.select(F.explode("votes").alias("v"), "q", "n").groupBy("v").agg(F.sum("q").alias("q"), F.sum("n").alias("n")).collect()
+        accuracy = model.accuracy.copy()
+        for r in each:  # voters only ever agree, so half of an accuracy stays with what labels said
+            accuracy[r["v"]] = (r["q"] / r["n"] + start.accuracy[r["v"]]) / 2
+        together = _together(q, each, len(accuracy)) if step == 0 else model.together
+        model = LabelModel(accuracy, start.prior, together)
     return model
 
 
-def _discounts(q: DataFrame, each: list, size: int) -> np.ndarray:
-    """1 / (1 + sum of a voter's positive correlations with others in toxic documents)."""
-    total = q.agg(F.sum(F.col("q") * F.col("n"))).first()[0] or 0.0
+def _together(q: DataFrame, each: list, size: int) -> np.ndarray:
+    """Positive correlations of the votes of two voters in toxic documents; 1 for a vote that always comes along."""
+    total = max(q.agg(F.sum("q")).first()[0] or 0.0, 1e-9)
     mean = np.zeros(size)
     for r in each:
-        mean[r["v"]] = min(1.0, r["q"] / max(total, 1e-9))
-    pairs = q.select(F.col("votes"), (F.col("q") * F.col("n")).alias("w"), F.explode("votes").alias("a")).select("a", "w", F.explode("votes").alias("b")).where("a < b")
-    other = np.zeros(size)
-    for r in pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).collect():
+        mean[r["v"]] = min(1.0, r["q"] / total)
+    pairs = q.select("q", "votes", F.explode("votes").alias("a")).select("a", "q", F.explode("votes").alias("b")).where("a < b")
+    out = np.zeros((size, size), np.float32)
+    for r in pairs.groupBy("a", "b").agg(F.sum("q").alias("q")).collect():
         a, b = r["a"], r["b"]
         spread = math.sqrt(max(1e-12, mean[a] * (1 - mean[a]) * mean[b] * (1 - mean[b])))
-        rho = min(1.0, max(0.0, (r["w"] / max(total, 1e-9) - mean[a] * mean[b]) / spread))
-        if rho > 0.1:
-            other[a] += rho
-            other[b] += rho
-    return 1 / (1 + other)
+        out[a, b] = out[b, a] = min(1.0, max(0.0, (r["q"] / total - mean[a] * mean[b]) / spread))
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,6 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     known = stored(known, "toxic-known")
     sample = stored(src.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"]), "toxic-sample")
+    sample = stored(one_of_copies(sample), "toxic-sample")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     voters, vocabulary = mine(stored(token_counts(sample), "toxic-counts"), toxic, clean)
@@ -213,12 +262,12 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
         out = rows.withColumn("posterior", F.lit(prior)).withColumn("score", F.lit(prior))
         return out.select("doc_id", "held_out", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     accuracy = np.full(silent + 1, prior)
-    told = rows.where("NOT held_out").join(F.broadcast(known), "doc_id").select("y", F.explode("votes").alias("v"))
+    told = rows.where("NOT held_out").join(sample.select("doc_id", "y").distinct(), "doc_id").select("y", F.explode("votes").alias("v"))
     for r in told.groupBy("v").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect():
         accuracy[r["v"]] = (r["y"] + prior) / (r["n"] + 1)
     patterns = stored(rows.groupBy("votes").agg(F.count("*").alias("n")), "toxic-patterns")
     model = learn(patterns, LabelModel(accuracy, prior))
-    marked = rows.withColumn("posterior", model.posterior()).withColumn("tokens", F.transform("tokens", lambda x: x.cast("string")))
+    marked = with_posterior(rows, model).withColumnRenamed("q", "posterior").withColumn("tokens", F.transform("tokens", lambda x: x.cast("string")))
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(max(1, len(vocabulary)))], inputCol="tokens", outputCol="features", minTF=1.0)
     vectors.setBinary(True)
     counted = vectors.transform(marked)
