@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.llm import toxicity, warc
 from dwellgrid.llm.contamination import decontaminate
+from dwellgrid.llm.html import extract
 from dwellgrid.llm.lines import LINES_SQL, dedup_lines
 from dwellgrid.llm.near import near_duplicates
 from dwellgrid.llm.packing import pack
@@ -37,6 +38,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, folder, "pages"))
+
+
 @query(LINES_SQL)
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without lines that ten or more sources share."""

@@ -273,6 +273,6 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     counted = vectors.transform(marked)
     halves = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight"))))
     teach = counted.where("NOT held_out").select("features", halves.alias("x")).select("features", "x.label", "x.weight").where("weight > 0.001")
-    linear = LogisticRegression(weightCol="weight", maxIter=30, regParam=2e-4, standardization=False).fit(teach)
+    linear = LogisticRegression(weightCol="weight", maxIter=50, regParam=2e-5, standardization=False).fit(teach)
     scored = linear.transform(counted).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "held_out", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
