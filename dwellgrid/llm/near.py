@@ -8,13 +8,14 @@
    its value there. Sets of similarity 0.75 meet at the leaf of a tree with a
    chance of 0.6 at depth three; independent trees repeat this until the chance to miss is
    below 1e-5.
-3. Nodes with at most ``leaf`` sets are compared exhaustively inside one task,
-   on the full sets. Larger nodes branch on. A node that is still too
-   large at the greatest depth holds sets that are nearly alike: it is dealt
-   into blocks, and after linking inside the blocks those outside the node's
-   largest component are compared with all blocks.
-4. The first trees are compared first. Later trees only compare nodes that
-   still hold sets of different components, and skip pairs already connected.
+3. Nodes of at most ``leaf`` shingles in all are compared exhaustively inside
+   one task, on the full sets.
+4. The first two trees are compared first, their larger nodes in blocks, dealt
+   anew in each tree: this connects what is nearly alike. Of later trees only
+   nodes that still hold different components are compared, and pairs already
+   connected are skipped. Their larger nodes branch on. A node that is still
+   too large at the greatest depth is dealt into blocks, and then those
+   outside the node's largest component are compared with all blocks.
 
 A leaf gives one link per set that it connects, never all pairs, and a search
 from linked sets outward is exact: a set is held against every set not yet in
@@ -38,7 +39,9 @@ TREES = 14
 DEPTH = 3
 DEEPER = 3  # levels that a node too large goes on at once
 DEEPEST = 15
-LEAF = 256
+FIRST_TREES = 2
+#: Shingles, over all sets of a node, that one task compares.
+LEAF = 1 << 20
 _rng = np.random.default_rng(97)
 _XOR = _rng.integers(1, 1 << 63, COORDS, dtype=U)
 _MUL = _rng.integers(1, 1 << 63, COORDS, dtype=U) * U(2) + U(1)
@@ -118,21 +121,32 @@ def _descend(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, levels: int)
     return node, own
 
 
+_ROWS = "node long, tree int, rep long, load int"
+
+
+def _rows(node: np.ndarray, tree, rep, load) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), tree, rep, load], names=["node", "tree", "rep", "load"])
+
+
+def _sketch(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
+
+
 def _paths(sketches: DataFrame, trees: int) -> DataFrame:
-    """(node, tree, rep) at the first depth of every tree."""
+    """(node, tree, rep, load) at the first depth of every tree."""
     roots = np.array([seeded(5, t) for t in range(trees)], U)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            rep = np.asarray(batch.column(0))
-            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
+            sketch = _sketch(batch.column(2))
             for t, root in enumerate(roots):
-                node, own = _descend(np.full(len(rep), root, U), np.arange(len(rep)), sketch, DEPTH)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.full(len(node), t, np.int32)), pa.array(rep[own])], names=["node", "tree", "rep"])
+                node, own = _descend(np.full(n, root, U), np.arange(n), sketch, DEPTH)
+                yield _rows(node, pa.array(np.full(len(node), t, np.int32)), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)))
 
-    return sketches.select("rep", "sketch").mapInArrow(run, "node long, tree int, rep long")
+    return sketches.select("rep", "load", "sketch").mapInArrow(run, _ROWS)
 
 
 def _branch(rows: DataFrame, levels: int) -> DataFrame:
@@ -140,33 +154,16 @@ def _branch(rows: DataFrame, levels: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, COORDS)
-            node, own = _descend(np.asarray(batch.column(0)).view(U), np.arange(batch.num_rows), sketch, levels)
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["node", "tree", "rep"])
+            node, own = _descend(np.asarray(batch.column(0)).view(U), np.arange(batch.num_rows), _sketch(batch.column(4)), levels)
+            yield _rows(node, *(batch.column(i).take(pa.array(own)) for i in (1, 2, 3)))
 
-    return rows.select("node", "tree", "rep", "sketch").mapInArrow(run, "node long, tree int, rep long")
+    return rows.select("node", "tree", "rep", "load", "sketch").mapInArrow(run, _ROWS)
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that more than one set has reached, with the node's size."""
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
-
-
-def leaves(sketches: DataFrame, trees: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(node, tree, rep) of nodes small enough to compare, and of nodes too large at the greatest depth."""
-    rows = stored(_sized(_paths(sketches, trees).distinct()), "near-nodes")
-    small, depth = [rows.where(F.col("size") <= leaf).drop("size")], DEPTH
-    large = rows.where(F.col("size") > leaf).drop("size")
-    while depth < DEEPEST and not large.isEmpty():
-        depth += DEEPER
-        rows = stored(_sized(_branch(large.join(sketches.select("rep", "sketch"), "rep"), DEEPER).distinct()), "near-nodes")
-        small.append(rows.where(F.col("size") <= leaf).drop("size"))
-        large = rows.where(F.col("size") > leaf).drop("size")
-    out = small[0]
-    for x in small[1:]:
-        out = out.unionByName(x)
-    return out, large
+    """Rows of nodes that more than one set has reached, with the shingles of the node."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("sets"), F.sum("load").alias("total")).where("sets > 1").select("node", "total")
+    return rows.join(sizes, "node")
 
 
 def _grouped(batches, key: int):
@@ -256,14 +253,15 @@ def _with_components(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(c, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """One copy of each group of sets that still holds different components.
+def _differing(rows: DataFrame, node: str) -> DataFrame:
+    """Rows of nodes that still hold different components."""
+    return rows.join(rows.groupBy(node).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(node), node)
 
-    Many nodes hold the very same sets; their sum of hashes tells, and one is compared.
-    """
-    by = rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.count("*").alias("size"))
-    one = by.where("lo <> hi").groupBy("same", "size").agg(F.min("grp").alias("grp")).select("grp")
-    return rows.join(one, "grp")
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One of all groups of the very same sets: many nodes hold them, their sum of hashes tells."""
+    by = rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.count("*").alias("sets"))
+    return rows.join(by.where("lo <> hi").groupBy("same", "sets").agg(F.min("grp").alias("grp")).select("grp"), "grp")
 
 
 def near_components(docs: DataFrame, share: int = 75, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -282,28 +280,39 @@ def near_components(docs: DataFrame, share: int = 75, trees: int = TREES, leaf:
     )
     per_class = classes.select("f1", "f2", "n_shingles", "rep", F.xxhash64("f1", "f2", "n_shingles").alias("key"), "sketch")
     per_class = stored(per_class, "near-classes")
-    sketches = per_class.select(F.col("key").alias("rep"), "sketch")
-    rows, large = leaves(sketches, trees, leaf)
-    needed = rows.select("rep").union(large.select("rep")).distinct()
+    sketches = per_class.select(F.col("key").alias("rep"), F.col("n_shingles").cast("int").alias("load"), "sketch")
+    rows = stored(_sized(_paths(sketches, trees).distinct()), "near-nodes")
+    needed = rows.select("rep").distinct()
     texts = per_class.join(needed, per_class["key"] == needed["rep"], "left_semi").select(F.col("rep").alias("doc_id"), "f1", "f2", F.col("key").alias("rep"))
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     found = shingle_sets(src.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), sketch=False)
-    members = found.join(texts, ["doc_id", "f1", "f2"]).dropDuplicates(["rep"]).select("rep", "members")
-    members = stored(members, "near-members")
-    has_large = not large.isEmpty()
-    linked, known = None, None
-    for first in (True, False):
-        part = rows.where((F.col("tree") < 2) if first else (F.col("tree") >= 2)).select(F.col("node").alias("grp"), "rep")
-        part = part.withColumn("fresh", F.lit(True))
-        if has_large:
-            some = large.where((F.col("tree") < 2) if first else (F.col("tree") >= 2))
-            part = part.unionByName(_dealt(some, leaf))
-        links = stored(_compare(_mixed(_with_components(part, known)), members, share), "near-links")
-        linked = links if linked is None else linked.unionByName(links)
-        known = stored(components(linked), "near-components")
-    if has_large:
-        links = stored(_compare(_outsiders(_with_components(large, known), leaf), members, share), "near-links")
-        known = stored(components(linked.unionByName(links)), "near-components")
+    members = stored(found.join(texts, ["doc_id", "f1", "f2"]).dropDuplicates(["rep"]).select("rep", "members"), "near-members")
+    whole = lambda x: x.select(F.col("node").alias("grp"), "rep", F.lit(True).alias("fresh"))
+
+    first = rows.where(F.col("tree") < FIRST_TREES)
+    part = whole(first.where(F.col("total") <= leaf)).unionByName(_dealt(first.where(F.col("total") > leaf), leaf))
+    links = stored(_compare(_one_of_each(_with_components(part, None)), members, share), "near-links")
+    known = stored(components(links), "near-components")
+
+    later = stored(_differing(_with_components(rows.where(F.col("tree") >= FIRST_TREES), known), "node"), "near-later")
+    parts, depth, large = [later.where(F.col("total") <= leaf)], DEPTH, later.where(F.col("total") > leaf)
+    while depth < DEEPEST and not large.isEmpty():
+        depth += DEEPER
+        deeper = _sized(_branch(large.join(sketches.select("rep", "sketch"), "rep"), DEEPER).distinct())
+        deeper = stored(_differing(_with_components(deeper, known), "node"), "near-later")
+        parts.append(deeper.where(F.col("total") <= leaf))
+        large = deeper.where(F.col("total") > leaf)
+    part = whole(parts[0])
+    for x in parts[1:]:
+        part = part.unionByName(whole(x))
+    blocks = not large.isEmpty()
+    if blocks:
+        part = part.unionByName(_dealt(large, leaf))
+    links = links.unionByName(stored(_compare(_one_of_each(_with_components(part, known)), members, share), "near-links"))
+    known = stored(components(links), "near-components")
+    if blocks:
+        last = stored(_compare(_outsiders(_with_components(large.drop("comp"), known), leaf), members, share), "near-links")
+        known = stored(components(links.unionByName(last)), "near-components")
     classed = _with_components(per_class.select("f1", "f2", "n_shingles", F.col("key").alias("rep"), F.col("rep").alias("least")), known)
     least = classed.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = classed.join(least, "comp").select("f1", "f2", "n_shingles", "component_id")
@@ -313,23 +322,21 @@ def near_components(docs: DataFrame, share: int = 75, trees: int = TREES, leaf:
 
 
 def _dealt(large: DataFrame, leaf: int) -> DataFrame:
-    """Nodes too large, dealt into blocks of about ``leaf`` sets, another deal for each tree."""
-    size = large.groupBy("node").agg(F.count("*").alias("size"))
-    block = F.pmod(F.xxhash64("rep", "tree", "node"), F.ceil(F.col("size") / leaf))
-    return large.join(size, "node").select(F.xxhash64("node", block).alias("grp"), "rep", F.lit(True).alias("fresh"))
+    """Nodes too large, dealt into blocks of about ``leaf`` shingles, another deal for each tree."""
+    block = F.pmod(F.xxhash64("rep", "tree", "node"), F.ceil(F.col("total") / leaf))
+    return large.select(F.xxhash64("node", block).alias("grp"), "rep", F.lit(True).alias("fresh"))
 
 
 def _outsiders(large: DataFrame, leaf: int) -> DataFrame:
     """Blocks of sets outside their node's largest component, each with every block of the node."""
     by = large.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    top = by.groupBy("node").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.sum("n").alias("size"))
-    marked = large.join(top, "node").withColumn("fresh", F.col("comp") != F.col("top"))
-    k = F.ceil(F.col("size") / leaf)
-    blocks = marked.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")))
-    outer = blocks.where("fresh").select("node", F.col("block").alias("outer")).distinct()
-    mine = blocks.where("fresh").select("node", "rep", "comp", "fresh", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("inner"), F.col("block").alias("outer"))
-    theirs = blocks.join(outer, "node").select("node", "rep", "comp", "fresh", F.col("block").alias("inner"), "outer")
-    rows = mine.select("node", "rep", "comp", "fresh", "inner", "outer").unionByName(theirs).dropDuplicates(["node", "rep", "inner", "outer"])
+    top = by.groupBy("node").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"))
+    k = F.ceil(2 * F.col("total") / leaf)
+    marked = large.join(top, "node").withColumn("fresh", F.col("comp") != F.col("top")).withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")))
+    outer = marked.where("fresh").select("node", F.col("block").alias("outer")).distinct()
+    mine = marked.where("fresh").select("node", "rep", "comp", "fresh", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("inner"), F.col("block").alias("outer"))
+    theirs = marked.join(outer, "node").select("node", "rep", "comp", "fresh", F.col("block").alias("inner"), "outer")
+    rows = mine.unionByName(theirs).dropDuplicates(["node", "rep", "inner", "outer"])
     return rows.select(F.xxhash64("node", "inner", "outer").alias("grp"), "rep", "comp", "fresh")
 
 
