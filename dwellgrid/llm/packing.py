@@ -164,7 +164,7 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", e
     groups = max(1, math.ceil(n / group_pieces))
     payload = [c for c in pieces.columns if c != "piece"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values(["length", "piece"], ascending=[False, True], ignore_index=True)
         at, offset = best_fit(pdf.length.to_numpy(), window)
         return pd.DataFrame({"piece": pdf.piece, "sequence_id": at * groups + key[0], "offset": offset})
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", e
         places = small.groupBy("group").applyInPandas(run, "piece long, sequence_id long, offset long")
         packed = rest.join(places, "piece").select(*payload, "sequence_id", "offset")
     else:
-        def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def whole(key, pdf):
             pdf = pdf.sort_values(["length", "piece"], ascending=[False, True], ignore_index=True)
             at, offset = best_fit(pdf.length.to_numpy(), window)
             return pdf[payload].assign(sequence_id=at * groups + key[0], offset=offset)
