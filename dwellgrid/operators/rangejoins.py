@@ -6,33 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.operators.ordered import GROUP_LIMIT, attach, bounded_broadcast, numbered
+from dwellgrid.session import cut
 
 BROADCAST_ROWS = 10_000
 
 
 def in_intervals(rows: DataFrame, at: str, intervals: DataFrame, start: str, stop: str,
                  how: str = "inner", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows with every closed interval [start, stop] that holds them.
-
-    A table of at most ``broadcast_rows`` intervals is broadcast.  A larger one
-    is hashed: each interval goes to the one or two bins it touches at the bin
-    width of its own length, each row to its bin at every width in use, so long
-    intervals never spread over many bins."""
-    small = bounded_broadcast(intervals, broadcast_rows)
-    if small is not None:
-        return rows.join(small, F.col(at).between(F.col(start), F.col(stop)), how)
+    """Rows with every closed interval [start, stop] that holds them (``how``: inner or left).
+
+    Each interval goes to the one or two bins it touches at the bin width of its
+    own length, each row to its bin at every width in use, so long intervals
+    never spread over many bins and no row meets an interval far away.  A table
+    of at most ``broadcast_rows`` bins is broadcast; the join is the same."""
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
     length = F.greatest(F.col(stop) - F.col(start), F.lit(1.0))
     level = F.ceil(F.log(8.0, length)).cast("int")
     width = F.pow(F.lit(8.0), level)
-    binned = intervals.withColumn("_level", level).withColumn(
+    binned = intervals.where(F.col(stop) >= F.col(start)).withColumn("_level", level).withColumn(
         "_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
-    levels = [r[0] for r in binned.select("_level").distinct().limit(64).collect()]  # log8 of a double's range
-    spots = F.array(*[F.struct(F.lit(v).alias("_level"), F.floor(F.col(at) / (8.0 ** v)).alias("_bin")) for v in levels])
+    levels = binned.agg(F.sort_array(F.collect_set("_level"))).first()[0]  # at most the exponents of a double
+    if how == "left":
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    spots = F.array(*[F.struct(F.lit(v).alias("_level"), F.floor(F.col(at) / (8.0 ** v)).alias("_bin")) for v in levels or [0]])
     spread = rows.withColumn("_spot", F.explode(spots)).select(*rows.columns, "_spot.*")
-    hits = spread.join(binned, ["_level", "_bin"]).where(F.col(at).between(F.col(start), F.col(stop))).drop("_level", "_bin")
+    small = bounded_broadcast(binned, broadcast_rows)
+    hits = spread.join(binned if small is None else small, ["_level", "_bin"]).where(F.col(at).between(F.col(start), F.col(stop))).drop("_level", "_bin")
     if how == "inner":
         return hits
-    raise ValueError("only inner joins beyond the broadcast size; attach the hits instead")
+    none = rows.join(hits.select("_row").distinct(), "_row", "left_anti")
+    return hits.unionByName(none, allowMissingColumns=True).drop("_row")
 
 
 def first_interval(rows: DataFrame, ids: list[str], at: str, intervals: DataFrame, start: str, stop: str,
@@ -59,17 +63,13 @@ def name_ranges(rows: DataFrame, name: str, ranges: DataFrame, first: str, last:
         ranges = (ranges.join(known, F.col(first) == F.col("_k"), "left_semi")
                   .join(known, F.col(last) == F.col("_k"), "left_semi"))
     pick = F.min_by if wins == "first" else F.max_by
-    small = bounded_broadcast(ranges, broadcast_rows)
-    if small is not None:
-        hits = names.join(small, F.col(name).between(F.col(first), F.col(last)))
-    else:
-        # rank all names involved, then join intervals of ranks
-        every = names.select(F.col(name).alias("_s")).union(ranges.select(first)).union(ranges.select(last)).distinct()
-        place = numbered(every, [], ["_s"], "_r", limit=limit)
-        at = lambda df, c, out: df.join(place.select(F.col("_s").alias(f"_s_{out}"), F.col("_r").cast("double").alias(out)),
-                                        F.col(c) == F.col(f"_s_{out}")).drop(f"_s_{out}")
-        hits = in_intervals(at(names, name, "_at"), "_at", at(at(ranges, first, "_lo"), last, "_hi"), "_lo", "_hi",
-                            broadcast_rows=broadcast_rows)
+    # rank all names involved, then join intervals of ranks
+    every = names.select(F.col(name).alias("_s")).union(ranges.select(first)).union(ranges.select(last)).distinct()
+    place = numbered(every, [], ["_s"], "_r", limit=limit)
+    at = lambda df, c, out: df.join(place.select(F.col("_s").alias(f"_s_{out}"), F.col("_r").cast("double").alias(out)),
+                                    F.col(c) == F.col(f"_s_{out}")).drop(f"_s_{out}")
+    hits = in_intervals(at(names, name, "_at"), "_at", at(at(ranges, first, "_lo"), last, "_hi"), "_lo", "_hi",
+                        broadcast_rows=broadcast_rows)
     best = hits.groupBy(name).agg(pick(label, number).alias(label))
     return attach(rows, best, [name]).withColumn(label, F.coalesce(label, F.lit("")))
 
