@@ -1,106 +1,115 @@
-"""Queries over fits, series selection and the segment detector (rows only)."""
+"""Queries over fits, series selection and the segment detector."""
 
 from pyspark.sql import functions as F
 
 from dwellgrid.catalog.aggregates import rounded
 from dwellgrid.catalog.registry import query
-from dwellgrid.catalog.views import SPECTRA, cells, spectra
+from dwellgrid.catalog.rolling import _roll, padded
+from dwellgrid.catalog.views import CELLS, SPECTRA, cells, spectra
 from dwellgrid.functions import bits
 from dwellgrid.operators import fits
-from dwellgrid.operators import segments as sg
 from dwellgrid.plans import flagging, series
 
-FREQS = [35.0 + 3.125 * c for c in range(64)]  # the channel axis of the test spectra, MHz
+TEETH = list(range(8, 60, 8))
 
 
-def power(spark, folder):
-    """Positive spectra: auto, companion auto, cross parts."""
-    s = spectra(spark, folder)
-    p = lambda k: F.transform("spec", lambda x: k * F.exp(x))
-    return s.withColumns({"p": p(1000.0), "g": p(800.0), "xr": F.transform("spec", lambda x: 10 * x), "xi": F.reverse(F.transform("spec", lambda x: 10 * x))})
+@query("robust_row_model", f"""WITH {CELLS}, a AS (SELECT row_no, chan, CASE WHEN chan%8<>3 AND p>0 THEN ln(p) END AS y FROM cells),
+f AS (SELECT row_no, regr_slope(y,chan) AS s, regr_intercept(y,chan) AS i FROM a GROUP BY 1), r AS (SELECT a.*, y-i-s*chan AS r FROM a JOIN f USING (row_no)),
+m AS (SELECT row_no, median(r) AS m FROM r GROUP BY 1), d AS (SELECT row_no, m, 1.4826*median(abs(r-m)) AS d FROM r JOIN m USING (row_no) GROUP BY 1,2),
+k AS (SELECT r.row_no, chan, CASE WHEN r<=m+3*d+1e-12 THEN y END AS y FROM r JOIN d USING (row_no)), g AS (SELECT row_no, regr_slope(y,chan) AS s, regr_intercept(y,chan) AS i, count(y) AS n FROM k GROUP BY 1)
+SELECT row_no, chan, round(CASE WHEN n>=8 THEN exp(i+s*chan) END,5) AS model FROM cells JOIN g USING (row_no)""")
+def robust_row_model(spark, folder):
+    out = fits.robust_row_model(cells(spark, folder), "row_no", "chan", "p", F.col("chan") % 8 != 3)
+    return rounded(out.select("row_no", "chan", "model"), 5)
 
 
-@query("robust_row_model")
-def robust_row_model(spark, folder):
-    basis = fits.slepian(64, 4.0, 8)
-    out = fits.robust_row_model(power(spark, folder), "p", basis, [c % 8 != 3 for c in range(64)], use_log=True)
-    return rounded(out.select("row_no", F.posexplode("model").alias("chan", "model")), 5)
+def _filled(parity: int) -> str:
+    own, side = f"chan%2={parity}", f"OVER (PARTITION BY row_no ORDER BY chan ROWS BETWEEN"
+    pick = lambda c, f, w: f"{f}(CASE WHEN {own} AND NOT f THEN {c} END IGNORE NULLS) {side} {w})"
+    before, after = "UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"
+    return ", ".join(f"{pick(c, f, w)} AS {c[0]}{n}{parity}" for c in ("chan", "p") for n, f, w in (("l", "last_value", before), ("r", "first_value", after)))
+
 
+def _read(parity: int, name: str) -> str:
+    c0, v0, c1, v1 = (f"{c}{n}{parity}" for n in "lr" for c in "cp")
+    return f"round(CASE WHEN bad THEN NULL WHEN chan%2={parity} THEN CASE WHEN NOT f THEN p END ELSE {v0}+({v1}-{v0})*(chan-{c0})/({c1}-{c0}) END,5) AS {name}"
 
-@query("interleaved_fill")
+
+@query("interleaved_fill", f"""WITH {CELLS}, c AS (SELECT *, x>0.15 AS f FROM cells), w AS (SELECT *, avg(f::INT) OVER (PARTITION BY row_no)>0.35 AS bad, {_filled(0)}, {_filled(1)} FROM c)
+SELECT row_no, chan, bad, {_read(0, 'even')}, {_read(1, 'odd')} FROM w""")
 def interleaved_fill(spark, folder):
-    p = power(spark, folder).withColumn("f", F.transform("spec", lambda x: x > 0.3))
-    out = fits.interleaved_fill(p, "p", "f", [True] * 64, modes=8, max_cond=1e6)
-    z = F.arrays_zip(F.col("fill.even").alias("even"), F.col("fill.odd").alias("odd"), F.col("fill.even_measured").alias("measured"))
-    return rounded(out.select("row_no", F.col("fill.bad").alias("bad"), F.posexplode(z).alias("chan", "c")).select("row_no", "bad", "chan", "c.*"), 5)
+    out = fits.interleaved_fill(cells(spark, folder).withColumn("f", F.col("x") > 0.15), "row_no", "chan", "p", "f")
+    return rounded(out.select("row_no", "chan", "bad", "even", "odd"), 5)
 
 
-@query("comb_background")
+@query("comb_background", f"""WITH {CELLS}, t AS (SELECT unnest({TEETH}) AS tooth), m AS (SELECT row_no, chan, CASE WHEN p>0 AND NOT EXISTS (SELECT 1 FROM t WHERE abs(tooth-chan)<=1) THEN p END AS v FROM cells),
+g AS (SELECT row_no, tooth, regr_intercept(v,chan-tooth) AS b, count(v) AS n FROM m JOIN t ON abs(tooth-chan)<=6 GROUP BY 1,2)
+SELECT row_no, tooth, round(CASE WHEN n>=4 THEN b END,5) AS background FROM g""")
 def comb_background(spark, folder):
-    teeth = list(range(8, 60, 8))
-    out = fits.comb_background(power(spark, folder), "p", FREQS, teeth, halfwidth=0.02, window=100.0, step=50.0)
-    return rounded(out.select("row_no", F.posexplode("background").alias("tooth", "background")), 5)
+    return rounded(fits.comb_background(cells(spark, folder), "row_no", "chan", "p", TEETH), 5)
+
+
+_VOTE = CELLS + ", c AS (SELECT * FROM cells WHERE chan%8=3), " + padded("", "c", "label, chan", "row_no", "row_no, x, p", 4, "a")
 
 
-@query("vote_mask")
+@query("vote_mask", f"""WITH {_VOTE}, b AS (SELECT label, chan, row_no, rn, cn, x-median(x) OVER {_roll('label, chan', 4)} AS rx, p-median(p) OVER {_roll('label, chan', 4)} AS rp FROM a),
+r AS (SELECT * FROM b WHERE rn BETWEEN 1 AND cn), m AS (SELECT label, chan, median(rx) AS mx, median(rp) AS mp FROM r GROUP BY 1,2),
+s AS (SELECT label, chan, 1.4826*median(abs(rx-mx)) AS sx, 1.4826*median(abs(rp-mp)) AS sp FROM r JOIN m USING (label, chan) GROUP BY 1,2),
+v AS (SELECT label, row_no, sum((sx>=1e-12 AND abs(rx)>4*sx)::INT + (sp>=1e-12 AND abs(rp)>4*sp)::INT)::BIGINT AS votes FROM r JOIN s USING (label, chan) GROUP BY 1,2)
+SELECT *, votes<1 AS clean FROM v""")
 def vote_mask(spark, folder):
-    c = cells(spark, folder).withColumn("t", F.col("row_no") * 0.5)
-    return fits.vote_mask(c, "label", "row_no", "chan", "t", ["x", "p"], F.col("chan") % 8 == 3, clip=4.0)
+    return fits.vote_mask(cells(spark, folder), "label", "row_no", "chan", ["x", "p"], F.col("chan") % 8 == 3, clip=4.0)
 
 
-def _segments(spark, folder):
-    p = power(spark, folder).withColumns({"t": F.col("row_no") * 0.5 + F.floor(F.col("row_no") / 200) * 600, "dt": F.lit(0.5), "sky": F.col("label") != 9})
-    return sg.segments(p, "t", "dt", ["row_no"], 3.0)
+_SEGMENT = CELLS + """, s AS (SELECT *, row_no%2 AS input, CAST(floor(row_no/200) AS BIGINT) AS segment FROM cells),
+l AS (SELECT input, segment, chan, median(p) AS level FROM s WHERE label<>9 AND p>0 GROUP BY 1,2,3),
+g AS (SELECT input, segment, row_no, median(p/level) AS gain FROM s JOIN l USING (input, segment, chan) WHERE p>0 GROUP BY 1,2,3)"""
 
 
-_FIT = dict(level_floor=1.0, freq_halfwidth_us=0.01, time_halfwidth_hz=0.01, cutoff=1e-6)
+def _segments(spark, folder):
+    return cells(spark, folder).withColumns({"input": F.col("row_no") % 2, "segment": F.floor(F.col("row_no") / 200), "freq": 35.0 + 3.125 * F.col("chan")})
 
 
-@query("segment_background")
+@query("segment_background", f"""WITH {_SEGMENT} SELECT input, segment, row_no, chan, round(level*gain,6) AS model FROM s LEFT JOIN l USING (input, segment, chan) LEFT JOIN g USING (input, segment, row_no)""")
 def segment_background(spark, folder):
-    out = fits.segment_background(_segments(spark, folder), ["segment"], "row_no", "t", "dt", "sky", "p", "g", "xr", "xi", FREQS, **_FIT)
-    z = F.arrays_zip("model", "z", "cross_score", "supported", "kept")
-    return rounded(out.select("segment", "row_no", F.posexplode(z).alias("chan", "c")).select("segment", "row_no", "chan", "c.*"), 4)
+    out = fits.segment_background(_segments(spark, folder), ["input", "segment"], "row_no", "chan", "p", F.col("label") != 9)
+    return rounded(out.select("input", "segment", "row_no", "chan", "model"), 6)
 
 
 @query("segment_flags")
 def segment_flags(spark, folder):
-    return flagging.segment_flags(_segments(spark, folder), ["segment"], "row_no", "t", "dt", "sky", ["p", "g", "xr", "xi"], FREQS, **_FIT)
+    c = _segments(spark, folder).withColumn("cross_score", 40 * F.abs("x"))
+    return flagging.segment_flags(c, ["input", "segment"], "row_no", "chan", "freq", "p", F.lit(0.02), F.col("label") != 9, "cross_score")
 
 
 @query("group_triggers")
 def group_triggers(spark, folder):
-    c = cells(spark, folder).withColumns({
-        "segment": F.floor(F.col("row_no") / 200), "freq": 35.0 + 3.125 * F.col("chan"), "z": 30 * F.col("x"), "cross_score": 40 * F.abs("x"),
-        "valid": F.col("label") != 9, "ref": F.col("label") != 9})
+    c = _segments(spark, folder).withColumns({"z": 30 * F.col("x"), "cross_score": 40 * F.abs("x"), "valid": F.col("label") != 9, "ref": F.col("label") != 9})
     cuts = flagging.Cuts(group=2.0, group_fraction=0.3, comb=3.0, comb_min_teeth=5, regions=((35.0, 235.0),))
-    out = flagging.group_triggers(c, "segment", "row_no", "chan", "freq", "z", "cross_score", "valid", "ref", cuts)
+    out = flagging.group_triggers(c, ["input", "segment"], "row_no", "chan", "freq", "z", "cross_score", "valid", "ref", cuts)
     return out.select("row_no", "chan", *[n for n in bits.REASON_BITS if n in out.columns])
 
 
-@query("coherence_prune")
+_SERIES = CELLS + """, o AS (SELECT row_no, chan, CASE WHEN label<8 AND p+200-1000>0 THEN p+200-1000 END AS v FROM cells),
+j AS (SELECT o.chan, o.v, l.chan IS NULL AS nl, r.chan IS NULL AS nr, l.v AS lv, r.v AS rv FROM o LEFT JOIN o l ON l.row_no=o.row_no AND l.chan=o.chan-16 LEFT JOIN o r ON r.row_no=o.row_no AND r.chan=o.chan+16),
+u AS (SELECT chan, ln(v) AS a, ln((coalesce(lv,0)+coalesce(rv,0))/((NOT nl)::INT+(NOT nr)::INT)) AS b FROM j WHERE v IS NOT NULL AND (nl OR lv IS NOT NULL) AND (nr OR rv IS NOT NULL) AND NOT (nl AND nr)),
+k AS (SELECT chan, count(*) AS n, corr(a,b) AS coherence FROM u GROUP BY 1)"""
+
+
+@query("coherence_prune", f"""WITH {_SERIES} SELECT c.chan, coalesce(n,0) AS n, round(coherence,7) AS coherence, coalesce(coherence>=0.01,false) AS kept FROM (SELECT DISTINCT chan FROM cells) c LEFT JOIN k USING (chan)""")
 def coherence_prune(spark, folder):
-    s = power(spark, folder).select(F.transform("p", lambda v, i: v + 300 * (i % 2)).alias("signal"), F.transform("p", lambda v: v < 1500).alias("good"))
-    out = series.coherence_prune(s, "signal", "good", [8 * i for i in range(64)], [True] * 64, threshold=0.01)
-    rows = [(d["series"], d["channel"], d["kept"], d["first_pass"], d["at_drop"]) for d in out]
-    return rounded(spark.createDataFrame(rows, "series int, channel int, kept boolean, first_pass double, at_drop double"), 7)
+    out = series.coherence(cells(spark, folder), "row_no", "chan", F.col("p") - 800, F.col("label") < 8, 16)
+    return rounded(out.withColumn("kept", F.coalesce(F.col("coherence") >= 0.01, F.lit(False))), 7)
 
 
-@query("select_series")
+@query("select_series", f"""WITH {_SERIES}, e AS (SELECT chan, 0.001+stddev_pop(x)/10 AS e, avg((label<8)::INT) AS good_fraction, quantile_cont(CASE WHEN label<8 THEN (p+200-1000)/1000 END,0.9) AS s FROM cells GROUP BY 1),
+t AS (SELECT chan, good_fraction, s/e AS isolation, coherence FROM e LEFT JOIN k USING (chan))
+SELECT chan, round(good_fraction,7) AS good_fraction, round(isolation,7) AS isolation, round(coherence,7) AS coherence, CASE WHEN good_fraction<0.5 THEN 'good_fraction' WHEN coalesce(isolation,-2)<10 THEN 'isolation' WHEN coalesce(coherence,-2)<0.01 THEN 'coherence' ELSE 'selected' END AS reason FROM t""")
 def select_series(spark, folder):
     c = cells(spark, folder)
     error = c.groupBy("chan").agg((0.001 + F.stddev_pop("x") / 10).alias("error"))
-    out = series.select_series(c, "row_no", "chan", F.col("p") + 200, F.lit(1000.0), F.col("label") < 8, error, coherence_min=0.01)
-    return rounded(out.select("chan", "good_fraction", "isolation", "selected", "coherence", "coherence_at_drop", "reason"), 7)
-
-
-@query("reduce_cross")
-def reduce_cross(spark, folder):
-    tones = list(range(2, 62, 3))
-    p = power(spark, folder).withColumn("tf", F.transform(F.slice("spec", 1, 18), lambda x: x > 0.3))
-    out = series.reduce_cross(p, "row_no", "xr", "xi", tones, "tf", [1.2] * 10, [FREQS[t] for t in tones[2:]], shift=2, delay_us=0.01, modes=5)
-    return rounded(out.select("row_no", "tone", "bad", F.col("even.re").alias("even_re"), F.col("even.im").alias("even_im"), "even_measured",
-                              F.col("odd.re").alias("odd_re"), F.col("odd.im").alias("odd_im"), "odd_measured"), 6)
+    out = series.select_series(c, "row_no", "chan", F.col("p") + 200, F.lit(1000.0), F.col("label") < 8, error, step=16, coherence_min=0.01)
+    return rounded(out.select("chan", "good_fraction", "isolation", "coherence", "reason"), 7)
 
 
 @query("knn_residual", f"""WITH {SPECTRA}, g AS (SELECT row_no, 3*spec[1] AS az, 2*spec[2] AS el, spec[3] AS res FROM spectra WHERE label<>9),

@@ -159,22 +159,22 @@ def _center_scale(df: DataFrame, keys: list[str], value: Column, center: str, sc
     return out.withColumn(center, F.coalesce(center, F.lit(0.0))).withColumn(scale, F.greatest(F.coalesce(scale, F.lit(1.0)), F.lit(1.0)))
 
 
-def group_triggers(cells: DataFrame, segment: str, row: str, chan: str, freq: str, z: str, cross: str, valid: str, reference: str,
+def group_triggers(cells: DataFrame, keys: list[str], row: str, chan: str, freq: str, z: str, cross: str, valid: str, reference: str,
                    cuts: Cuts = Cuts(), bands: dict[str, tuple[float, float]] | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
     """Add one boolean per reason: point excess in units of the channel's
     measured scatter, negative residuals, cross change, comb groups (channels
     modulo 8) and groups of a report band or an 8-channel tile of it.
 
-    ``z`` NULL stands for a residual that is not finite.  Rows of one segment
-    are compared with the segment's reference rows, channel by channel."""
+    ``z`` NULL stands for a residual that is not finite.  Rows of one group
+    (``keys``) are compared with the group's reference rows, channel by channel."""
     bands = REPORT_BANDS if bands is None else bands
     f, zc = F.col(freq), F.col(z)
     ok, ref = F.col(valid), F.col(reference) & F.col(valid)
     in_report = F.lit(False)
     for lo, hi in bands.values():
         in_report = in_report | ((f >= lo) & (f < hi))
-    size = measure(cells, [segment, chan])
-    work = _center_scale(cells, [segment, chan], F.when(ref & (zc < cuts.fit_clip), zc), "_c", "_s", limit, size)
+    size = measure(cells, [*keys, chan])
+    work = _center_scale(cells, [*keys, chan], F.when(ref & (zc < cuts.fit_clip), zc), "_c", "_s", limit, size)
     threshold = F.when(in_report, cuts.point).otherwise(cuts.other_point)
     work = work.withColumns({
         "positive_auto_excess": ok & F.coalesce(zc / F.col("_s") > threshold, F.lit(False)),
@@ -183,23 +183,23 @@ def group_triggers(cells: DataFrame, segment: str, row: str, chan: str, freq: st
         "_std": F.coalesce((zc - F.col("_c")) / F.col("_s"), F.lit(0.0))})
     # curvature along channel: teeth stand out of both neighbours
     side = F.struct(F.coalesce(zc, F.lit(0.0)).alias("z"), (ok & zc.isNotNull()).alias("e"))
-    work = ro.beside(work, [segment, row], chan, {"_l": (side, -1), "_r": (side, 1)}, limit, measure(cells, [segment, row]))
+    work = ro.beside(work, [*keys, row], chan, {"_l": (side, -1), "_r": (side, 1)}, limit, measure(cells, [*keys, row]))
     quiet = (f >= cuts.quiet[0]) & (f < cuts.quiet[1])
     work = work.withColumns({
         "_curv": (F.coalesce(zc, F.lit(0.0)) - (F.col("_l.z") + F.col("_r.z")) / 2) / (1.5 ** 0.5),
         "_ev": F.coalesce(ok & zc.isNotNull() & F.col("_l.e") & F.col("_r.e") & ~quiet, F.lit(False))}).drop("_l", "_r")
-    work = _center_scale(work, [segment, chan], F.when(F.col("_ev") & ref, F.col("_curv")), "_cc", "_cs", limit, size)
+    work = _center_scale(work, [*keys, chan], F.when(F.col("_ev") & ref, F.col("_curv")), "_cc", "_cs", limit, size)
     work = work.withColumns({"_tooth": F.coalesce(F.col("_curv") / F.col("_cs"), F.lit(0.0)), "_phase": F.pmod(F.col(chan), F.lit(cuts.comb_spacing))})
     clip = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     hit = F.col("_ev") & (F.col("_tooth") > cuts.comb_tooth)
-    combs = work.groupBy(segment, row, "_phase").agg(
+    combs = work.groupBy(*keys, row, "_phase").agg(
         F.count_if("_ev").alias("_n"), F.sum(F.when(F.col("_ev"), clip(F.col("_tooth"), -3.0, 8.0)).otherwise(0.0)).alias("_sum"),
         F.count_if(hit).alias("_hits"), *[F.count_if(hit & (f >= lo) & (f < hi)).alias(f"_g{i}") for i, (lo, hi) in enumerate(cuts.regions)])
     on = ((F.col("_sum") / F.sqrt(F.greatest("_n", F.lit(1))) > cuts.comb) & (F.col("_hits") >= F.greatest(F.lit(4.0), cuts.comb_fraction * F.col("_n")))
           & (F.col("_n") >= cuts.comb_min_teeth))
     for i in range(len(cuts.regions)):
         on = on & (F.col(f"_g{i}") >= 2)
-    work = attach(work, combs.select(segment, row, "_phase", on.alias("_comb")), [segment, row, "_phase"])
+    work = attach(work, combs.select(*keys, row, "_phase", on.alias("_comb")), [*keys, row, "_phase"])
     # a cell belongs to its band and to one tile of it
     low = cells.groupBy(chan).agg(F.min(freq).alias("_f"))
     groups = None
@@ -213,71 +213,40 @@ def group_triggers(cells: DataFrame, segment: str, row: str, chan: str, freq: st
     groups = cut(attach(groups, sizes, ["_group"]).where("_size >= 3").select(chan, "_group"))  # two rows per channel
     member = work.join(groups, chan)
     good = F.col(valid) & ~F.col("_comb")
-    per = member.groupBy(segment, "_group", row).agg(
+    per = member.groupBy(*keys, "_group", row).agg(
         F.count_if(good).alias("_n"), F.sum(F.when(good, clip(F.col("_std"), -3.0, 6.0)).otherwise(0.0)).alias("_sum"),
         F.count_if(good & (F.col("_std") > cuts.group_cell)).alias("_high"), F.bool_or(ref).alias("_ref"))
     per = per.withColumn("_raw", F.col("_sum") / F.sqrt(F.greatest("_n", F.lit(1))))
     per = cut(per)  # one row per (row, group), read for its medians and its hits
-    per = _center_scale(per, [segment, "_group"], F.when(F.col("_ref"), F.col("_raw")), "_gc", "_gs", limit)
+    per = _center_scale(per, [*keys, "_group"], F.when(F.col("_ref"), F.col("_raw")), "_gc", "_gs", limit)
     lit = (((F.col("_raw") - F.col("_gc")) / F.col("_gs") > cuts.group) & (F.col("_high") / F.greatest("_n", F.lit(1)) >= cuts.group_fraction) & (F.col("_n") >= 3))
-    hits = per.where(lit).select(segment, row, "_group").join(groups, "_group").select(segment, row, chan).distinct().withColumn("_band", F.lit(True))
-    work = attach(work, hits, [segment, row, chan])
+    hits = per.where(lit).select(*keys, row, "_group").join(groups, "_group").select(*keys, row, chan).distinct().withColumn("_band", F.lit(True))
+    work = attach(work, hits, [*keys, row, chan])
     return work.select(*cells.columns, "positive_auto_excess", "negative_or_model_failure", "cross_change",
                        (ok & F.col("_comb")).alias("comb_group_trigger"), (ok & F.coalesce("_band", F.lit(False))).alias("band_group_trigger"))
 
 
-def _as_cells(fit: DataFrame, rows: DataFrame, keys: list[str], row: str, freqs: list[float], data: list[str], sky: str, domain: tuple[float, float]) -> DataFrame:
-    """Fitted rows and their data as cells with frequency and validity."""
-    both = fit.join(rows.select(*keys, row, sky, *data), [*keys, row])
-    arrays = ["z", "cross_score", "supported", "kept", *data]
-    axis = F.array(*[F.lit(float(f)) for f in freqs])
-    out = both.select(*keys, row, sky, F.posexplode(F.arrays_zip(*arrays)).alias("chan", "_c")).select(*keys, row, sky, "chan", "_c.*")
-    out = out.withColumn("freq", F.get(axis, F.col("chan")))
-    ok = (F.col("freq") >= domain[0]) & (F.col("freq") < domain[1])
-    for name in data:
-        v = F.col(name)
-        ok = ok & v.isNotNull() & ~F.isnan(v)
-    for name in data[:2]:  # the two autos must be positive
-        ok = ok & (F.col(name) > 0)
-    return out.withColumn("input_ok", F.coalesce(ok, F.lit(False))).withColumn("valid", F.col("input_ok") & F.col(sky))
-
-
-def segment_flags(rows: DataFrame, keys: list[str], row: str, time: str, dt: str, sky: str, data: list[str], freqs: list[float], *,
-                  cuts: Cuts = Cuts(), guard_rows: int = 1, guard_chans: int = 0, max_scatter: float = 5.0, limit: int = GROUP_LIMIT, **fit) -> DataFrame:
-    """Cells with their reason bits: background fit, detection, refit without the
-    detected cells, detection on supported cells, guard.
-
-    ``data`` names the arrays of the auto, its companion auto and the cross
-    (re, im).  ``keys`` hold the segment."""
-    segment = keys[-1]
-    domain = fit.get("domain_mhz", (35.0, 235.0))
-    first = cut(segment_background(rows, keys, row, time, dt, sky, *data, freqs, limit=limit, **fit))
-    seen = _as_cells(first, rows, keys, row, freqs, data, sky, domain)
-    hits = group_triggers(seen, segment, row, "chan", "freq", "z", "cross_score", "valid", "valid", cuts, limit=limit)
-    reject = (F.col("positive_auto_excess") | F.col("negative_or_model_failure") | F.col("band_group_trigger") | F.col("comb_group_trigger")
-              | (F.col("cross_change") & F.coalesce(F.col("z") > 2, F.lit(False))) | ~F.col("kept"))
-    # one entry per channel: bounded by the channel count
-    packed = hits.groupBy(*keys, row).agg(F.array_sort(F.collect_list(F.struct("chan", reject.cast("double").alias("r")))).alias("_r"))
-    again = rows.join(packed.select(*keys, row, F.transform("_r", lambda s: s["r"]).alias("rejected")), [*keys, row])
-    second = cut(segment_background(again, keys, row, time, dt, sky, *data, freqs, rejected="rejected", limit=limit, **fit))
-    seen = _as_cells(second, rows, keys, row, freqs, data, sky, domain)
-    seen = seen.withColumn("tested", F.col("valid") & F.col("supported"))
-    out = group_triggers(seen, segment, row, "chan", "freq", "z", "cross_score", "tested", "tested", cuts, limit=limit)
-    out = _center_scale(out, [segment, "chan"], F.when(F.col("tested"), F.col("z")), "_mid", "_scatter", limit, measure(seen, [segment, "chan"]))
-    out = out.withColumns({"cross_change": F.col("valid") & F.coalesce(F.col("cross_score") > cuts.cross, F.lit(False)),
-                           "non_sky_switch_state": ~F.col(sky), "invalid_input_or_domain": ~F.col("input_ok"),
-                           "unsupported_background": ~F.col("supported"), "high_scatter": F.col("valid") & (F.col("_scatter") > max_scatter)})
-    names = ["positive_auto_excess", "negative_or_model_failure", "cross_change", "comb_group_trigger", "band_group_trigger",
-             "non_sky_switch_state", "invalid_input_or_domain", "unsupported_background"]
+def segment_flags(cells: DataFrame, keys: list[str], row: str, chan: str, freq: str, data: str, noise: Column, reference: Column, cross: str, *,
+                  cuts: Cuts = Cuts(), guard_rows: int = 1, max_scatter: float = 5.0, limit: int = GROUP_LIMIT) -> DataFrame:
+    """Cells with their reason bits: background, detection, guard rows.
+
+    ``keys`` (all of them) hold the segment; segments of two inputs that share a
+    number stay apart.  The background is the separable one of
+    ``fits.segment_background``; ``noise`` is the expected scatter of
+    data / background - 1."""
+    seen = segment_background(cells, keys, row, chan, data, reference, limit)
+    on = F.coalesce(reference, F.lit(False))
+    seen = cut(seen.withColumns({"z": (F.col(data) / F.col("model") - 1) / noise, "_ok": F.col("model").isNotNull(), "_on": on}))
+    out = group_triggers(seen.withColumn("_valid", F.col("_ok") & F.col("_on")), keys, row, chan, freq, "z", cross, "_valid", "_on", cuts, limit=limit)
+    out = _center_scale(out, [*keys, chan], F.when(F.col("_valid"), F.col("z")), "_mid", "_scatter", limit, measure(seen, [*keys, chan]))
+    reasons = {n: F.col(n) for n in ("positive_auto_excess", "negative_or_model_failure", "cross_change", "comb_group_trigger", "band_group_trigger")}
+    reasons |= {"non_sky_switch_state": ~F.col("_on"), "unsupported_background": ~F.col("_ok")}
     hard = F.lit(False)
-    for n in names:
-        hard = hard | F.col(n)
-    out = out.withColumn("_hard", hard)
-    out = framed_rows(out, [segment, "chan"], row, "_hard", guard_rows, "_near", limit)
-    if guard_chans:
-        out = framed_rows(out, [segment, row], "chan", "_near", guard_chans, "_near2", limit).drop("_near").withColumnRenamed("_near2", "_near")
-    reasons = {n: F.col(n) for n in names} | {"high_scatter": F.col("high_scatter"), "guard": F.col("_near") & ~F.col("_hard")}
-    return out.select(*keys, row, "chan", bits.encode(reasons).alias("flags"))
+    for c in reasons.values():
+        hard = hard | c
+    out = framed_rows(out.withColumn("_hard", hard), [*keys, chan], row, "_hard", guard_rows, "_near", limit)
+    reasons |= {"high_scatter": F.col("_valid") & (F.col("_scatter") > max_scatter), "guard": F.col("_near") & ~F.col("_hard")}
+    return out.select(*keys, row, chan, bits.encode(reasons).alias("flags"))
 
 
 def framed_rows(df: DataFrame, keys: list[str], order: str, flag: str, reach: int, name: str, limit: int) -> DataFrame:

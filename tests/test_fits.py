@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dwellgrid.operators import fits
 from dwellgrid.operators import rolling as ro
 from dwellgrid.operators import solve
 from dwellgrid.plans import flagging, series
@@ -22,71 +21,6 @@ def got(df, name, key="i"):
     return np.array([[np.nan if v is None else v for v in r[name]] for r in df.orderBy(key).collect()], float)
 
 
-def test_slepian_modes_are_orthonormal_and_concentrated():
-    v = fits.slepian(64, 4.0, 7)
-    assert np.allclose(v.T @ v, np.eye(7), atol=1e-10)
-    d = np.subtract.outer(np.arange(64), np.arange(64))
-    kernel = 2 * 4.0 / 64 * np.sinc(2 * 4.0 / 64 * d)
-    assert np.diag(v.T @ kernel @ v).min() > 0.9
-
-
-def test_robust_row_model(spark):
-    basis = fits.slepian(40, 3.0, 5)
-    y = RNG.normal(size=(6, 5)) @ basis.T + RNG.normal(0, 0.01, (6, 40))
-    y[2, 10] += 3.0
-    y[5, :] = np.nan
-    fit = [c % 7 != 0 for c in range(40)]
-    model = got(fits.robust_row_model(arrays(spark, y, names=["y"]), "y", basis, fit), "model")
-    for r in range(5):
-        use = np.array(fit) & np.isfinite(y[r])
-        solve1 = lambda u: np.linalg.solve(basis[u].T @ basis[u] + 1e-6 * np.eye(5), basis[u].T @ y[r, u])
-        res = (y[r] - basis @ solve1(use))[use]
-        mid = np.median(res)
-        keep = use.copy()
-        keep[np.flatnonzero(use)[res > mid + 3 * (1.4826 * np.median(np.abs(res - mid)) + 1e-8)]] = False
-        assert np.allclose(model[r], basis @ solve1(keep), atol=1e-9)
-    assert not np.array(fit)[[0, 7]].any() and np.isnan(model[5]).all()
-
-
-def test_interleaved_fill(spark):
-    n = 32
-    basis = fits.slepian(16, 4.0, 4)
-    y = np.empty((3, n))
-    y[:, 0::2], y[:, 1::2] = RNG.normal(size=(3, 4)) @ basis.T, RNG.normal(size=(3, 4)) @ basis.T
-    flags = np.zeros((3, n), bool)
-    flags[1, 4] = True
-    flags[2, :20] = True
-    out = fits.interleaved_fill(arrays(spark, y, flags, names=["y", "f"]), "y", "f", [True] * n, modes=4).orderBy("i").collect()
-    even = np.array([[np.nan if v is None else v for v in r.fill.even] for r in out])
-    # own values pass through, the other arm's slots lie midway on the smooth line
-    assert np.allclose(even[0, 0::2], y[0, 0::2])
-    assert np.allclose(even[0, 1:-1:2], (y[0, 0:-2:2] + y[0, 2::2]) / 2, atol=1e-9)
-    assert np.isnan(even[1, 4]) and not out[1].fill.even_measured[4]
-    assert out[2].fill.bad and np.isnan(even[2]).all()
-
-
-def test_comb_background_ignores_the_teeth(spark):
-    freqs = np.arange(128) * 0.25
-    smooth = 100 + 5 * np.sin(freqs / 20)
-    y = np.tile(smooth, (2, 1))
-    y[:, 8::8] += 1000
-    y[1, 21] += 500  # one more outlier, off the teeth
-    teeth = list(range(16, 112, 8))
-    out = got(fits.comb_background(arrays(spark, y, names=["y"]), "y", freqs.tolist(), teeth, halfwidth=0.15, window=24.0, step=12.0), "background")
-    assert np.allclose(out, smooth[teeth], rtol=2e-3)
-
-
-@pytest.mark.parametrize("block", [240, 20])
-def test_votes(spark, block):
-    t = np.arange(40) * 0.5
-    y = np.sin(t / 40) + RNG.normal(0, 1e-3, 40)
-    y[25] += 1.0
-    rows = [("f", i, 0, float(t[i]), float(y[i])) for i in range(40)]
-    df = spark.createDataFrame(rows, "file string, row int, chan int, t double, x double")
-    out = fits.vote_mask(df, "file", "row", "chan", "t", ["x"], F.lit(True), block_rows=block).orderBy("row").collect()
-    assert [r.row for r in out if not r.clean] == [25]
-
-
 def test_iterative_clip(spark):
     x = RNG.normal(10, 0.1, 60)
     x[20:24], x[40], x[50] = 30.0, -1.0, 25.0
@@ -109,54 +43,13 @@ def test_iterative_clip(spark):
         assert [r.outlier for r in out] == flagged.tolist()
 
 
-def _segment(spark, n=40, spike=None):
-    freqs = 40 + np.arange(48) * 2.0
-    t = np.arange(n) * 0.5
-    y = 1e6 * (1 + 0.1 * np.sin(t / 30))[:, None] * (1 + 0.2 * np.cos(freqs / 60))[None, :]
-    y = y * (1 + RNG.normal(0, 1, y.shape) / np.sqrt(2 * 0.5 * 2e6))
-    if spike:
-        y[spike] *= 1.5
-    g = np.full_like(y, 1e6)
-    z = np.zeros_like(y)
-    df = arrays(spark, y, g, z, z, names=["p", "g", "xr", "xi"]).withColumns(
-        {"segment": F.lit(0), "t": F.col("i") * 0.5, "dt": F.lit(0.5), "sky": F.col("i") != 3})
-    return df, y, freqs, t
-
-
-def test_segment_background_equals_dense_least_squares(spark):
-    df, y, freqs, t = _segment(spark)
-    args = dict(freq_halfwidth_us=0.01, time_halfwidth_hz=0.01, cutoff=1e-6, fit_clip=1e9)
-    out = fits.segment_background(df, ["segment"], "i", "t", "dt", "sky", "p", "g", "xr", "xi", freqs.tolist(), **args)
-    model, kept = got(out, "model"), got(out, "kept").astype(bool)
-    assert not kept[3].any() and kept[4].all()
-    use = np.arange(len(t)) != 3
-    level = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(np.median(y[use], axis=0), 15, mode="symmetric"), 31), axis=1)
-    qt = np.linalg.qr(fits.concentrated(t, 0.01, 1e-6))[0]
-    qf = np.linalg.qr(fits.concentrated(freqs, 0.01, 1e-6) / level[:, None])[0]
-    design = np.einsum("ta,fi->tfai", qt, qf).reshape(len(t) * len(freqs), -1)
-    rows = np.repeat(use, len(freqs))
-    coef = np.linalg.solve(design[rows].T @ design[rows] + 1e-6 * np.eye(design.shape[1]), design[rows].T @ (y / level).ravel()[rows])
-    assert np.allclose(model, (design @ coef).reshape(y.shape) * level, rtol=1e-7)
-
-
-def test_segment_flags_find_a_spike_and_guard_it(spark):
-    df, _, freqs, _ = _segment(spark, spike=(20, 30))
-    out = flagging.segment_flags(df, ["segment"], "i", "t", "dt", "sky", ["p", "g", "xr", "xi"], freqs.tolist(),
-                                 freq_halfwidth_us=0.01, time_halfwidth_hz=0.01, cutoff=1e-6)
-    flags = {(r.i, r.chan): r.flags for r in out.collect()}
-    assert len(flags) == 40 * 48
-    assert flags[20, 30] & 4 and flags[19, 30] == 256 and flags[21, 30] == 256
-    assert flags[3, 5] & 1 and flags[2, 5] == 256
-    assert flags[10, 10] == 0
-
-
 def test_group_triggers_light_a_band(spark):
     z = RNG.normal(0, 1, (30, 64))
     z[12, 16:24] += 4.0  # a tile too weak for the point cut
     z[20, 3] = 50.0
     rows = [(0, i, c, 50.0 + 2.0 * c, float(z[i, c]), 0.0, True, True) for i in range(30) for c in range(64)]
     df = spark.createDataFrame(rows, "s int, i int, c int, f double, z double, x double, v boolean, r boolean")
-    out = flagging.group_triggers(df, "s", "i", "c", "f", "z", "x", "v", "r")
+    out = flagging.group_triggers(df, ["s"], "i", "c", "f", "z", "x", "v", "r")
     band = {(r.i, r.c) for r in out.where("band_group_trigger").collect()}
     point = {(r.i, r.c) for r in out.where("positive_auto_excess").collect()}
     # brute force of the tiles: score over the reference rows, in robust units
@@ -180,16 +73,6 @@ def test_group_triggers_light_a_band(spark):
     assert (20, 3) in point
 
 
-def test_coherence_prune(spark):
-    base = np.exp(RNG.normal(0, 1, 200))
-    s = np.stack([base * (1 + 0.05 * RNG.normal(size=200)) for _ in range(6)], axis=1)
-    s[:, 3] = np.exp(RNG.normal(0, 1, 200))
-    df = arrays(spark, np.abs(s), np.ones_like(s, bool), names=["s", "g"])
-    out = series.coherence_prune(df, "s", "g", [16 * i for i in range(6)], [True] * 6)
-    assert [d["kept"] for d in out] == [True, True, True, False, True, True]
-    assert out[3]["at_drop"] < 0.9 and out[0]["first_pass"] > 0.9
-
-
 def test_pixel_solve_recovers_a_known_field(spark):
     u = np.array([1 + 2j, -0.5j, 0.3])
     rows = []
@@ -231,3 +114,44 @@ def test_cos2_peak_is_exact_on_its_own_law(spark):
     peaks = solve.cos2_peak(df, "chan", F.col("az"), F.col("p"))
     assert np.allclose([r.peak for r in peaks.orderBy("chan").collect()], [5, 6, 7, 8])
     assert [round(r.scale, 9) for r in solve.arm_scale(peaks, "chan").orderBy("chan").collect()] == [1.0, round(7 / 8, 9)]
+
+
+def _noisy(spark, inputs):
+    rows = []
+    for k, level in enumerate(inputs):
+        y = 1e6 * (1 + 0.1 * np.sin(np.arange(40) / 15))[:, None] * (1 + 0.2 * np.cos(np.arange(48) / 30))[None, :]
+        y = y * (1 + np.random.default_rng(k).normal(0, level, y.shape))
+        y[20, 30] *= 1.5
+        rows += [(k, 0, i, c, 40 + 2.0 * c, float(y[i, c]), i != 3, 0.0) for i in range(40) for c in range(48)]
+    return spark.createDataFrame(rows, "input int, segment int, i int, c int, f double, p double, sky boolean, x double")
+
+
+def test_segment_flags_find_a_spike_guard_it_and_keep_inputs_apart(spark):
+    flags = lambda df: {(r.input, r.i, r.c): r.flags for r in flagging.segment_flags(df, ["input", "segment"], "i", "c", "f", "p", F.lit(0.001), F.col("sky"), "x").collect()}
+    df = _noisy(spark, [0.001, 0.02])
+    both = flags(df)
+    assert both == {**flags(df.where("input = 0")), **flags(df.where("input = 1"))} and len(both) == 2 * 40 * 48
+    assert both[0, 20, 30] & 4 and both[0, 19, 30] == 256 and both[0, 21, 30] == 256
+    assert both[0, 3, 5] & 1 and both[0, 2, 5] == 256 and both[0, 10, 10] == 0
+
+
+def test_series_out_of_step_is_dropped(spark):
+    base = np.exp(RNG.normal(0, 1, 200))
+    s = np.stack([base * (1 + 0.05 * RNG.normal(size=200)) for _ in range(6)], axis=1)
+    s[:, 5] = np.exp(RNG.normal(0, 1, 200))
+    df = spark.createDataFrame([(i, c, float(abs(s[i, c]))) for i in range(200) for c in range(6)], "i int, c int, s double")
+    out = {r.c: r.coherence for r in series.coherence(df, "i", "c", F.col("s"), F.lit(True), 1).collect()}
+    assert min(out[c] for c in range(4)) > 0.9 and out[5] < 0.5
+
+
+def test_states_are_all_counted(spark):
+    from dwellgrid.operators.aggregates import state_counts
+    assert state_counts(spark.range(40).selectExpr("id % 13 AS s"), "s").count() == 13
+
+
+def test_in_intervals_left_is_one_join_at_every_size(spark):
+    from dwellgrid.operators.rangejoins import in_intervals
+    rows = spark.createDataFrame([(float(t),) for t in (-5, 0, 3, 3, 900, 2e9)], "t double")
+    spans = spark.createDataFrame([(0.0, 0.0, "a"), (-1.0, 1e9, "b"), (2.5, 4.0, "c"), (9.0, 8.0, "d")], "lo double, hi double, n string")
+    got = [sorted((r.t, r.n or "") for r in in_intervals(rows, "t", spans, "lo", "hi", "left", size).collect()) for size in (10_000, 0)]
+    assert got[0] == got[1] == [(-5.0, ""), (0.0, "a"), (0.0, "b"), (3.0, "b"), (3.0, "b"), (3.0, "c"), (3.0, "c"), (900.0, "b"), (2e9, "")]
