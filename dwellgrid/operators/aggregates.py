@@ -24,9 +24,9 @@ def rows_per_file(df: DataFrame, file: str, position: list[str]) -> DataFrame:
     return df.groupBy(file).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*position)).alias("_p")).orderBy("_p").drop("_p")
 
 
-def state_counts(df: DataFrame, state: str, top: int = 12) -> DataFrame:
-    n = df.groupBy(state).agg(F.count(F.lit(1)).alias("n"))
-    return n.orderBy(F.desc("n"), state).limit(top)
+def state_counts(df: DataFrame, state: str) -> DataFrame:
+    """Rows per state, the most frequent first; every state."""
+    return df.groupBy(state).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), state)
 
 
 def block_average(df: DataFrame, file: str, row: list[str], n: int, means: list[str], firsts: list[str],

@@ -139,18 +139,24 @@ def decode_complex(pairs: Column) -> Column:
     return F.transform(pairs, lambda x: F.struct(x[0].alias("re"), x[1].alias("im")))
 
 
+MAX_KEYS = 10_000
+
+
 def load_spectra(spectra: DataFrame, chosen: DataFrame, ids: list[str], key: str, value: str,
                  keys: list[str] | None = None, missing: str = "null") -> DataFrame:
     """Selected rows with one column per key.
 
-    Default keys are those every selected file (first id column) has.
+    Default keys are those every selected file (first id column) has; more than
+    ``MAX_KEYS`` of them are refused, since each becomes a column.
     ``missing='raise'`` refuses rows that lack a key."""
     rows = spectra.join(chosen.select(*ids).distinct(), ids, "left_semi")
     if keys is None:
         files = rows.select(ids[0]).distinct().count()
         have = (rows.select(key, ids[0]).distinct().groupBy(key).count()
                 .where(F.col("count") == files).orderBy(key))
-        keys = [r[0] for r in have.limit(10_000).collect()]  # input names: a short list
+        keys = [r[0] for r in have.limit(MAX_KEYS + 1).collect()]
+        if len(keys) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} keys would become columns")
     keys = list(dict.fromkeys(keys))
     wide = rows.where(F.col(key).isin(keys)).groupBy(*ids).pivot(key, keys).agg(F.first(value))
     if missing == "raise":
