@@ -25,11 +25,11 @@ def state_counts(spark, folder):
     return op.state_counts(samples(spark, folder), "state")
 
 
-@query("block_average", f"""WITH {INTEG} SELECT file, CAST(floor(row_no/5) AS BIGINT) AS block, round(avg(t)/7.3,3) AS t, round(avg(power),7) AS power, arg_min(state,row_no) AS state
+@query("block_average", f"""WITH {INTEG} SELECT file, CAST(floor(row_no/5) AS BIGINT) AS block, round(avg(t),2) AS t, round(avg(power),7) AS power, arg_min(state,row_no) AS state
 FROM integ GROUP BY 1,2 HAVING count(*)=5""")
 def block_average(spark, folder):
     out = op.block_average(samples(spark, folder), "file", ["t", "event_id"], 5, ["t", "power"], ["state"])
-    return out.select("file", "block", r6(F.col("t") / 7.3, 3).alias("t"), r6("power", 7).alias("power"), "state")
+    return out.select("file", "block", r6("t", 2).alias("t"), r6("power", 7).alias("power"), "state")
 
 
 @query("block_remainder", f"""WITH {SAMPLES} SELECT file, count(*)%5 AS dropped FROM ev GROUP BY 1""")

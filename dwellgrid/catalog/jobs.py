@@ -27,14 +27,14 @@ def state_nodes(s, state):
 v AS (SELECT *, sum(CASE WHEN g>600 THEN 1 ELSE 0 END) OVER (ORDER BY t,event_id) AS visit FROM c), m AS (SELECT CAST(visit AS BIGINT) AS visit, count(*) AS n, sum(t*(1+input))/sum(1+input) AS t, sum(power*(1+input))/sum(1+input) AS power FROM v GROUP BY 1),
 nd AS (SELECT t, 2.0+power/100 AS sc, -power AS ofs FROM ev WHERE state='RFNON'), j AS (SELECT m.*, a.t AS pt, a.sc AS psc, a.ofs AS pof, b.t AS nt, b.sc AS nsc, b.ofs AS nof FROM m ASOF LEFT JOIN nd a ON m.t>=a.t ASOF LEFT JOIN nd b ON m.t<=b.t),
 k AS (SELECT *, pt IS NULL OR nt-t<t-pt AS nx FROM j), l AS (SELECT *, abs(t-CASE WHEN nx THEN nt ELSE pt END)<=1800 AS ok FROM k)
-SELECT visit, n, round(t/7.3,3) AS t, round(power,7) AS power, round(CASE WHEN ok THEN t-CASE WHEN nx THEN nt ELSE pt END END,4) AS node_dt, round(CASE WHEN ok THEN CASE WHEN nx THEN nsc*power+nof ELSE psc*power+pof END END/pi(),7) AS calibrated FROM l""")
+SELECT visit, n, round(t,2) AS t, round(power,7) AS power, round(CASE WHEN ok THEN t-CASE WHEN nx THEN nt ELSE pt END END,4) AS node_dt, round(CASE WHEN ok THEN CASE WHEN nx THEN nsc*power+nof ELSE psc*power+pof END END,6) AS calibrated FROM l""")
 def calibrated_visits(spark, folder):
     """The flagship: filter, visits, weighted means, nearest node, calibration."""
     s = samples(spark, folder, window=(1704100000.0, 1706000000.0), states=["RFANT"])
     nd = samples(spark, folder, states=["RFNON"]).select(F.col("t").alias("node_t"), (2.0 + F.col("power") / 100).alias("sc"), (-F.col("power")).alias("ofs"))
     out = calibration.calibrated_visits(s, "t", ["event_id"], "power", 1 + F.col("input"), "state", "RFANT", 1704100000.0, 1706000000.0,
                                         600.0, nd, "node_t", "sc", "ofs", 1800.0)
-    return out.select("visit", "n", r6(F.col("t") / 7.3, 3).alias("t"), r6("power", 7).alias("power"), r6("node_dt", 4).alias("node_dt"), r6(F.col("calibrated") / F.pi(), 7).alias("calibrated"))
+    return out.select("visit", "n", r6("t", 2).alias("t"), r6("power", 7).alias("power"), r6("node_dt", 4).alias("node_dt"), r6("calibrated", 6).alias("calibrated"))
 
 
 _RAW = CELLS + """, fc AS (SELECT label, row_no, chan, 1000*x+300 AS raw, row_no%4<>0 AS ant FROM cells),

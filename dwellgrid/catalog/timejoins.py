@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.catalog.registry import query
 from dwellgrid.catalog.segments import _SWEEPS
-from dwellgrid.catalog.views import INTEG, NODES, SAMPLES, SHIPPED, SPECTRA, cells, integrations, nodes, r6, samples, shipped, spectra, table
+from dwellgrid.catalog.views import CELLS, INTEG, NODES, SAMPLES, SHIPPED, SPECTRA, cells, integrations, nodes, r6, samples, shipped, spectra, table
 from dwellgrid.functions.clock import unix_seconds
 from dwellgrid.operators import rangejoins as rj
 from dwellgrid.operators import segments as sg
@@ -185,7 +185,8 @@ def assert_aligned(spark, folder):
     return rj.misaligned(one("F"), one("O"), ["k"], ["n"])
 
 
-@query("locate_axis", f"""SELECT 10::INT AS first, 31::BIGINT AS n, true AS contiguous, 64::BIGINT AS axis_n, 0.0::DOUBLE AS axis_first, 252.0::DOUBLE AS axis_last FROM (SELECT count(*) AS c FROM embeddings) WHERE c>0""")
+@query("locate_axis", f"""WITH {CELLS}, a AS (SELECT chan, max(4.0*chan)::DOUBLE AS f FROM cells GROUP BY 1), p AS (SELECT a.chan AS pos FROM a JOIN (SELECT f FROM a WHERE chan BETWEEN 10 AND 40) USING (f))
+SELECT (SELECT min(pos) FROM p) AS first, (SELECT count(*) FROM p) AS n, (SELECT max(pos)-min(pos)+1=count(*) FROM p) AS contiguous, count(*) AS axis_n, arg_min(f,chan) AS axis_first, arg_max(f,chan) AS axis_last FROM a""")
 def locate_axis(spark, folder):
     axis = cells(spark, folder).groupBy("chan").agg(F.max(4.0 * F.col("chan")).alias("f"))
     product = axis.where("chan BETWEEN 10 AND 40").select((F.col("chan") - 10).alias("chan"), F.col("f"))
