@@ -147,14 +147,14 @@ def calibrate_rows(spark, folder):
     return out.select("event_id", r6("t_load").alias("t_load"), r6("scale", 7).alias("scale"), r6("offset").alias("offset"))
 
 
-@query("as_received", f"""WITH {SPECTRA}, c AS (SELECT row_no, unnest(range(0,16)) AS chan, spec FROM spectra), z AS (SELECT chan::INT AS chan, spec[chan+1]/2 AS ar, spec[chan+17]/2 AS ai, spec[chan+2]/4 AS lr, spec[chan+18]/4 AS li, spec[chan+33]/3 AS rr, spec[chan+48]/3 AS ri FROM c),
+@query("as_received", f"""WITH {SPECTRA}, c AS (SELECT row_no, unnest(range(0,64)) AS chan, spec FROM spectra), z AS (SELECT chan::INT AS chan, spec[chan+1]/2 AS ar, spec[(chan+16)%64+1]/2 AS ai, spec[(chan+1)%64+1]/4 AS lr, spec[(chan+17)%64+1]/4 AS li, spec[(chan+32)%64+1]/3 AS rr, spec[(chan+47)%64+1]/3 AS ri FROM c),
 m AS (SELECT chan, avg(ar) AS ar, avg(ai) AS ai, avg(lr) AS lr, avg(li) AS li, avg(rr) AS rr, avg(ri) AS ri FROM z GROUP BY 1),
 t AS (SELECT chan, (1-ar*ar-ai*ai)/(pow(1-(ar*rr-ai*ri),2)+pow(ar*ri+ai*rr,2))*1300-(1-lr*lr-li*li)/(pow(1-(lr*rr-li*ri),2)+pow(lr*ri+li*rr,2))*295 AS t FROM m),
 e AS (SELECT z.chan, abs((1-ar*ar-ai*ai)/(pow(1-(ar*rr-ai*ri),2)+pow(ar*ri+ai*rr,2))*1300-(1-lr*lr-li*li)/(pow(1-(lr*rr-li*ri),2)+pow(lr*ri+li*rr,2))*295-t) AS d, t FROM z JOIN t USING (chan))
 SELECT chan, round(any_value(t),6) AS t_ns, round(median(d),6) AS median_move, round(max(d),6) AS max_move FROM e GROUP BY 1""")
 def as_received(spark, folder):
-    s = spectra(spark, folder).select("spec", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("chan"))
-    at = lambda k, d: F.get("spec", F.col("chan") + k) / d
+    s = spectra(spark, folder).select("spec", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("chan"))
+    at = lambda k, d: F.get("spec", (F.col("chan") + k) % 64) / d
     out = calibration.as_received(s, "chan", C.cplx(at(0, 2), at(16, 2)), C.cplx(at(1, 4), at(17, 4)), C.cplx(at(32, 3), at(47, 3)), 300.0, 1000.0, 295.0)
     return rounded(out, 6)
 
@@ -250,12 +250,12 @@ def extract_scan(spark, folder):
     return rounded(solve.principal_plane_angle(s, ["row_no"], ["x", "y", "z"], "motor").select("row_no", "auto_a", "auto_b", "angle"), 5)
 
 
-@query("labelled_recall", f"""WITH {CELLS}, r AS (SELECT row_no, avg((x>0.15)::INT) AS f FROM cells GROUP BY 1), w AS (SELECT o_orderkey*10.0 AS a, o_orderkey*10.0+4 AS b, CASE WHEN o_orderkey%2=0 THEN 'labelled' ELSE 'control' END AS label FROM orders)
-SELECT label, count(*) AS n, round(median(f),9) AS median_flagged FROM r JOIN w ON row_no BETWEEN a AND b GROUP BY 1""")
+@query("labelled_recall", f"""WITH {CELLS}, r AS (SELECT row_no, avg((x>0.15)::INT) AS f FROM cells GROUP BY 1), w AS (SELECT o_orderkey%1000*1.0 AS a, o_orderkey%1000+4.0 AS b, CASE WHEN o_orderkey%2=0 THEN 'labelled' ELSE 'control' END AS label FROM orders)
+SELECT label, count(*) AS n, round(median(f),9) AS median_flagged FROM (SELECT DISTINCT row_no, label, f FROM r JOIN w ON row_no BETWEEN a AND b) GROUP BY 1""")
 def labelled_recall(spark, folder):
     c = cells(spark, folder).withColumn("t", F.col("row_no").cast("double"))
     k = F.col("o_orderkey")
-    w = table(spark, folder, "orders").select((k * 10.0).alias("a"), (k * 10.0 + 4).alias("b"), F.when(k % 2 == 0, "labelled").otherwise("control").alias("label"))
+    w = table(spark, folder, "orders").select((k % 1000 * 1.0).alias("a"), (k % 1000 + 4.0).alias("b"), F.when(k % 2 == 0, "labelled").otherwise("control").alias("label"))
     return rounded(evaluation.labelled_recall(c, "row_no", "t", F.col("x") > 0.15, w, "a", "b", "label"))
 
 

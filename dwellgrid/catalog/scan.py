@@ -110,26 +110,27 @@ def quarantine_scan(spark, folder):
 @query("finalise_union", """
 SELECT event_id, epoch_us(ts)/1e6 AS t, CASE WHEN event_type='click' THEN 'c'||user_id ELSE 'MISSING' END AS tag,
   CASE WHEN event_type='view' THEN value END AS el, event_type='view' AND value > 50 AS motor_ok
-FROM events WHERE event_type IN ('click','view')""")
+FROM events""")
 def finalise_union(spark, folder):
     ev = samples(spark, folder)
     a = ev.where("state = 'RFANT'").select("event_id", "t", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("tag"))
     b = ev.where("state = 'RFAMB'").select("event_id", "t", F.col("power").alias("el"), (F.col("power") > 50).alias("motor_ok"))
-    return scan.finalise_union([a, b], ["t", "event_id"])
+    c = ev.where("state NOT IN ('RFANT', 'RFAMB')").select("event_id", "t")
+    return scan.finalise_union([a, b, c], ["t", "event_id"])
 
 
 @query("manifest_changes", """WITH o AS (SELECT o_custkey AS name, count(*) AS size, max(o_orderdate) AS mtime FROM orders WHERE o_orderstatus='F' GROUP BY 1),
-n AS (SELECT o_custkey AS name, count(*) AS size, max(o_orderdate) AS mtime FROM orders WHERE o_orderstatus='O' GROUP BY 1)
+n AS (SELECT o_custkey AS name, count(*) AS size, max(o_orderdate) AS mtime FROM orders WHERE o_orderstatus<>'F' GROUP BY 1)
 SELECT coalesce(o.name,n.name) AS name, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed'
  WHEN o.size=n.size AND o.mtime=n.mtime THEN 'same' ELSE 'changed' END AS change FROM o FULL OUTER JOIN n ON o.name=n.name""")
 def manifest_changes(spark, folder):
     o = table(spark, folder, "orders")
 
-    def manifest(status):
-        return o.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("name")).agg(
+    def manifest(rows):
+        return o.where(rows).groupBy(F.col("o_custkey").alias("name")).agg(
             F.count(F.lit(1)).alias("size"), F.max("o_orderdate").alias("mtime"))
 
-    return scan.manifest_changes(manifest("F"), manifest("O"), "name", ["size", "mtime"])
+    return scan.manifest_changes(manifest("o_orderstatus = 'F'"), manifest("o_orderstatus <> 'F'"), "name", ["size", "mtime"])
 
 
 @query("decode_complex", f"""WITH {SPECTRA}, k AS (SELECT row_no, spec, unnest(range(0,32)) AS k FROM spectra)

@@ -59,12 +59,21 @@ def stream_rolling(spark, folder):
     return out.select("start", "state", "n", r6("mean", 7).alias("mean"))
 
 
-@query("stream_late", """SELECT event_id, false AS late FROM events""")
+# four parts of the time line arrive one after the other, each tenth event a part later
+@query("stream_late", """WITH e AS (SELECT event_id, epoch_us(ts) AS u FROM events), r AS (SELECT min(u) AS lo, max(u)-min(u)+1 AS span FROM e),
+b AS (SELECT event_id, u, CAST(4*(u-lo)//span + (event_id%10=0)::INT AS INT) AS part FROM e, r), m AS (SELECT part, max(u) AS top FROM b GROUP BY 1)
+SELECT event_id, coalesce(u < (SELECT max(top) FROM m WHERE m.part<b.part) - 960000000, false) AS late FROM b""")
 def stream_late(spark, folder):
     path = _folder(spark)
-    st.route_late(_events(spark, folder).select("event_id", "ts"), "ts", f"{path}/on", f"{path}/late", f"{path}/cp").awaitTermination()
-    read = lambda side, late: spark.read.schema("event_id bigint").parquet(f"{path}/{side}").select("event_id", F.lit(late).alias("late"))
-    return read("on", False).union(read("late", True))
+    e = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    u = F.unix_micros("ts")
+    lo, span = e.agg(F.min(u), F.max(u) - F.min(u) + 1).first()
+    parts = e.withColumn("part", F.expr(f"4 * (unix_micros(ts) - {lo}L) div {span}L") + (F.col("event_id") % 10 == 0).cast("int"))
+    for k in range(5):
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    st.route_late(stream, "ts", f"{path}/out", f"{path}/marks", f"{path}/cp").awaitTermination()
+    return spark.read.schema("event_id bigint, late boolean").parquet(f"{path}/out").select("event_id", "late")
 
 
 @query("stream_gate", f"""WITH {SAMPLES}, l AS (SELECT event_id AS id, input, t, state, power, lag(state) OVER w AS ps, t-lag(t) OVER w AS g FROM ev WINDOW w AS (PARTITION BY input ORDER BY t,event_id))
@@ -72,8 +81,10 @@ SELECT id, input, CAST(sum(CASE WHEN ps IS NULL OR ps<>state OR g>1200 THEN 1 EL
 def stream_gate(spark, folder):
     s = _events(spark, folder).select("input", F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("t"), "state", F.col("value"))
     # the state store with value states; a runtime setting of this stream only
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         return drained(st.gate(s, "input", 1200.0, "purchase")).select("id", "input", "block", "node")
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)

@@ -56,26 +56,26 @@ def rolling_mean(stream: DataFrame, ts: str, length: str, step: str, keys: list[
             .select(F.unix_seconds("w.start").alias("start"), *keys, "n", "mean"))
 
 
-def route_late(stream: DataFrame, ts: str, on_time_path: str, late_path: str, checkpoint: str, late_s: float = 960.0):
-    """Split rows by lateness: those more than ``late_s`` behind the latest time
-    of earlier batches go to a side table, nothing is dropped.
+def route_late(stream: DataFrame, ts: str, path: str, marks: str, checkpoint: str, late_s: float = 960.0):
+    """Mark rows by lateness: those more than ``late_s`` behind the latest time
+    of earlier batches are late; nothing is dropped.
 
-    The latest time so far is read back from the on-time table, so a restarted
-    query goes on from what it wrote."""
+    Rows are written once, partitioned by ``late`` and batch.  The latest time of
+    each batch is one row of the side table ``marks``, so a restarted query goes
+    on from what it wrote, and a batch written again replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mark = None
-        try:
-            seen = spark.read.parquet(on_time_path).where(F.col("batch") < batch_id)
-            mark = seen.agg(F.max(ts)).first()[0]
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        is_late = F.lit(False) if mark is None else F.col(ts) < F.lit(mark) - F.make_dt_interval(secs=F.lit(late_s))
-        tagged = batch.withColumn("batch", F.lit(batch_id))
-        for path, rows in ((on_time_path, tagged.where(~is_late)), (late_path, tagged.where(is_late))):
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        seen = None
+        if batch_id:
+            earlier = spark.read.schema("top timestamp, batch bigint").parquet(marks).where(F.col("batch") < batch_id)
+            seen = earlier.agg(F.max("top")).first()[0]
+        is_late = F.lit(False) if seen is None else F.col(ts) < F.lit(seen) - F.make_dt_interval(secs=F.lit(late_s))
+        tagged = batch.withColumns({"late": F.coalesce(is_late, F.lit(False)), "batch": F.lit(batch_id)})
+        replace = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+        replace(tagged, "batch", "late").parquet(path)
+        done = spark.read.schema(tagged.schema).parquet(path).where(F.col("batch") == batch_id)
+        replace(done.agg(F.max(ts).alias("top")).withColumn("batch", F.lit(batch_id)), "batch").parquet(marks)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
