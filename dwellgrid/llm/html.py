@@ -53,6 +53,8 @@ NAMES = set(
     "footer header masthead cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup modal comment comments disqus respond replies "
     "share sharing social related recommended widget toolbar pagination pager login search contentinfo complementary".split()
 )
+# First parts of a name that tells what stands beside or is missing.
+BESIDE = {"with", "has", "no", "without"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -82,6 +84,8 @@ def _named(attrs: str) -> tuple[str, int, bool]:
         main |= name == "role" and value == "main" or name == "itemprop" and value == "articlebody"
         for p in parts:
             bits = re.split(r"[-_]+", p)
+            if bits[0] in BESIDE:
+                continue
             sure = p in NAMES or bits[0] in ("comment", "comments")
             apart = max(apart, 2 if sure else int(bits[0] in NAMES or bits[-1] in NAMES))
     return own, apart, main
