@@ -1,0 +1,247 @@
+"""Nulls, empty and very long texts, repeated rows, ties, empty tables and clashing names."""
+
+import gzip
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from dwellgrid.llm import html, near, packing, rules, toxicity, warc
+from dwellgrid.llm.components import components
+from dwellgrid.llm.contamination import decontaminate
+from dwellgrid.llm.html import extract, read
+from dwellgrid.llm.lines import dedup_lines
+from dwellgrid.llm.quality import classify
+from dwellgrid.llm.text import LETTERS, VISIBLE, chunks, hashed, words
+from dwellgrid.llm.urls import filter_urls
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, node string, members string, hits string, items string, n_words string, k1 string, gone string, piece string, votes string, stratum string"
+A = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+LONG = " ".join(f"w{i % 5000}x{i // 7}" for i in range(30_000))
+ROWS = [(1, "", "en", "s"), (2, None, None, None), (3, "one two", "en", "s"), (4, LONG, "de", "t"), (5, A, "en", "s"), (6, A, "en", "s"), (6, A, "en", "s"), (7, A + " nu", "en", "u"), (None, A, "en", "s"), (8, " \n\t\n", "en", "s"), (9, "ÀÉ ünï\u3000日本 ÀÉ", "xx", "s")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, None, *["x"] * 11) for r in ROWS], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(5, 1, 0, "x"), (5, 0, 1, "x"), (None, 1, 1, "x"), (7, None, None, "x"), (3, 0, 1, "x"), (4, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_near(docs, none):
+    got = near.near_duplicates(docs).collect()
+    assert len(got) == len(ROWS) and near.near_duplicates(none).count() == 0
+    rows = {r["doc_id"]: r for r in got}
+    assert [rows[i]["n_shingles"] for i in (1, 2, 3, 5, 8, 9)] == [0, 0, 1, 8, 0, 1]
+    assert {i: rows[i]["component_id"] for i in rows} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9, None: None}
+    assert rows[4]["n_shingles"] == len({tuple(LONG.split()[k : k + 5]) for k in range(30_000 - 4)}) and rows[None]["kept"]
+
+
+def test_near_small_leaves(spark):
+    """Deep branching and blocks give the groups that one leaf gives."""
+    rng = random.Random(3)
+    base = [rng.choice("abcdefgh") * 3 + str(rng.randrange(400)) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        w = list(base)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(60)] = str(rng.randrange(10**6))
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups = [{r["doc_id"]: r["component_id"] for r in near.near_components(df, leaf=leaf).collect()} for leaf in (near.LEAF, 800)]
+    assert groups[0] == groups[1]
+
+
+def test_link_finds_every_component():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 14, rng.integers(1, 12)).astype(np.uint64)) for _ in range(25)]
+        comp = np.arange(25)
+        for a, b in near.link(sets, comp.copy(), 75):
+            comp[comp == comp[b]] = comp[a]
+        want = list(range(25))
+        for i in range(25):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    want = [want[i] if x == want[j] else x for x in want]
+        assert len({(a, b) for a, b in zip(comp, want)}) == len(set(want)) == len(set(comp.tolist()))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100), (7, 7), (None, 3), (200, 100)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 100: 90, 200: 90}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    bench = spark.createDataFrame([(1, "gamma DELTA, epsilon", "x"), (2, None, "x"), (3, "", "x"), (None, "one two", "x"), (4, A, "x"), (4, A, "x"), (12, " ".join(LONG.split()[500:515]), "x")], "item_id long, text string, hits string")
+    for block in (200_000, 2):
+        rows = by_id(decontaminate(docs, bench, block_windows=block))
+        spans = {i: [(x["first"], x["end"]) for x in rows[i]["hits"]] for i in rows}
+        assert spans[4] == [(500, 515)] and spans[5] == spans[7] == [(0, 12)] and spans[3] == spans[2] == []
+        assert rows[5]["items"] == ["1", "4"] and rows[4]["items"] == ["12"] and rows[2]["n_words"] == 0 and rows[4]["n_words"] == 30_000
+    assert decontaminate(none, bench).count() == 0
+    assert all(not r["hits"] for r in decontaminate(docs, bench.limit(0)).collect())
+
+
+def test_packing(docs, none):
+    got = packing.pack(docs, window=64, group_pieces=3)
+    rows = got.collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 2) == 1 and packing.pack(none).count() == 0
+    assert len([r for r in rows if r["doc_id"] == 6 and r["start"] == 0]) == 2
+    for r in packing.sequences(got).collect():
+        assert 0 < len(r["ids"]) <= 64
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=80))
+def test_best_fit_matches_a_scan(lengths):
+    lengths = np.array(sorted(lengths, reverse=True), int)
+    window, offset = packing.best_fit(lengths, 32)
+    free = []
+    for n, w, o in zip(lengths, window, offset):
+        fits = [(f, i) for i, f in enumerate(free) if f >= n]
+        if fits:
+            assert free[w] == min(fits)[0] and o == 32 - free[w]
+            free[w] -= n
+        else:
+            assert w == len(free) and o == 0
+            free.append(32 - n)
+
+
+def test_rules(docs, none, labels):
+    got = rules.quality_rules(docs, labels)
+    rows = by_id(got)
+    assert got.count() == len(ROWS) and rows[2]["n_words"] == 0 and rows[2]["base_failed"] and rows[2]["stratum"] == "∅" and rows[4]["kept"]
+    assert rules.quality_rules(none, labels).count() == 0 and rules.quality_rules(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_exact_bound():
+    assert abs(rules.tail_probability(1, 10, 0.1) - (0.9**10 + 10 * 0.1 * 0.9**9)) < 1e-12
+    assert rules.within_risk(0, 300, 0.01, 0.05) and not rules.within_risk(0, 298, 0.01, 0.05) and not rules.within_risk(0, 0, 0.5, 0.5)
+
+
+def test_rules_choose_cutoffs(spark):
+    rows = [(i, "en", 0.1 if i % 4 else 0.9) for i in range(4000)]
+    measured = spark.createDataFrame(rows, "doc_id long, stratum string, m double")
+    labelled = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(4000)], "doc_id long, quality int")
+    cut = rules.cutoffs(measured, labelled, "stratum", ["m"], 0.02, 0.05, 5.0).collect()
+    assert len(cut) == 1 and 0.1 < cut[0]["cutoff"] <= 0.9 and cut[0]["good_rejected"] == 0 and cut[0]["bad_rejected"] == 1000
+
+
+def test_lines(spark, docs, none):
+    line, other = "this line is on very many sites", "a line of its own in here"
+    rows = [(i, f"{line}\n{other} {i}\n  {line} ", f"site{i % 10 if i else None}") for i in range(30)] + [(31, line, None), (32, "short\nshort", "site1"), (32, "short\nshort", "site1")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    out = by_id(got)
+    assert out[0]["text"] == f"{line}\n{other} 0" and out[0]["n_removed"] == 1 and out[5]["text"] == f"{other} 5" and out[31]["text"] == "" and out[32]["text"] == "short\nshort"
+    assert got.count() == len(rows) and dedup_lines(none).count() == 0
+    edge = by_id(dedup_lines(docs))
+    assert edge[2]["text"] is None and edge[2]["n_lines"] == 0 and edge[1]["n_lines"] == 1 and edge[4]["text"] == LONG and edge[5]["k1"] == "x"
+
+
+def test_quality(docs, none, labels):
+    assert classify(docs, labels).count() == len(ROWS) and classify(none, labels).count() == 0
+    assert all(r["score"] == 0.5 for r in classify(docs, labels.limit(0)).collect())
+
+
+def test_toxicity(spark, docs, none, labels):
+    assert toxicity.score(docs, labels).count() == len(ROWS) and toxicity.score(none, labels).count() == 0
+    assert all(r["score"] == 0 and r["predicted"] == 0 for r in toxicity.score(docs, labels.limit(0)).collect())
+
+
+def test_urls(spark):
+    rows = [(1, None), (2, "no scheme/x"), (3, "HTTP://A.Example.ORG/en/1x?q=1#f"), (4, "http://org"), (5, "a://b.com/fr/://c"), (5, "a://b.com/fr/://c"), (None, "x://?q")]
+    pages = spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id long, url string, host string, path string")
+    blocked = spark.createDataFrame([("a://b.com/fr/://c", 1), ("http://org", 0), (None, 1)], "url string, blocked int")
+    want = [("org/", "allow"), ("example.org/en/1", "block"), ("com/fr/", "block")]
+    for taught in (blocked, blocked.limit(0)):
+        got = filter_urls(pages, taught, want).collect()
+        by = {r["page_id"]: r for r in got}
+        assert len(got) == len(rows) and (by[1]["host"], by[1]["path"], by[2]["host"]) == ("", "", "")
+        assert (by[3]["host"], by[3]["path"], by[3]["rule"]) == ("a.example.org", "/en/1x", "example.org/en/1")
+        assert (by[4]["host"], by[4]["path"], by[4]["rule"]) == ("org", "", None) and (by[5]["path"], by[5]["verdict"]) == ("/fr/://c", "block")
+    assert filter_urls(pages.limit(0), blocked, want).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    body = "é" * 600 + "\r\n\r\nWARC/1.1\r\n"
+    rows = [(1, "http://b.org/x", body), (2, "http://a.org/y%0A\n", body), (3, None, None), (3, None, None), (4, "http://b.org/x", ""), (5, "http://b.org/x", "z"), (6, "u", body + "!")]
+    pages = spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id long, url string, html string, captured string, offset string").repartition(2)
+    got = warc.archive_pages(pages, f"{tmp_path}/w").collect()
+    by = {r["page_id"]: r for r in got}
+    assert len(got) == len(rows) and {i: (by[i]["record_type"], by[i]["refers_to"]) for i in by} == {**{i: ("response", None) for i in (2, 3, 4, 5, 6)}, 1: ("revisit", 2)}
+    assert by[1]["payload_bytes"] == by[2]["payload_bytes"] == len(body.encode()) and by[3]["url"] is None and by[2]["url"] == rows[1][1]
+    assert all(r["payload_digest"] == r["stored_digest"] for r in got if r["record_type"] == "response")
+    keys = [(r["urlkey"], r["captured"]) for r in got]
+    assert keys == sorted(keys)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")]
+    assert sum(len(list(warc.parse(f))) for f in files) == len(rows)
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30)), max_size=9))
+def test_loser_tree_merges(runs):
+    assert list(warc.LoserTree([iter(sorted(r)) for r in runs], key=lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+PAGE = """<!doctype html><html><head><title>T</title><script>if (a<b) "</p>"</script></head><body class="login"><header><h1>Site</h1></header>
+<nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">Accept</div><main><div class="post with-sidebar"><h2>A &amp; B</h2><p>one
+ <b>two</b>&nbsp;three<p>four<br>five<div class="ad">Buy</div><form><input>Name</form><!-- <p>no</p> --><ul><li>x<li>y</ul></div>
+<section class="comments"><article class="comment"><p>First!</p></article></section></main><aside>Side</aside><footer>&copy; me</footer>"""
+
+
+def test_html(spark):
+    plain = "<html><body><div id=top>Menu of all</div><div class=body><p>Only {0} said {0} words of {0} here in this place</p><p>and {0} more text here</p></div><div>All rights reserved by us</div></body></html>"
+    rows = [(1, "http://a/1", PAGE), (2, "http://a/2", None), (3, None, ""), (3, None, ""), (None, "http://a/3", PAGE), (4, "http://c/x", "just text < 3 & <i>more</i>")]
+    rows += [(100 + i, f"http://b/{i}", plain.format(i)) for i in range(12)]
+    pages = spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id long, url string, html string, host string, texts string")
+    got = extract(pages).collect()
+    by = {r["page_id"]: r for r in got}
+    want = "A & B\n\none two three\n\nfour five\n\nx\n\ny"
+    assert len(got) == len(rows) and by[1]["text"] == by[None]["text"] == want and by[1]["n_chars"] == len(want)
+    assert by[2]["text"] == by[3]["text"] == "" and by[4]["text"] == "just text < 3 & more"
+    assert by[103]["text"] == "Only 3 said 3 words of 3 here in this place\n\nand 3 more text here"
+    assert extract(pages.limit(0)).count() == 0
+
+
+def test_html_survives_odd_markup():
+    for page in ("<", "<p", "</p></p>", "<script>", "<!--", "<div " * 300, "<div>" * 3000 + "x", "<p a='>'>t", "\ud800" if False else "\x00<p>\x00"):
+        elements, blocks = read(page)
+        assert isinstance(html.main_text(page, None, set()), str) and len(blocks) <= 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB9 \n\t\x0b,.é日-", max_size=30)), max_size=12), st.integers(1, 40))
+def test_words_match_the_patterns(texts, limit):
+    import pyarrow as pa
+
+    for kind, lower, pattern in ((VISIBLE, False, r"[^\x20\x09-\x0D]+"), (LETTERS, True, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        seen = {}
+        for c in chunks(pa.array(texts, pa.string()), limit):
+            w = words(c, kind, lower)
+            for i in range(c.n):
+                got = [w.buf[a:b].tobytes().decode() for a, b in zip(w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]])]
+                text = texts[c.first + i] or ""
+                assert got == re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text) if lower else text)
+                for word, h in zip(got, hashed(c, w)[w.first[i] : w.first[i + 1]]):
+                    assert seen.setdefault(word, h) == h
+        assert len(set(seen.values())) == len(seen)
