@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.operators.ordered import GROUP_LIMIT, attach, measure, numbered, running
 from dwellgrid.operators.quantiles import quantiles
+from dwellgrid.session import cut
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], before: list[str],
@@ -88,7 +89,7 @@ def batches(rows: DataFrame, *, file: str, time: str, dt: str, same: list[str],
              .withColumn("_bad", F.when(F.col("first_time").isNull(),
                                         F.raise_error(F.concat(F.col(file), F.lit(": no finite time"))).cast("int"))))
     step = quantiles(rows.select(file, dt), [file], F.col(dt), {"dt": 0.5}, limit=limit).drop("n")
-    files = attach(files.where("_bad IS NULL"), step, [file])
+    files = cut(attach(files.where("_bad IS NULL"), step, [file]))  # one row per file; all below reads it alone
 
     def changed(b):
         out = (F.col("first_time") - b["last_time"] > gap_s) | ~is_close(F.col("dt"), b["dt"], atol=0.0)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from dwellgrid.operators import rangejoins as rj
 from dwellgrid.operators import segments as sg
 from dwellgrid.operators.filters import mode_filter
-from dwellgrid.operators.ordered import GROUP_LIMIT
+from dwellgrid.operators.ordered import GROUP_LIMIT, attach
+from dwellgrid.session import cut
 
 # name -> fn(base, version) -> base with the product's columns joined
 PRODUCTS: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
@@ -65,13 +66,13 @@ def resume_plan(rows: DataFrame, file: str, status: str, completed: DataFrame, p
                 same: list[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(one-row report, batches) of what is still to be run."""
     per_file = rows.groupBy(file).agg(F.min(status).alias("status"))
-    approved = per_file.where(F.col("status") == "use").select(file)
-    todo = approved.join(completed.select(file).distinct(), file, "left_anti")
-    report = per_file.agg(F.count(F.lit(1)).alias("requested"), F.count_if(F.col("status") == "use").alias("approved"),
-                          F.count_if(F.col("status") == "reject").alias("rejected"))
-    done = approved.join(completed.select(file).distinct(), file, "left_semi").agg(F.count(F.lit(1)).alias("completed"))
+    per_file = cut(attach(per_file, completed.select(file).distinct().withColumn("_done", F.lit(True)), [file]))
+    use = F.col("status") == "use"
+    report = per_file.agg(F.count(F.lit(1)).alias("requested"), F.count_if(use).alias("approved"),
+                          F.count_if(F.col("status") == "reject").alias("rejected"), F.count_if(use & F.col("_done").isNotNull()).alias("completed"))
+    todo = per_file.where(use & F.col("_done").isNull()).select(file)
     plan = sg.batches(rows.join(todo, file, "left_semi"), file=file, time=time, dt=dt, same=same, per_batch=per_batch, limit=limit)
     totals = plan.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("files"), F.lit(0)).alias("pending"),
                       F.coalesce(F.sum("rows"), F.lit(0)).alias("pending_rows"))
-    # one row each
-    return report.join(F.broadcast(done)).join(F.broadcast(totals)), plan
+    both = report.unionByName(totals, allowMissingColumns=True)  # two rows
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]), plan

@@ -75,9 +75,9 @@ def flag_cells(cells: DataFrame, keys: list[str], row: str, chan: str, raw: str,
     interference bits and get the overflow bit last.  All-zero groups drop out."""
     size = measure(cells, [*keys, chan])
     work = overflow_repair(cells, keys, chan, raw, size, limit).withColumn("_ant", antenna)
-    work = with_median(work, keys, F.col("logp"), "_level", limit=limit).where("_level > 0").drop("_level")
+    work = cut(with_median(work, keys, F.col("logp"), "_level", limit=limit).where("_level > 0").drop("_level"))
     # transient departures along time, steady lines along channel
-    pix = ro.transient_track(work, chan, [row], "logp", F.col("_ant"), clip=clip, keys=keys, size=size, limit=limit)
+    pix = cut(ro.transient_track(work, chan, [row], "logp", F.col("_ant"), clip=clip, keys=keys, size=size, limit=limit))
     steady = ro.persistent_track(work, keys, chan, "logp", F.col("_ant"), bands.analysis, clip=steady_clip, size=size, limit=limit)
     steady = cut(steady)  # one row per channel and group, read by several small medians
     found = identify_combs(steady.select(*keys, chan, "med"), keys, chan, "med", bands.analysis, combs, comb_threshold, limit)
