@@ -112,10 +112,10 @@ def comb_channels(spark, folder):
         F.bool_or(op.on_stride(c, 16, 9)).alias("monitor"))
 
 
-@query("row_slice", f"""WITH {INTEG} SELECT file, row_no, event_id FROM integ WHERE row_no>=100 AND row_no<200""")
+@query("row_slice", f"""WITH {INTEG} SELECT file, row_no, event_id FROM integ WHERE row_no>=10 AND row_no<20""")
 def row_slice(spark, folder):
     i = integrations(spark, folder)
-    return op.row_slice(i, ["row_no"], 100, 200, ["file"]).select("file", "row_no", "event_id")
+    return op.row_slice(i, ["row_no"], 10, 20, ["file"]).select("file", "row_no", "event_id")
 
 
 @query("version_guard", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority='1-URGENT'""")
@@ -174,10 +174,9 @@ def every_nth(spark, folder):
     return op.every_nth(samples(spark, folder).select("event_id", "t"), ["t", "event_id"], 7)
 
 
-@query("keys_in_all", """WITH d AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_totalprice>1000), n AS (SELECT count(DISTINCT c_mktsegment) AS n FROM customer)
-SELECT p.p_type AS item FROM (SELECT p_type, count(DISTINCT p_brand) AS n FROM part GROUP BY 1) p WHERE p.n=(SELECT count(DISTINCT p_brand) FROM part)""")
+@query("keys_in_all", """SELECT l_linenumber AS item FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey)=(SELECT count(DISTINCT l_suppkey) FROM lineitem)""")
 def keys_in_all(spark, folder):
-    return op.keys_in_all(table(spark, folder, "part"), "p_brand", "p_type").select(F.col("p_type").alias("item"))
+    return op.keys_in_all(table(spark, folder, "lineitem"), "l_suppkey", "l_linenumber").select(F.col("l_linenumber").alias("item"))
 
 
 @query("missing_keys", """SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus='P'""")
@@ -196,10 +195,10 @@ def stream_union(spark, folder):
         (F.size(F.array_except(want, have)) == 0).alias("covered"))
 
 
-@query("coverage_equality", """WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus IN ('F','P') AND o_totalprice > 50000)
+@query("coverage_equality", """WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus IN ('F','P') AND o_totalprice > 300000)
 SELECT coalesce(a.k,b.k) AS k, CASE WHEN a.k IS NULL THEN 'not labelled' ELSE 'not covered' END AS problem FROM a FULL JOIN b ON a.k=b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def coverage_equality(spark, folder):
-    o = table(spark, folder, "orders").where("o_totalprice > 50000").withColumn("k", F.col("o_custkey"))
+    o = table(spark, folder, "orders").where("o_totalprice > 300000").withColumn("k", F.col("o_custkey"))
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
     return op.coverage_gaps(c, o.where("o_orderstatus='F'"), o.where("o_orderstatus='P'"), "k")
 
