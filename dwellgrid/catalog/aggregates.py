@@ -116,6 +116,13 @@ def mad_time(spark, folder):
     return _mad(spark, folder, ["chan"])
 
 
+@query("state_quartiles_sliced", f"""WITH {SAMPLES} SELECT state, count(*) AS n, round(quantile_cont(power,0.25),9) AS lower, round(median(power),9) AS middle, round(quantile_cont(power,0.75),9) AS upper FROM ev GROUP BY 1""")
+def state_quartiles_sliced(spark, folder):
+    """By brackets and counts, the way of groups beyond the limit."""
+    from dwellgrid.operators.quantiles import quantiles
+    return rounded(quantiles(samples(spark, folder), ["state"], F.col("power"), {"lower": 0.25, "middle": 0.5, "upper": 0.75}, limit=100))
+
+
 @query("mad_channel", _MAD.format(cte=CELLS, k="row_no,", g="GROUP BY row_no", j="JOIN m USING (row_no)", gk="row_no,"))
 def mad_channel(spark, folder):
     return _mad(spark, folder, ["row_no"])

@@ -93,7 +93,24 @@ def identify_combs(spark, folder):
     return rounded(flagging.identify_combs(med, ["label"], "chan", "med", F.col("chan").between(8, 58), [("locked", 4, ag.locked_teeth(F.col("chan"), 4))], 0.5))
 
 
-@query("identify_walking_comb")
+def _comb_sql(name: str, half: int, teeth: str) -> str:
+    """CTEs: residuals of the median spectrum, their MAD, contrast of every phase, the best of them."""
+    return (padded("", "md", "label", "chan", "chan, v", half, f"{name}p") + f""",
+{name}q AS (SELECT label, chan, rn, cn, v-median(v) OVER {_roll('label', half)} AS r FROM {name}p), {name}r AS (SELECT label, chan, r FROM {name}q WHERE rn BETWEEN 1 AND cn),
+{name}m AS (SELECT label, median(r) AS m FROM {name}r GROUP BY 1), {name}s AS (SELECT label, 1.4826*median(abs(r-m)) AS s, count(*) AS n FROM {name}r JOIN {name}m USING (label) GROUP BY 1),
+{name}t AS (SELECT label, ph, r, {teeth} AS tooth FROM {name}r, ph WHERE ph.comb='{name}'),
+{name}k AS (SELECT label, ph, (median(CASE WHEN tooth THEN r END)-median(CASE WHEN NOT tooth THEN r END))/any_value(s) AS c FROM {name}t JOIN {name}s USING (label) WHERE s>=1e-12 AND n>=32 GROUP BY 1,2
+  HAVING count(*) FILTER (tooth)>=8 AND count(*) FILTER (NOT tooth)>=8),
+{name} AS (SELECT label, max(c) AS c, arg_max(ph,(c,-ph)) AS ph FROM {name}k GROUP BY 1)""")
+
+
+_WALKING = CELLS + """, md AS (SELECT label, chan, median(x) AS v FROM cells GROUP BY 1,2), ph AS (SELECT 'lk' AS comb, unnest(range(0,4))::DOUBLE AS ph UNION ALL SELECT 'wk', unnest(range(0,16))*12.5/16),
+""" + _comb_sql("lk", 4, "chan%4=ph") + ", " + _comb_sql("wk", 6, "abs((4.0::DOUBLE*chan-ph)/12.5-round_even((4.0::DOUBLE*chan-ph)/12.5,0))*12.5<=2.0")
+
+
+@query("identify_walking_comb", f"""WITH {_WALKING} SELECT l.label, round(lk.c,9) AS locked_contrast, lk.ph AS locked_phase, coalesce(lk.c,0)>=0.3 AS locked_detected,
+round(wk.c,9) AS walking_contrast, wk.ph AS walking_phase, coalesce(wk.c,0)>=0.3 AND coalesce(wk.c,0)>coalesce(lk.c,0) AS walking_detected
+FROM (SELECT DISTINCT label FROM md) l LEFT JOIN lk USING (label) LEFT JOIN wk USING (label)""")
 def identify_walking_comb(spark, folder):
     med = ag.block_stats(cells(spark, folder), ["label"], "chan", "x")
     combs = [("locked", 4, ag.locked_teeth(F.col("chan"), 4)), ("walking", 6, ag.walking_teeth(4.0 * F.col("chan"), 12.5, 4.0))]
@@ -207,24 +224,38 @@ def campaign_warnings(spark, folder):
     return campaign.selection_warnings(_campaign(spark, folder))
 
 
+@campaign.register("flags")
+def flags_product(base, version, source):
+    return rj.join_exact(base, source.where(F.col("version") == version).select("file", "row_no", "mask"), ["file", "row_no"], "flags_")
+
+
+@campaign.register("gain")
+def gain_product(base, version, source):
+    return tj.nearest(base, "t", source.where(F.col("version") == version).select("t", "gain"), "t", ["gain"], tolerance_s=1800.0, prefix="gain_")
+
+
 @query("bundle", f"""WITH {INTEG}, fl AS (SELECT file, row_no, CASE WHEN power>50 THEN 256 ELSE 0 END AS flags FROM integ WHERE file<>'corr_20240104_235959Z.h5'), g AS (SELECT t, power/10 AS gain FROM ev WHERE state='RFNON' AND input=0),
 j AS (SELECT i.file, i.row_no, i.t, flags, a.t AS pt, a.gain AS pg, b.t AS nt, b.gain AS ng FROM integ i LEFT JOIN fl USING (file,row_no) ASOF LEFT JOIN g a ON i.t>=a.t ASOF LEFT JOIN g b ON i.t<=b.t)
 SELECT file, row_no, coalesce(flags,-1)::INT AS flags, round(CASE WHEN abs(t-CASE WHEN pt IS NULL OR nt-t<t-pt THEN nt ELSE pt END)<=1800 THEN CASE WHEN pt IS NULL OR nt-t<t-pt THEN ng ELSE pg END END,6) AS gain FROM j""")
 def bundle(spark, folder):
+    """Two products that exist in two versions each, joined at the versions named."""
     i = integrations(spark, folder).where("t IS NOT NULL")
+    versions = F.explode(F.array(*map(F.lit, ["v1", "v2"]))).alias("version")
+    flags = i.where("file <> 'corr_20240104_235959Z.h5'").select("file", "row_no", "power", versions)
+    flags = flags.withColumn("mask", F.when(F.col("version") == "v1", F.when(F.col("power") > 50, 256).otherwise(0)).otherwise(1))
+    gain = samples(spark, folder).where("state = 'RFNON' AND input = 0").select("t", "power", versions)
+    gain = gain.withColumn("gain", F.when(F.col("version") == "v2", F.col("power") / 10).otherwise(0.0))
+    out = campaign.bundle(i.select("file", "row_no", "t"), {"flags@v1": flags, "gain@v2": gain}, ["t", "file", "row_no"])
+    return out.select("file", "row_no", F.coalesce("flags_mask", F.lit(-1)).alias("flags"), r6("gain_gain").alias("gain"))
 
-    @campaign.register("flags")
-    def flags(base, version):
-        p = i.where("file <> 'corr_20240104_235959Z.h5'").select("file", "row_no", F.when(F.col("power") > 50, 256).otherwise(0).alias("mask"))
-        return rj.join_exact(base, p, ["file", "row_no"], "flags_")
-
-    @campaign.register("gain")
-    def gain(base, version):
-        n = samples(spark, folder).where("state = 'RFNON' AND input = 0").select("t", (F.col("power") / 10).alias("gain"))
-        return tj.nearest(base, "t", n, "t", ["gain"], tolerance_s=1800.0, prefix="gain_")
 
-    out = campaign.bundle(i.select("file", "row_no", "t"), ["flags@v1", "gain@v2"], ["t", "file", "row_no"])
-    return out.select("file", "row_no", F.coalesce("flags_mask", F.lit(-1)).alias("flags"), r6("gain_gain").alias("gain"))
+@query("bundle_skipped", f"""WITH {INTEG}, f AS (SELECT file, count(*) AS n, count(*) FILTER (power>2 AND file<>'corr_20240104_235959Z.h5') AS k FROM integ GROUP BY 1)
+SELECT file, 'flags@v1' AS product, CASE WHEN k=0 THEN 'absent' ELSE 'partial' END AS reason, n-k AS rows FROM f WHERE k<n""")
+def bundle_skipped(spark, folder):
+    """Files that a product has no row, or not every row, for."""
+    i = integrations(spark, folder)
+    have = i.where("power > 2 AND file <> 'corr_20240104_235959Z.h5'").select("file", "row_no", F.lit("v1").alias("version"))
+    return campaign.skipped_files(i, {"flags@v1": have}, "file", ["file", "row_no"])
 
 
 _PLAN = HOURLY + """, pf AS (SELECT hfile AS file, min(CASE WHEN state='UNKNOWN' AND power>40 THEN 'reject' ELSE 'use' END) AS status FROM hourly GROUP BY 1), dn AS (SELECT DISTINCT hfile AS file FROM hourly WHERE day<'20240110'),

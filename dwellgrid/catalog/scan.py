@@ -175,8 +175,12 @@ def load_jsonl_checked(spark, folder):
 @query("read_product", """SELECT o_orderkey, o_totalprice FROM orders
 WHERE o_orderpriority='2-HIGH' AND strftime(o_orderdate,'%Y')='1996' AND o_orderstatus='O'""")
 def read_product(spark, folder):
-    o = table(spark, folder, "orders").withColumn("version", F.col("o_orderpriority"))
-    out = checked.read_product(o, "2-HIGH", F.date_format("o_orderdate", "yyyy"), "1996", ("o_orderstatus", "O"))
+    """Written by (version, day) folders, then read back: both predicates prune folders."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderpriority").alias("version"), F.date_format("o_orderdate", "yyyy").alias("day"))
+    path = _folder(spark)
+    o.write.partitionBy("version", "day").parquet(path)
+    kept = spark.read.schema("o_orderkey bigint, o_totalprice double, o_orderstatus string, version string, day string").parquet(path)
+    out = checked.read_product(kept, "2-HIGH", F.col("day"), "1996", ("o_orderstatus", "O"))
     return out.select("o_orderkey", "o_totalprice")
 
 

@@ -13,13 +13,22 @@ def _timed(spark, folder):
     return samples(spark, folder).select("event_id", F.when(F.col("power") >= 1, F.col("t")).alias("t"), "state", "power")
 
 
-@query("visits", f"""WITH {_TIMED}, l AS (SELECT *, t-lag(t) OVER (ORDER BY t,event_id) AS g FROM tv WHERE t IS NOT NULL)
+_VISITS = f"""WITH {_TIMED}, l AS (SELECT *, t-lag(t) OVER (ORDER BY t,event_id) AS g FROM tv WHERE t IS NOT NULL)
 SELECT event_id, CAST(sum(CASE WHEN g>300 THEN 1 ELSE 0 END) OVER (ORDER BY t,event_id) AS BIGINT) AS visit FROM l
-UNION ALL SELECT event_id, -1 FROM tv WHERE t IS NULL""")
+UNION ALL SELECT event_id, -1 FROM tv WHERE t IS NULL"""
+
+
+@query("visits", _VISITS)
 def visits(spark, folder):
     return op.visits(_timed(spark, folder), "t", ["event_id"], 300.0).select("event_id", "visit")
 
 
+@query("visits_sliced", _VISITS)
+def visits_sliced(spark, folder):
+    """The same by slices, the way of groups beyond the limit."""
+    return op.visits(_timed(spark, folder), "t", ["event_id"], 300.0, limit=100).select("event_id", "visit")
+
+
 @query("dwells", f"""WITH {_TIMED}, l AS (SELECT *, t-lag(t) OVER (PARTITION BY state ORDER BY t,event_id) AS g FROM tv WHERE t IS NOT NULL),
 d AS (SELECT event_id, state, t, CAST(sum(CASE WHEN g>900 THEN 1 ELSE 0 END) OVER (PARTITION BY state ORDER BY t,event_id) AS BIGINT) AS dwell FROM l
 UNION ALL SELECT event_id, state, t, -1 FROM tv WHERE t IS NULL)

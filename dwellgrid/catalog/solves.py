@@ -120,7 +120,12 @@ def principal_plane_angle(spark, folder):
     return op.principal_plane_angle(s, ["row_no"], ["x", "y", "z"], "motor").select("row_no", r6("angle", 5).alias("angle"))
 
 
-@query("cos2_peak")
+@query("cos2_peak", f"""WITH {CELLS}, z AS (SELECT row_no, 30*spec[1] AS e, 180*spec[2] AS a, lead(30*spec[1]) OVER w AS e1, lead(180*spec[2]) OVER w AS a1, lead(row_no) OVER w AS r1 FROM spectra WINDOW w AS (ORDER BY row_no)),
+x AS (SELECT row_no AS r0, r1, -e/(e1-e) AS w, 2*radians(a+(-e/(e1-e))*(a1-a)) AS b FROM z WHERE sign(e)<>sign(e1) AND abs(e)<10),
+y AS (SELECT c0.chan, cos(b) AS c, sin(b) AS s, c0.p+w*(c1.p-c0.p) AS y FROM x JOIN cells c0 ON c0.row_no=r0 JOIN cells c1 ON c1.row_no=r1 AND c1.chan=c0.chan),
+m AS (SELECT chan, count(*) AS n, avg(c) AS mc, avg(s) AS ms, avg(y) AS my, covar_pop(c,c) AS cc, covar_pop(s,s) AS ss, covar_pop(c,s) AS cs, covar_pop(c,y) AS cy, covar_pop(s,y) AS sy FROM y GROUP BY 1),
+l AS (SELECT *, (cy*ss-sy*cs)/(cc*ss-cs*cs) AS u, (sy*cc-cy*cs)/(cc*ss-cs*cs) AS v FROM m), k AS (SELECT chan, CASE WHEN n>=4 THEN my-u*mc-v*ms+sqrt(u*u+v*v) END AS peak FROM l)
+SELECT k.chan, round(k.peak,6) AS peak, round((coalesce(a.peak,b.peak)+coalesce(b.peak,a.peak))/2/k.peak,6) AS scale FROM k LEFT JOIN k a ON a.chan=k.chan-1 LEFT JOIN k b ON b.chan=k.chan+1 WHERE k.chan%2=1""")
 def cos2_peak(spark, folder):
     s = spectra(spark, folder).select("row_no", (30 * F.col("spec")[0]).alias("el"), (180 * F.col("spec")[1]).alias("az"))
     x = op.zero_crossings(s, ["row_no"], "el", "az")

@@ -16,12 +16,22 @@ _AROUND = NODES + ", " + SHIPPED + """, pn AS (SELECT s.flag, s.t, s.x, a.t AS p
 nr AS (SELECT *, CASE WHEN pt IS NULL OR nt-t<t-pt THEN nt ELSE pt END AS ct, CASE WHEN pt IS NULL OR nt-t<t-pt THEN nv ELSE pv END AS cv FROM pn)"""
 
 
-@query("join_nearest", f"""WITH {_AROUND} SELECT flag, t, CASE WHEN abs(t-ct)<=43200 THEN t-ct END AS near_dt, round(CASE WHEN abs(t-ct)<=43200 THEN cv END/pi(),6) AS near_v FROM nr""")
+_NEAREST = f"""WITH {_AROUND} SELECT flag, t, CASE WHEN abs(t-ct)<=43200 THEN t-ct END AS near_dt, round(CASE WHEN abs(t-ct)<=43200 THEN cv END/pi(),6) AS near_v FROM nr"""
+
+
+@query("join_nearest", _NEAREST)
 def join_nearest(spark, folder):
     out = op.nearest(shipped(spark, folder), "t", nodes(spark, folder), "t", ["v"], tolerance_s=43200.0)
     return out.select("flag", "t", "near_dt", r6(F.col("near_v") / F.pi()).alias("near_v"))
 
 
+@query("join_nearest_sliced", _NEAREST)
+def join_nearest_sliced(spark, folder):
+    """The same by slices, the way of groups beyond the limit."""
+    out = op.nearest(shipped(spark, folder), "t", nodes(spark, folder), "t", ["v"], tolerance_s=43200.0, limit=100)
+    return out.select("flag", "t", "near_dt", r6(F.col("near_v") / F.pi()).alias("near_v"))
+
+
 @query("nearest_with_age", f"""WITH {_AROUND} SELECT flag, t, abs(t-ct) AS age, round(cv/pi(),6) AS v FROM nr""")
 def nearest_with_age(spark, folder):
     out = op.nearest(shipped(spark, folder), "t", nodes(spark, folder), "t", ["v"])

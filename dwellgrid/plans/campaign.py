@@ -12,9 +12,10 @@ from dwellgrid.operators import segments as sg
 from dwellgrid.operators.filters import mode_filter
 from dwellgrid.operators.ordered import GROUP_LIMIT, attach
 from dwellgrid.session import cut
+from dwellgrid.sources.checked import require_version
 
-# name -> fn(base, version) -> base with the product's columns joined
-PRODUCTS: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
+# name -> fn(base, version, source) -> base with the product's columns joined
+PRODUCTS: dict[str, Callable[[DataFrame, str, DataFrame], DataFrame]] = {}
 
 
 def register(name: str):
@@ -34,15 +35,30 @@ def parse_spec(spec: str) -> tuple[str, str]:
     return kind, version
 
 
-def bundle(base: DataFrame, products: list[str], order: list[str]) -> DataFrame:
-    """Every product joined to the base rows, none dropped, in time order."""
+def bundle(base: DataFrame, products: dict[str, DataFrame], order: list[str]) -> DataFrame:
+    """Every product (``kind@version`` -> its table of all versions) joined to
+    the base rows, none dropped, in time order.  A table without the version is refused."""
     out = base
-    for spec in products:
+    for spec, source in products.items():
         kind, version = parse_spec(spec)
-        out = PRODUCTS[kind](out, version)
+        out = PRODUCTS[kind](out, version, require_version(source, "version", version))
     return out.orderBy(*[F.col(c).asc_nulls_last() for c in order])
 
 
+def skipped_files(base: DataFrame, products: dict[str, DataFrame], file: str, ids: list[str]) -> DataFrame:
+    """(file, product, reason, rows): files that a product lacks ``rows`` rows of:
+    all (absent) or some (partial)."""
+    out = None
+    for spec, source in products.items():
+        _, version = parse_spec(spec)
+        have = source.where(F.col("version") == version).select(*ids).distinct().withColumn("_have", F.lit(1))
+        per = base.select(*ids).join(have, ids, "left").groupBy(file).agg(F.count(F.lit(1)).alias("_n"), F.count("_have").alias("_k"))
+        reason = F.when(F.col("_k") == 0, "absent").otherwise("partial")
+        gaps = per.where("_k < _n").select(file, F.lit(spec).alias("product"), reason.alias("reason"), (F.col("_n") - F.col("_k")).alias("rows"))
+        out = gaps if out is None else out.unionByName(gaps)
+    return out
+
+
 def campaign_select(files: DataFrame, file: str, closed: str, start: float, stop: float, phase: str, phases: list[str],
                     modes: DataFrame, masks: DataFrame, wanted: dict[str, list], limit: int = GROUP_LIMIT) -> DataFrame:
     """file -> reason it is dropped for, NULL if kept.
