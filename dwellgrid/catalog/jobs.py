@@ -224,6 +224,22 @@ def campaign_warnings(spark, folder):
     return campaign.selection_warnings(_campaign(spark, folder))
 
 
+@query("campaign_masks", f"WITH {HOURLY}" + """, f AS (SELECT hfile AS file, max(t) AS closed FROM hourly GROUP BY 1),
+mk AS (SELECT t AS a, t+3600 AS b, event_id AS rank, state AS mask, user_id%3=0 AS must, CASE WHEN user_id%2=1 THEN input END AS inp FROM ev WHERE power>100),
+h AS (SELECT file, (NOT must)::INT AS late, rank::DOUBLE AS rank, mask FROM f JOIN mk ON closed BETWEEN a AND b WHERE must OR mask IN ('RFANT','VNAANT') AND coalesce(inp IN (0,1),true)
+ UNION ALL SELECT DISTINCT hfile, 1, 500.5, 'overflow' FROM hourly WHERE power>120 AND input IN (0,1)),
+g AS (SELECT file, arg_min(mask,(late,rank)) AS mask FROM h GROUP BY 1) SELECT file, mask FROM f LEFT JOIN g USING (file)""")
+def campaign_masks(spark, folder):
+    """Mandatory masks first, then the wanted ones that concern inputs 0 and 1, overflow among them."""
+    h, s = hourly(spark, folder), samples(spark, folder)
+    files = h.groupBy("file").agg(F.max("t").alias("closed"))
+    masks = s.where("power > 100").select(
+        F.col("t").alias("start"), (F.col("t") + 3600).alias("stop"), F.col("event_id").alias("rank"), F.col("state").alias("mask"),
+        (F.col("user_id") % 3 == 0).alias("mandatory"), F.when(F.col("user_id") % 2 == 1, F.array("input")).alias("inputs"))
+    wrapped = h.where("power > 120").select("file", "input")
+    return campaign.first_mask(files, "file", "closed", masks, ["RFANT", "VNAANT", "overflow"], [0, 1], wrapped, ("overflow", 500.5)).select("file", "mask")
+
+
 @campaign.register("flags")
 def flags_product(base, version, source):
     return rj.join_exact(base, source.where(F.col("version") == version).select("file", "row_no", "mask"), ["file", "row_no"], "flags_")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -73,6 +74,38 @@ def campaign_select(files: DataFrame, file: str, closed: str, start: float, stop
     return out.withColumn("reason", reason)
 
 
+def current_names(names: list[str], aliases: dict[str, str]) -> list[str]:
+    """Old names replaced by their present ones, each with a warning; unknown names pass."""
+    for old in sorted(set(names) & set(aliases)):
+        warnings.warn(f"{old!r} is now called {aliases[old]!r}", FutureWarning, stacklevel=3)
+    return sorted({aliases.get(n, n) for n in names})
+
+
+def first_mask(files: DataFrame, file: str, closed: str, masks: DataFrame, wanted: list[str], inputs: list[int] | None = None,
+               overflow: DataFrame | None = None, overflow_mask: tuple[str, float] = ("overflow", 0.0),
+               aliases: dict[str, str] | None = None) -> DataFrame:
+    """Add ``mask``: the first mask that holds a file's close time, or NULL.
+
+    ``masks``: mask, start, stop, rank, mandatory, inputs (an array; NULL or
+    empty for all).  Mandatory masks come first and always hold; of the others
+    the ``wanted`` ones do, unless bound to inputs none of which is asked for.
+    ``overflow`` (file, input): inputs with wrapped samples; if its mask (name,
+    rank) is wanted, it holds files in which an asked input wrapped.  Without
+    ``inputs`` all are asked for."""
+    names = current_names(wanted, aliases or {})
+    asked = F.lit(True) if not inputs else F.arrays_overlap(F.col("inputs").cast("array<bigint>"), F.array(*map(F.lit, inputs)).cast("array<bigint>"))
+    scoped = F.coalesce(F.size("inputs") > 0, F.lit(False))
+    must = F.coalesce("mandatory", F.lit(False))
+    active = masks.where(must | (F.col("mask").isin(names) & (~scoped | asked)))
+    active = active.select("start", "stop", "mask", F.struct((~must).alias("late"), F.col("rank").cast("double").alias("rank")).alias("_order"))
+    hits = rj.in_intervals(files.select(file, closed), closed, active, "start", "stop").select(file, "mask", "_order")
+    name, rank = overflow_mask
+    if overflow is not None and name in names:
+        wrapped = overflow if not inputs else overflow.where(F.col("input").isin(inputs))
+        hits = hits.unionByName(wrapped.select(file).distinct().select(file, F.lit(name).alias("mask"), F.struct(F.lit(True).alias("late"), F.lit(float(rank)).alias("rank")).alias("_order")))
+    return attach(files, hits.groupBy(file).agg(F.min_by("mask", "_order").alias("mask")), [file])
+
+
 def selection_warnings(selected: DataFrame) -> DataFrame:
     """Counts of files by outcome."""
     return selected.groupBy(F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("files"))

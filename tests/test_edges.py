@@ -182,3 +182,25 @@ def test_unwrap_matches_numpy(spark):
     df = times(spark, a)
     for limit in (1_000_000, 20):
         assert np.allclose(col(sg.unwrapped(df, [], ["i"], "t", 360.0, "u", limit), "u"), np.unwrap(a, period=360))
+
+
+def test_masks_by_kind_input_and_name(spark):
+    from dwellgrid.catalog import load
+    from dwellgrid.plans.campaign import bundle, first_mask
+
+    load()  # registers the products
+
+    files = spark.createDataFrame([("a", 5.0), ("b", 15.0), ("c", 25.0), ("d", 35.0)], "file string, closed double")
+    masks = spark.createDataFrame(
+        [("late", 0.0, 10.0, 1, False, None), ("always", 0.0, 10.0, 9, True, [3]), ("scoped", 10.0, 20.0, 2, False, [4, 5]), ("unasked", 0.0, 40.0, 0, False, [])],
+        "mask string, start double, stop double, rank int, mandatory boolean, inputs array<int>")
+    wrapped = spark.createDataFrame([("c", 4), ("d", 1)], "file string, input int")
+    hit = lambda **more: {r["file"]: r["mask"] for r in first_mask(files, "file", "closed", masks, ["late", "scoped", "overflow"], overflow=wrapped, **more).collect()}
+    assert hit() == {"a": "always", "b": "scoped", "c": "overflow", "d": "overflow"}
+    assert hit(inputs=[1]) == {"a": "always", "b": None, "c": None, "d": "overflow"}
+    assert hit(inputs=[4]) == {"a": "always", "b": "scoped", "c": "overflow", "d": None}
+    with pytest.warns(FutureWarning, match="scoped"):
+        got = first_mask(files, "file", "closed", masks, ["old"], aliases={"old": "scoped"}).collect()
+    assert {r["file"]: r["mask"] for r in got} == {"a": "always", "b": "scoped", "c": None, "d": None}
+    with pytest.raises(KeyError, match="v9"):
+        bundle(files, {"flags@v9": masks.selectExpr("mask AS file", "'v1' AS version")}, ["file"])
