@@ -13,9 +13,16 @@
 4. The first two trees are compared first, their larger nodes in blocks, dealt
    anew in each tree: this connects what is nearly alike. Of later trees only
    nodes that still hold different components are compared, and pairs already
-   connected are skipped. Their larger nodes branch on. A node that is still
-   too large at the greatest depth is dealt into blocks, and then those
-   outside the node's largest component are compared with all blocks.
+   connected are skipped.
+5. Larger nodes of any tree that still hold different components: if few sets
+   are outside the largest component, these are compared with the whole node.
+   Else all its sets go down further trees, whose minwise values are the node's
+   own, three levels at a time until nodes are small or few are outside. Two
+   sets meet less often the deeper they go, so there are as many such trees as
+   the greatest depth asks for: 13 at depth three, 42 at depth 15, each for a
+   chance to miss below 1e-5. A node that is still too large there is dealt
+   into blocks, and then those outside its largest component are compared with
+   all blocks.
 
 A leaf gives one link per set that it connects, never all pairs, and a search
 from linked sets outward is exact: a set is held against every set not yet in
@@ -24,6 +31,9 @@ its component.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +52,8 @@ DEEPEST = 15
 FIRST_TREES = 2
 #: Shingles, over all sets of a node, that one task compares.
 LEAF = 1 << 20
+#: Chance that the further trees miss a pair.
+MISS = 1e-5
 _rng = np.random.default_rng(97)
 _XOR = _rng.integers(1, 1 << 63, COORDS, dtype=U)
 _MUL = _rng.integers(1, 1 << 63, COORDS, dtype=U) * U(2) + U(1)
@@ -106,8 +118,16 @@ def shingle_sets(docs: DataFrame, sketch: bool) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, schema)
 
 
-def _descend(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Go ``levels`` further down from each node; ``own`` is the row of the sketch that stands there."""
+def trees_at(depth: int, share: int = 75) -> int:
+    """Independent trees in which two sets of similarity ``share`` per cent meet at ``depth``, but for a chance of MISS."""
+    meet, p = 1.0, share / 100
+    for _ in range(depth):
+        meet = (2 * p * meet + 1 - (1 - p * meet) ** 2) / 3
+    return math.ceil(math.log(MISS) / math.log(1 - meet))
+
+
+def _descend(node: np.ndarray, own: np.ndarray, value, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Go ``levels`` further down from each node; ``own`` is the row of the set that stands there, ``value(own, node, coord)`` its minwise value."""
     for _ in range(levels):
         u = mix(node + U(0x51_7CC1B727220A95))
         first = (u % U(COORDS)).astype(np.int64)
@@ -116,8 +136,8 @@ def _descend(node: np.ndarray, own: np.ndarray, sketch: np.ndarray, levels: int)
         two = np.flatnonzero((u >> U(44)) % U(3) == 0)
         coord = np.concatenate([first, second[two]])
         parent = np.concatenate([np.arange(len(node)), two])
-        own = own[parent]
-        node = mix(node[parent] ^ (sketch[own, coord].astype(U) * U(0xC2B2AE3D27D4EB4F) + coord.astype(U)))
+        own, node = own[parent], node[parent]
+        node = mix(node ^ (value(own, node, coord).astype(U) * U(0xC2B2AE3D27D4EB4F) + coord.astype(U)))
     return node, own
 
 
@@ -128,36 +148,58 @@ def _rows(node: np.ndarray, tree, rep, load) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), tree, rep, load], names=["node", "tree", "rep", "load"])
 
 
-def _sketch(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
+def _sketched(column: pa.Array):
+    """Minwise values from sketches: the same coordinates for all trees."""
+    sketch = np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
+    return lambda own, node, coord: sketch[own, coord]
+
+
+def _counted(column: pa.Array):
+    """Minwise values from the full sets: every node and coordinate has a hash of its own."""
+    sets = [np.frombuffer(x, U) for x in column.to_pylist()]
+    size, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+    edges = np.cumsum(size) - size
+
+    def value(own, node, coord):
+        key = mix(node ^ mix(coord.astype(U) + U(0xA0761D6478BD642F)))
+        out = np.empty(len(own), U)
+        for at in np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum(size[own]) // LEAF)) + 1):
+            n, k = size[own[at]], key[at]
+            start = np.cumsum(n) - n
+            span = np.repeat(edges[own[at]] - start, n) + np.arange(n.sum())
+            out[at] = np.minimum.reduceat((flat[span] ^ np.repeat(k, n)) * np.repeat(mix(k) | U(1), n) >> U(32), start)
+        return out
 
+    return value
 
-def _paths(sketches: DataFrame, trees: int) -> DataFrame:
-    """(node, tree, rep, load) at the first depth of every tree."""
-    roots = np.array([seeded(5, t) for t in range(trees)], U)
+
+def _paths(sets: DataFrame, roots: list[int], values) -> DataFrame:
+    """(node, tree, rep, load) at the first depth of the trees of ``roots``; ``sets``: rep, load and what ``values`` reads."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sketch = _sketch(batch.column(2))
+            value = values(batch.column(2))
             for t, root in enumerate(roots):
-                node, own = _descend(np.full(n, root, U), np.arange(n), sketch, DEPTH)
+                node, own = _descend(np.full(n, root, U), np.arange(n), value, DEPTH)
                 yield _rows(node, pa.array(np.full(len(node), t, np.int32)), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)))
 
-    return sketches.select("rep", "load", "sketch").mapInArrow(run, _ROWS)
+    return sets.mapInArrow(run, _ROWS)
+
 
+def _branch(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The nodes DEEPER levels below those of ``rows``."""
 
-def _branch(rows: DataFrame, levels: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, own = _descend(np.asarray(batch.column(0)).view(U), np.arange(batch.num_rows), _sketch(batch.column(4)), levels)
+            node, own = _descend(np.asarray(batch.column(0)).view(U), np.arange(batch.num_rows), _counted(batch.column(4)), DEEPER)
             yield _rows(node, *(batch.column(i).take(pa.array(own)) for i in (1, 2, 3)))
 
-    return rows.select("node", "tree", "rep", "load", "sketch").mapInArrow(run, _ROWS)
+    return rows.select("node", "tree", "rep", "load").join(members, "rep").select("node", "tree", "rep", "load", "members").mapInArrow(run, _ROWS)
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -281,7 +323,7 @@ def near_components(docs: DataFrame, share: int = 75, trees: int = TREES, leaf:
     per_class = classes.select("f1", "f2", "n_shingles", "rep", F.xxhash64("f1", "f2", "n_shingles").alias("key"), "sketch")
     per_class = stored(per_class, "near-classes")
     sketches = per_class.select(F.col("key").alias("rep"), F.col("n_shingles").cast("int").alias("load"), "sketch")
-    rows = stored(_sized(_paths(sketches, trees).distinct()), "near-nodes")
+    rows = stored(_sized(_paths(sketches, [seeded(5, t) for t in range(trees)], _sketched).distinct()), "near-nodes")
     needed = rows.select("rep").distinct()
     texts = per_class.join(needed, per_class["key"] == needed["rep"], "left_semi").select(F.col("rep").alias("doc_id"), "f1", "f2", F.col("key").alias("rep"))
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
@@ -294,25 +336,45 @@ def near_components(docs: DataFrame, share: int = 75, trees: int = TREES, leaf:
     links = stored(_compare(_one_of_each(_with_components(part, None)), members, share), "near-links")
     known = stored(components(links), "near-components")
 
-    later = stored(_differing(_with_components(rows.where(F.col("tree") >= FIRST_TREES), known), "node"), "near-later")
-    parts, depth, large = [later.where(F.col("total") <= leaf)], DEPTH, later.where(F.col("total") > leaf)
-    while depth < DEEPEST and not large.isEmpty():
-        depth += DEEPER
-        deeper = _sized(_branch(large.join(sketches.select("rep", "sketch"), "rep"), DEEPER).distinct())
-        deeper = stored(_differing(_with_components(deeper, known), "node"), "near-later")
-        parts.append(deeper.where(F.col("total") <= leaf))
-        large = deeper.where(F.col("total") > leaf)
-    part = whole(parts[0])
-    for x in parts[1:]:
-        part = part.unionByName(whole(x))
-    blocks = not large.isEmpty()
-    if blocks:
-        part = part.unionByName(_dealt(large, leaf))
-    links = links.unionByName(stored(_compare(_one_of_each(_with_components(part, known)), members, share), "near-links"))
-    known = stored(components(links), "near-components")
-    if blocks:
-        last = stored(_compare(_outsiders(_with_components(large.drop("comp"), known), leaf), members, share), "near-links")
-        known = stored(components(links.unionByName(last)), "near-components")
+    later = rows.where((F.col("tree") >= FIRST_TREES) | (F.col("total") > leaf))
+    later = stored(_differing(_with_components(later, known), "node").drop("comp"), "near-later")
+
+    def linked(part):
+        """Compare the groups of ``part``; links and components then hold what was found."""
+        nonlocal links, known
+        links = links.unionByName(stored(_compare(part, members, share), "near-links"))
+        known = stored(components(links), "near-components")
+
+    def apart(nodes):
+        return stored(_outside(_with_components(nodes, known)), "near-later")
+
+    few, many = 2 * F.col("outside") <= leaf, 2 * F.col("outside") > leaf
+    linked(_one_of_each(_with_components(whole(later.where(F.col("total") <= leaf)), known)))
+    large = apart(later.where(F.col("total") > leaf))
+    sets = members.join(large.where(many).select("rep", "load").distinct(), "rep").select("rep", "load", "members")
+    crowd = not large.where(many).isEmpty()
+    if not large.where(few).isEmpty():
+        linked(_outsiders(large.where(few), leaf))
+    sets = stored(sets, "near-crowd") if crowd else sets
+    done, depth = 0, DEPTH
+    while crowd and done < trees_at(depth, share):
+        upto, level, parts, exact = trees_at(depth, share), DEPTH, [], []
+        nodes = _paths(sets, [seeded(6, t) for t in range(done, upto)], _counted)
+        while True:
+            here = apart(_sized(nodes.distinct()))
+            small = F.col("total") <= leaf
+            parts.append(whole(here.where(small)))
+            exact.append(here.where(~small & few))
+            large = here.where(~small & many)
+            if level >= DEEPEST or large.isEmpty():
+                break
+            level, nodes = level + DEEPER, _branch(large, members)
+        parts.append(_dealt(large, leaf))
+        linked(_one_of_each(_with_components(reduce(DataFrame.unionByName, parts), known)))
+        left = apart(reduce(DataFrame.unionByName, [*exact, large]).drop("comp", "top", "outside"))
+        if not left.isEmpty():
+            linked(_outsiders(left, leaf))
+        done, depth = upto, max(depth, level)
     classed = _with_components(per_class.select("f1", "f2", "n_shingles", F.col("key").alias("rep"), F.col("rep").alias("least")), known)
     least = classed.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = classed.join(least, "comp").select("f1", "f2", "n_shingles", "component_id")
@@ -327,15 +389,20 @@ def _dealt(large: DataFrame, leaf: int) -> DataFrame:
     return large.select(F.xxhash64("node", block).alias("grp"), "rep", F.lit(True).alias("fresh"))
 
 
-def _outsiders(large: DataFrame, leaf: int) -> DataFrame:
+def _outside(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold different components, with the node's largest one and the shingles outside it."""
+    by = rows.groupBy("node", "comp").agg(F.sum("load").alias("n")).groupBy("node")
+    by = by.agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), (F.sum("n") - F.max("n")).alias("outside"))
+    return rows.join(by.where("outside > 0"), "node")
+
+
+def _outsiders(rows: DataFrame, leaf: int) -> DataFrame:
     """Blocks of sets outside their node's largest component, each with every block of the node."""
-    by = large.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    top = by.groupBy("node").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"))
-    k = F.ceil(2 * F.col("total") / leaf)
-    marked = large.join(top, "node").withColumn("fresh", F.col("comp") != F.col("top")).withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")))
-    outer = marked.where("fresh").select("node", F.col("block").alias("outer")).distinct()
-    mine = marked.where("fresh").select("node", "rep", "comp", "fresh", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("inner"), F.col("block").alias("outer"))
-    theirs = marked.join(outer, "node").select("node", "rep", "comp", "fresh", F.col("block").alias("inner"), "outer")
+    k, outer = F.ceil(2 * F.col("total") / leaf), F.ceil(2 * F.col("outside") / leaf)
+    marked = rows.withColumn("fresh", F.col("comp") != F.col("top")).withColumn("k", k).withColumn("n_outer", outer)
+    own = ["node", "rep", "comp", "fresh"]
+    mine = marked.where("fresh").select(*own, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("inner"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_outer")).alias("outer"))
+    theirs = marked.select(*own, F.pmod(F.xxhash64("rep"), F.col("k")).alias("inner"), F.explode(F.sequence(F.lit(0), F.col("n_outer") - 1)).alias("outer"))
     rows = mine.unionByName(theirs).dropDuplicates(["node", "rep", "inner", "outer"])
     return rows.select(F.xxhash64("node", "inner", "outer").alias("grp"), "rep", "comp", "fresh")
 

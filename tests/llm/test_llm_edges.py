@@ -67,6 +67,21 @@ def test_near_small_leaves(spark):
     assert groups[0] == groups[1]
 
 
+def test_near_pairs_in_a_crowd(spark):
+    """Pairs of similarity 0.758 among texts of 0.65: nodes stay large as they branch, and no pair may be lost."""
+    rng, rows = random.Random(4), []
+    for pair in range(400):
+        slots = rng.sample(range(80), 14)
+        for half, places in enumerate((slots[:9], slots[:4] + slots[9:])):
+            text = [f"w{i}" for i in range(404)]
+            for i, p in enumerate(places):  # each takes five of 400 shingles; three of the nine are the same in both
+                text[4 + 5 * p] = f"p{pair}x{p}" if i < 3 else f"p{pair}x{p}h{half}"
+            rows.append((2 * pair + half, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_components(df, leaf=10_000).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
 def test_link_finds_every_component():
     rng = np.random.default_rng(5)
     for _ in range(30):
