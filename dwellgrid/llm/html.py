@@ -8,8 +8,9 @@
 2. Tokens of a host with equal vectors are one class. A class is valid if it
    has more than one token, its pages are at least half of the host's, and it
    nests: its elements stand inside elements of a valid class. Valid classes,
-   nested, are the template; texts that belong to the class of tokens found
-   once in every page are template too.
+   nested, are the template; texts found once in every page are template too,
+   and those of the class of a layout: of an html, body, article or main
+   element, in however many of the host's pages, most of whose words differ.
 3. What lies between template tokens are slots. The host's main slot is the
    template element that holds its text: an article or main element if the
    template has one, else the innermost element with most of the words. A
@@ -189,7 +190,9 @@ def host_tokens(pages: DataFrame) -> DataFrame:
                     x[0] += 1
                     x[2] += el.words
                 for el, text in blocks:
-                    own.setdefault((_hash(el.sig, text), el.sig, True, el.tag, False, el.depth, bool(el.apart)), [0, el.order, 0])[0] += 1
+                    x = own.setdefault((_hash(el.sig, text), el.sig, True, el.tag, False, el.depth, bool(el.apart)), [0, el.order, 0])
+                    x[0] += 1
+                    x[2] += 0 if el.apart else text.count(" ") + 1
                 one = _hash(page_id, page)
                 for token, (n, order, words) in own.items():
                     x = found.setdefault((host, *token), [0, 0, 0, 0.0, 0])
@@ -213,9 +216,10 @@ def host_tokens(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, texts): the main slot's element and the template texts of every host."""
     tokens = host_tokens(pages)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    often = tokens.join(sizes, "host").where(2 * F.col("pages") >= F.col("host_pages"))
-    often = stored(often, "html-tokens")
+    sizes = pages.where(F.col("html").rlike(r"\S")).groupBy("host").agg(F.count("*").alias("host_pages"))
+    half = 2 * F.col("pages") >= F.col("host_pages")
+    repeated = stored(tokens.join(sizes, "host").where(half | (F.col("pages") >= TEXT_PAGES)), "html-tokens")
+    often = repeated.where(half)
     # classes of equal vectors; a host's tokens of half its pages are as few as twice a page's tokens
     classes = often.groupBy("host", "pages", "occ", "fp").agg(F.count("*").alias("members"))
     valid = often.join(classes.where("members > 1"), ["host", "pages", "occ", "fp"])
@@ -233,6 +237,12 @@ def templates(pages: DataFrame) -> DataFrame:
         .groupBy("host").agg(F.max(F.struct("score", "token"))["token"].alias("main"))
     )
     constant = valid.where((F.col("text")) & (F.col("occ") == F.col("pages")) & (F.col("pages") == F.col("host_pages")) & (F.col("host_pages") >= TEXT_PAGES))
+    vector = ["host", "pages", "occ", "fp"]
+    said = repeated.where(F.col("text") & (F.col("occ") == F.col("pages")) & (F.col("pages") >= TEXT_PAGES))
+    layouts = repeated.where("NOT text AND NOT apart AND (main OR tag IN ('html', 'body'))").groupBy(*vector).agg(F.max("words").alias("all_words"))
+    # what copies of one page share is what they say
+    layouts = said.groupBy(*vector).agg(F.sum("words").alias("own_words")).join(layouts, vector).where("2 * own_words < all_words").select(*vector)
+    constant = constant.select("host", "token").unionByName(said.join(layouts, vector).select("host", "token"))
     texts = constant.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("texts"))
     return main.join(texts, "host", "full_outer").select("host", "main", F.coalesce("texts", F.array().cast("array<bigint>")).alias("texts"))
 

@@ -238,6 +238,21 @@ def test_html(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+def test_html_texts_of_layouts(spark):
+    """A notice that all pages of a layout repeat is template, whatever else the host has; copies keep their text."""
+    page = "<html><body><{2} class={0}><p>{0} is read by all</p><p>Here {1} says {1} words of {1} and some more</p></{2}></body></html>"
+    rows = [(i, "http://a/", page.format("news", f"n{i}", "article")) for i in range(10)]
+    rows += [(10 + i, "http://a/", page.format("talk", f"t{i}", "main")) for i in range(10)]
+    rows += [(20 + i, "http://a/", page.format("post-7", "one", "article")) for i in range(9)]
+    rows += [(30, "http://a/", None), (31, "http://a/", " "), (32, "http://a/", "<html><body><h1>Moved</h1></body></html>")]
+    rows += [(40 + i, "http://b/", page.format("news", f"n{i}", "article")) for i in range(9)] + [(49, "http://b/", None)]
+    got = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    says = "Here {0} says {0} words of {0} and some more"
+    assert all(got[i].text == says.format(f"n{i}") and got[10 + i].text == says.format(f"t{i}") for i in range(10))
+    assert all(got[20 + i].text == "post-7 is read by all\n\n" + says.format("one") for i in range(9))
+    assert all(got[40 + i].text == says.format(f"n{i}") for i in range(9)) and got[32].text == "Moved"
+
+
 def test_html_survives_odd_markup():
     for page in ("<", "<p", "</p></p>", "<script>", "<!--", "<div " * 300, "<div>" * 3000 + "x", "<p a='>'>t", "\ud800" if False else "\x00<p>\x00"):
         elements, blocks = read(page)
