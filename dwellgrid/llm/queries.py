@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import toxicity, warc
+from dwellgrid.llm import merkle, pieces, spans, toxicity, warc
 from dwellgrid.llm.contamination import decontaminate
 from dwellgrid.llm.html import extract
 from dwellgrid.llm.lines import LINES_SQL, dedup_lines
@@ -142,3 +142,76 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every document under rules whose false-rejection rate is bounded per language."""
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and the text they decode to, as digests."""
+    out = pieces.encode(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def merkle_sql(levels: int = 7, top_levels: int = 4) -> str:
+    """SQL of op12 with its levels unrolled: up to 8 ** levels documents a language, 8 ** top_levels languages."""
+    said = lambda text: ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in (text if c == "text" else c for c in LEAF_COLUMNS))
+    crc = "SELECT i, i AS c FROM range(256) r(i)"
+    for _ in range(8):
+        crc = f"SELECT i, xor(c >> 1, 3988292384 * (c & 1)) AS c FROM ({crc})"
+    steps = [
+        f"crc AS (SELECT list(c ORDER BY i) AS t FROM ({crc}))",
+        """own AS (SELECT *, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claimed FROM documents, crc)""",
+        f"leaf AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(concat({said('text')})) AS leaf, sha256(concat({said('claimed')})) AS claim FROM own)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaf)",
+        "n0 AS (SELECT g, p, leaf AS h FROM placed)",
+    ]
+
+    def grow(name: str, count: int) -> None:
+        for j in range(count):
+            steps.append(f"{name}r{j} AS (SELECT g, p // 8 AS p, list(h ORDER BY p) AS hs, max(m) AS m FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {name}{j}) GROUP BY g, p // 8)")
+            steps.append(f"{name}{j + 1} AS (SELECT g, p, CASE WHEN m > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}r{j})")
+
+    def climb(name: str, count: int, start: str, last: str) -> None:
+        """From (.., g, p, acc, proof) of ``start`` to ``last``."""
+        at = start
+        for j in range(count):
+            i = f"CAST(a.p // {8**j} % 8 AS INT)"
+            left, right = f"array_to_string(hs[1:{i}], '')", f"array_to_string(hs[{i} + 2:], '')"
+            to = last if j == count - 1 else f"{last}{j}"
+            steps.append(f"{to} AS (SELECT a.* REPLACE (CASE WHEN m > 1 THEN sha256({left} || acc || {right}) ELSE acc END AS acc, CASE WHEN m > 1 THEN proof || {left} || {right} ELSE proof END AS proof) FROM {at} a JOIN {name}r{j} r ON r.g = a.g AND r.p = a.p // {8 ** (j + 1)})")
+            at = to
+
+    grow("n", levels)
+    steps.append(f"t0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS p, h, g AS name FROM n{levels})")
+    grow("t", top_levels)
+    steps.append("c AS (SELECT doc_id, leaf, g, p, claim AS acc, '' AS proof FROM placed)")
+    climb("n", levels, "c", "mid")
+    steps.append("d AS (SELECT m.doc_id, m.leaf, t0.h AS subroot, '' AS g, t0.p, m.acc, m.proof FROM mid m JOIN t0 ON t0.name = m.g)")
+    climb("t", top_levels, "d", "fin")
+    return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = h AS verified FROM fin, t{top_levels}"
+
+
+@query(merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's proof against the manifest, and the root that its claimed row leads to."""
+    docs = table(spark, folder, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.when(tampered, lower).otherwise(F.col("text"))
+    claim = merkle.digest_of([text if c == "text" else docs[c] for c in LEAF_COLUMNS])
+    out = merkle.verify(docs, LEAF_COLUMNS, "lang", "doc_id", claim)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query()
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's groups and links of two tokenizers."""
+    aligned = spans.align(table(spark, folder, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return spans.score(aligned.withColumn("groups_sha256", digest).drop("groups"))
