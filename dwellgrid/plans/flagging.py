@@ -234,7 +234,7 @@ def segment_flags(cells: DataFrame, keys: list[str], row: str, chan: str, freq:
     number stay apart.  The background is the separable one of
     ``fits.segment_background``; ``noise`` is the expected scatter of
     data / background - 1."""
-    seen = segment_background(cells, keys, row, chan, data, reference, limit)
+    seen = segment_background(cells, keys, row, chan, data, noise, reference, clip=cuts.fit_clip)
     on = F.coalesce(reference, F.lit(False))
     seen = cut(seen.withColumns({"z": (F.col(data) / F.col("model") - 1) / noise, "_ok": F.col("model").isNotNull(), "_on": on}))
     out = group_triggers(seen.withColumn("_valid", F.col("_ok") & F.col("_on")), keys, row, chan, freq, "z", cross, "_valid", "_on", cuts, limit=limit)
