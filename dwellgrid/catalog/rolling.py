@@ -83,9 +83,7 @@ def _mean_pass(src, k, out):
 
 @query("mean_flagger", f"""WITH {CELLS}, w0 AS (SELECT row_no, chan, p, 1.0 AS w FROM cells), {_mean_pass('w0', 3, 'w3')}, {_mean_pass('w3', 4, 'w4')}, {_mean_pass('w4', 5, 'w5')} SELECT row_no, chan, w=0 AS flag FROM w5""")
 def mean_flagger(spark, folder):
-    s = spectra(spark, folder).select("row_no", F.transform("spec", lambda x: 1000 * F.exp(x)).alias("p"), F.transform("spec", lambda x: F.lit(30.0)).alias("noise"))
-    out = op.mean_flagger(s, "p", "noise", 5.0)
-    return out.select("row_no", F.posexplode("flags").alias("chan", "flag"))
+    return op.mean_flagger(cells(spark, folder).select("row_no", "chan", "p"), ["row_no"], "chan", "p", F.lit(30.0), 5.0).select("row_no", "chan", "flag")
 
 
 def _clip_round(before: str, out: str) -> str:

@@ -39,17 +39,17 @@ def _interleave(a: Column, b: Column) -> Column:
 def _best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k candidates nearest to each query row, itself left out; ties to the
     lower id."""
+    c = c.sort_values("id", ignore_index=True)  # a stable sort by distance then leaves ties to the lower id
     xy = lambda p: np.column_stack([np.cos(p.az), np.sin(p.az), np.cos(p.el), np.sin(p.el)])
     a, b = xy(q), xy(c)
-    d = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(2), 0))
-    own = q.id.to_numpy()[:, None] == c.id.to_numpy()[None, :]
-    out = []
+    d = np.sqrt(sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(4)))
     ids, vals = c.id.to_numpy(), c.v.to_numpy(float)
-    for r in range(len(q)):
-        order = np.lexsort((ids, d[r]))
-        order = order[~own[r][order]][:k]
-        out.append((int(q.id.iloc[r]), d[r][order].tolist(), vals[order].tolist(), ids[order].tolist()))
-    return pd.DataFrame(out, columns=["id", "d", "v", "n"])
+    d[q.id.to_numpy()[:, None] == ids[None, :]] = np.inf
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    d = np.take_along_axis(d, order, axis=1)
+    found = np.isfinite(d).sum(axis=1)
+    cut_to = lambda x: [row[:n].tolist() for row, n in zip(x, found)]
+    return pd.DataFrame({"id": q.id.to_numpy(), "d": cut_to(d), "v": cut_to(vals[order]), "n": cut_to(ids[order])})
 
 
 def _cells(df: DataFrame, keep: list[str], az0: Column, az1: Column, el0: Column, el1: Column) -> DataFrame:
@@ -118,7 +118,7 @@ def isolated_outliers(df: DataFrame, id: str, az: Column, el: Column, residual:
     good = df.where(valid & residual.isNotNull() & ~F.isnan(residual))
     if good.limit(max(k + 1, min_rows)).count() < max(k + 1, min_rows):
         return df.withColumn("outlier", F.lit(False))
-    near = nearest_neighbours(good, id, az, el, residual, k, leaf, limit).select(id, median(F.col("v")).alias("_local"))
+    near = nearest_neighbours(good, id, az, el, residual, k, leaf, limit=limit).select(id, median(F.col("v")).alias("_local"))
     high = good.select(id, residual.alias("_res")).join(near, id).withColumn("_h", F.col("_res") - F.col("_local"))
     high = with_mad(high, [], F.col("_h"), "_c", "_s", limit=limit)
     far = F.abs(F.col("_h") - F.col("_c")) > F.when(F.col("_s") > 1e-12, clip * F.col("_s")).otherwise(1e-12)

@@ -7,7 +7,6 @@ same rows for data that arrives in time.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +16,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 BACKLOG = "16 minutes"  # fixed value: how late a file may be written
 
 
-def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*", per_trigger: int = 64) -> DataFrame:
-    """New files of a folder as they appear; the checkpoint keeps the manifest."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", per_trigger).parquet(path))
+def file_stream(spark: SparkSession, path: str, schema, pattern: str = "*", per_trigger: int | None = None) -> DataFrame:
+    """New files of a folder as they appear, at most ``per_trigger`` at once; the checkpoint keeps the manifest."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
 
 
 def append_index(stream: DataFrame, index_path: str, checkpoint: str, day: Column):
@@ -81,48 +80,80 @@ def route_late(stream: DataFrame, ts: str, path: str, marks: str, checkpoint: st
             .trigger(availableNow=True).start())
 
 
-@dataclass
-class _Last:
-    t: float | None = None
-    state: str | None = None
-    block: int = -1
-    node_t: float | None = None
-    node: float | None = None
+_PENDING = ["us", "id", "state", "value"]
 
 
 class BlockGate(StatefulProcessor):
-    """Number the switch blocks of one input as rows arrive, with the last node.
+    """Number the switch blocks of one key in order of event time, with the last node.
 
-    Per key the state is one small row: last time and state, block number, and
-    time and value of the last row in the node state."""
+    Rows wait in the state until the watermark has passed them; a timer at the
+    earliest waiting row then releases all that are due at once, in order, and
+    is set again for the next. So a key holds the rows of one watermark delay,
+    besides one small row: last time and state, block number, and time and
+    value of the last row in the node state."""
 
     def __init__(self, gap_s: float, node_state: str):
-        self.gap_s, self.node_state = gap_s, node_state
+        self.gap_us, self.node_state = round(gap_s * 1e6), node_state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double, state string, block bigint, node_t double, node double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        s = _Last(*self.last.get()) if self.last.exists() else _Last()
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"])
-        out = []
-        for r in batch.itertuples(index=False):
-            if s.t is None or r.state != s.state or r.t - s.t > self.gap_s:
-                s.block += 1
-            s.t, s.state = float(r.t), r.state
-            if r.state == self.node_state:
-                s.node_t, s.node = float(r.t), float(r.value)
-            out.append((key[0], int(r.id), float(r.t), s.block, s.node_t, s.node))
-        self.last.update((s.t, s.state, s.block, s.node_t, s.node))
-        yield pd.DataFrame(out, columns=["input", "id", "t", "block", "node_t", "node"])
+        self.handle = handle
+        self.pending = handle.getListState("pending", "us bigint, id bigint, state string, value double")
+        self.last = handle.getValueState("last", "us bigint, state string, block bigint, node_us bigint, node double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            self.pending.appendList(_plain(batch))
+            self.handle.registerTimer(int(batch.us.min() // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.pending.get()), columns=_PENDING).astype({"us": "int64", "id": "int64"})
+        due = held.us // 1000 < timerValues.getCurrentWatermarkInMs()
+        if not due.any():
+            return
+        wait = held[~due]
+        if len(wait):
+            self.pending.put(_plain(wait))
+            self.handle.registerTimer(int(wait.us.min() // 1000))
+        else:
+            self.pending.clear()
+        yield self._numbered(key, held[due].sort_values(["us", "id"], ignore_index=True))
+
+    def _numbered(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        us, state, block, node_us, node = self.last.get() if self.last.exists() else (None, None, -1, None, None)
+        before_us, before = rows.us.shift(), rows.state.shift()
+        new = (rows.state != before) | (rows.us - before_us > self.gap_us)
+        new[0] = us is None or rows.state[0] != state or rows.us[0] - us > self.gap_us
+        blocks = block + new.cumsum()
+        at = rows.state == self.node_state
+        nodes = rows.value.where(at).ffill().fillna(node) if node is not None else rows.value.where(at).ffill()
+        times = rows.us.where(at).astype("Int64").ffill()
+        times = times.fillna(node_us) if node_us is not None else times
+        out = pd.DataFrame({"id": rows.id, "us": rows.us, "block": blocks.astype("int64"), "node_us": times, "node": nodes})
+        end = out.iloc[-1]
+        self.last.update((int(end.us), rows.state.iloc[-1], int(end.block), None if pd.isna(end.node_us) else int(end.node_us), None if pd.isna(end.node) else float(end.node)))
+        out.insert(0, "key", key[0])
+        return out
 
     def close(self) -> None:
         pass
 
 
-def gate(stream: DataFrame, input: str, gap_s: float, node_state: str) -> DataFrame:
-    """``BlockGate`` over a stream of (input, id, t, state, value)."""
-    return stream.groupBy(input).transformWithStateInPandas(
+def _plain(rows: pd.DataFrame) -> list[tuple]:
+    return [(int(u), int(i), s, None if pd.isna(v) else float(v)) for u, i, s, v in zip(rows.us, rows.id, rows.state, rows.value)]
+
+
+def gate(stream: DataFrame, ts: str, key: str, id: str, state: str, value: str, gap_s: float, node_state: str, late: str = BACKLOG) -> DataFrame:
+    """id, key, time, block and last node of every row, once the watermark has passed it.
+
+    A block ends where the state changes or more than ``gap_s`` pass without a
+    row; rows of one time follow by id. Rows may come in any order within
+    ``late``; later ones are dropped by the watermark. Rows after the last
+    watermark stay open. ``key`` and ``id`` are integers; a NULL value is no
+    node."""
+    rows = stream.withWatermark(ts, late).select(F.col(key).cast("bigint").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"),
+                                                 F.col(id).cast("bigint").alias("id"), F.col(state).alias("state"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=BlockGate(gap_s, node_state),
-        outputStructType="input int, id bigint, t double, block bigint, node_t double, node double",
-        outputMode="Append", timeMode="None")
+        outputStructType="key bigint, id bigint, us bigint, block bigint, node_us bigint, node double",
+        outputMode="Append", timeMode="EventTime")
