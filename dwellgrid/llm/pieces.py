@@ -4,44 +4,21 @@ A text, with a marker for every space and one put before it, falls into chunks:
 a run of markers and what follows up to the next run. In a model none of whose
 pieces has a marker after another character, no merge reaches over a chunk's
 edge, so a text's ids are its chunks' ids in order, and a chunk's ids are
-always the same.
-
-1. Documents are read in blocks of some megabytes. A block becomes one row: its
-   documents as numbers of chunks, and the distinct chunks themselves, dealt by
-   hash into parts.
-2. A part goes to one task, which segments each distinct chunk once and answers
-   the blocks in turn; it holds its share of the vocabulary, never a whole
-   column of rows.
-3. The answers meet the numbers again by block, in a bucketed table, and are
-   joined by position.
-
-A block, not a document or a word, is the unit of every shuffle: a chunk that
-all documents hold is one entry of each block, and copies cost what any other
-document costs.
+always the same. Each distinct chunk is segmented once, and the ids are joined
+back by position (``distinct``).
 """
 
 from __future__ import annotations
 
 import re
-import uuid
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from dwellgrid.llm.store import new_folder
-from dwellgrid.llm.text import bounded_batches
+from dwellgrid.llm.distinct import BLOCK_CHARS, by_distinct_parts
 
 MARK = "▁"
-#: Characters of text that one block holds, at least one document.
-BLOCK_CHARS = 16 << 20
-#: Chunk numbers that are turned into ids at once.
-STEP = 1 << 19
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -84,143 +61,7 @@ def chunked(text: str | None) -> list[str]:
     return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.astype("<u4").tobytes() for a in arrays))
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
-
-
-def _planes(codes: np.ndarray) -> bytes:
-    """Numbers by their bytes, the lowest first: high bytes compress well."""
-    by = np.ascontiguousarray(codes.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(by).tobytes())
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    by = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(by.T).view("<u4").ravel()
-
-
-class Block:
-    """Documents as numbers of their distinct chunks."""
-
-    def __init__(self):
-        self.ids, self.codes, self.counts, self.number, self.chars = [], [], [], {}, 0
-
-    def add(self, doc_id, text: str | None) -> None:
-        number = self.number
-        codes = np.array([number.setdefault(c, len(number)) for c in chunked(text)], np.uint32)
-        self.ids.append(doc_id)
-        self.codes.append(codes)
-        self.counts.append(len(codes))
-        self.chars += len(text or "")
-
-    def row(self, parts: int) -> tuple:
-        """(ids, counts, codes, parts' numbers, parts' chunks); codes follow (part, chunk)."""
-        part = {c: zlib.crc32(c.encode()) % parts for c in self.number}
-        order = sorted(self.number, key=lambda c: (part[c], c))
-        new = np.empty(len(order), np.uint32)
-        new[[self.number[c] for c in order]] = np.arange(len(order), dtype=np.uint32)
-        held: dict[int, list[str]] = {}
-        for c in order:
-            held.setdefault(part[c], []).append(c)
-        pack = zstandard.ZstdCompressor(level=3)
-        # a chunk has no space in it, so a space can part them
-        return self.ids, _pack(np.array(self.counts)), _planes(new[np.concatenate(self.codes)]), list(held), [pack.compress(" ".join(v).encode()) for v in held.values()]
-
-
-def _blocks(docs: DataFrame, id_column: str, text: str, parts: int, block_chars: int) -> DataFrame:
-    src = docs.select(docs[id_column].alias("id"), docs[text].alias("text"))
-    kind = src.schema["id"].dataType
-    schema = f"block long, ids array<{kind.simpleString()}>, counts binary, codes binary, parts array<int>, chunks array<binary>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, task, block = 0, TaskContext.get().partitionId(), Block()
-        id_type = None
-
-        def out(block):
-            cols = [[v] for v in (task << 32 | made, *block.row(parts))]
-            types = [pa.int64(), pa.list_(id_type), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types)], names=["block", "ids", "counts", "codes", "parts", "chunks"])
-
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    block.add(doc_id, text)
-                    if block.chars >= block_chars:
-                        yield out(block)
-                        block, made = Block(), made + 1
-        if block.ids:
-            yield out(block)
-
-    return src.mapInArrow(run, schema)
-
-
-def _answered(questions: DataFrame, model: str) -> DataFrame:
-    """(block, part, chunks) to (block, part, packed counts, packed ids); a part lies in one partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
-            counts, ids = [], []
-            for data in batch.column(2).to_pylist():
-                chunks = zstandard.ZstdDecompressor().decompress(data).decode().split(" ")
-                new = [c for c in chunks if c not in known]
-                for at in range(0, len(new), 10_000):
-                    some = new[at : at + 10_000]
-                    known.update((c, np.array(x, "<u4")) for c, x in zip(some, pieces(model).segment(some)))
-                found = [known[c] for c in chunks]
-                counts.append(_pack(np.fromiter(map(len, found), np.uint32, len(found))))
-                ids.append(_pack(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["block", "part", "n_ids", "piece_ids"])
-
-    return questions.mapInArrow(run, "block long, part int, n_ids binary, piece_ids binary")
-
-
-def _joined(rows: DataFrame, id_type: str, model: str, decode: bool) -> DataFrame:
-    """Ids of every document of a block, from its numbers and the answers of its parts."""
-    schema = f"doc_id {id_type}, ids array<int>" + (", decoded string" if decode else "")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = pieces(model)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                doc_ids = one.column(0).flatten()
-                n_chunks = _unpack(one.column(1)[0].as_py()).astype(np.int64)
-                codes = _from_planes(one.column(2)[0].as_py())
-                answers = sorted(one.column(3)[0].as_py() or [], key=lambda a: a["part"])
-                n_ids = np.concatenate([_unpack(a["n_ids"]) for a in answers] or [np.zeros(0, "<u4")]).astype(np.int64)
-                flat = np.concatenate([_unpack(a["piece_ids"]) for a in answers] or [np.zeros(0, "<u4")]).astype(np.int32)
-                if len(n_ids) != (codes.max() + 1 if len(codes) else 0) or len(flat) != n_ids.sum():
-                    raise ValueError("a block's chunks were not answered")
-                first = np.cumsum(n_ids) - n_ids
-                edges = np.concatenate([[0], np.cumsum(n_chunks)])
-                at = 0
-                while at < len(n_chunks):
-                    to = max(at + 1, int(np.searchsorted(edges, edges[at] + STEP, "right")) - 1)
-                    to = min(to, at + 1000)
-                    texts = []
-                    for d in range(at, to):
-                        c = codes[edges[d] : edges[d + 1]]
-                        n = n_ids[c]
-                        ends = np.cumsum(n)
-                        place = np.arange(ends[-1] if len(n) else 0) + np.repeat(first[c] - (ends - n), n)
-                        texts.append(np.append(flat[place], np.int32(made.end)))
-                    cols = [doc_ids.slice(at, to - at), pa.array(texts, pa.list_(pa.int32()))]
-                    if decode:
-                        cols.append(pa.array(made.model.decode([t.tolist() for t in texts], num_threads=1), pa.string()))
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
-                    at = to
-
-    return rows.mapInArrow(run, schema)
-
-
-def encode(docs: DataFrame, model: str = "piece_bpe_32k", id_column: str = "doc_id", text: str = "text", decode: bool = True, parts: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model: str = "piece_bpe_32k", id_column: str = "doc_id", text: str = "text", decode: bool = True, shares: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Ids of every text, ending in the model's end id, and the text that they decode to.
 
     Columns: doc_id, ids, decoded (if asked for). One row per row of ``docs``,
@@ -230,21 +71,20 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k", id_column: str = "doc_
     rows. Only the id and the text are read, so other columns can't clash.
     Raises ``ValueError`` for a model that changes texts or whose pieces have a
     marker after another character: there the chunks' ids need not be the
-    text's. ``parts``: into how many parts distinct chunks are dealt, four
-    times the number of shuffle partitions if not given.
+    text's.
     """
-    spark = docs.sparkSession
     pieces(model)
-    bounded_batches(spark)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_type = docs.schema[id_column].dataType.simpleString()
-    table = f"pieces_{uuid.uuid4().hex}"
-    blocks = _blocks(docs, id_column, text, parts or 4 * shuffles, block_chars)
-    # by block in buckets, so that the numbers are not shuffled when the answers come
-    blocks.write.format("parquet").option("compression", "zstd").option("path", new_folder(spark, "pieces")).bucketBy(shuffles, "block").saveAsTable(table)
-    blocks = spark.table(table)
-    asked = blocks.select("block", F.explode(F.arrays_zip("parts", "chunks")).alias("q")).select("block", F.col("q.parts").alias("part"), F.col("q.chunks").alias("chunks"))
-    answers = _answered(asked.repartition(shuffles, "part"), model)
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "n_ids", "piece_ids")).alias("answers"))
-    rows = blocks.select("block", "ids", "counts", "codes").join(answers.hint("merge"), "block", "left")
-    return _joined(rows.select("ids", "counts", "codes", "answers"), id_type, model, decode)
+
+    def answer(chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, "<u4") for ids in pieces(model).segment(chunks)]
+
+    def finish(found: list[np.ndarray]) -> list[pa.Array]:
+        made = pieces(model)
+        ids = [np.append(x.astype(np.int32), np.int32(made.end)) for x in found]
+        out = [pa.array(ids, pa.list_(pa.int32()))]
+        if decode:
+            out.append(pa.array(made.model.decode([x.tolist() for x in ids], num_threads=1), pa.string()))
+        return out
+
+    columns = "ids array<int>" + (", decoded string" if decode else "")
+    return by_distinct_parts(docs, id_column, text, chunked, answer, finish, columns, shares, block_chars)

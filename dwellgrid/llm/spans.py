@@ -10,8 +10,8 @@ and B tokens of a group are linked.
 
 Texts are aligned in stretches that begin at a space after a visible character.
 There A's words and B's pieces both begin anew, so both libraries give a
-stretch the tokens that it has inside the whole text, and a worker aligns a
-short stretch once and keeps what came out.
+stretch the tokens that it has inside the whole text. Each distinct stretch is
+aligned once (``distinct``).
 
 How many documents hold a pair of ids linked is counted over all documents.
 Pairs in so many documents that they could crowd one task are few and are
@@ -23,19 +23,16 @@ from __future__ import annotations
 import itertools
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwellgrid.llm.distinct import BLOCK_CHARS, by_distinct_parts
 from dwellgrid.llm.pieces import MARK
 from dwellgrid.llm.store import stored
-from dwellgrid.llm.text import bounded_batches
 
-#: Stretches that a worker keeps twice over, and the longest that it keeps.
-KEPT, KEPT_CHARS = 1 << 18, 64
 #: Most pairs that are broadcast with their counts.
 HEAD_PAIRS = 1 << 18
 #: Larger groups are counted by distinct ids, not by tokens.
@@ -87,11 +84,9 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.written = pa.array([f"{i}{after}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for after in _AFTER], pa.large_string())
-        self.kept: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
 
-    def stretches(self, parts: list[str]) -> list[bytes | None]:
-        """Tokens of stretches, each a space and the part, in the order of their groups; None if the bytes differ.
+    def _stretches(self, parts: list[str]) -> list[np.ndarray]:
+        """Tokens of stretches, each a space and the part, in the order of their groups; none if the bytes differ.
 
         They are encoded as one text, so none but the last may end in white space."""
         texts = [f" {p}" for p in parts]
@@ -102,12 +97,12 @@ class Aligner:
         said = [b"".join(map(names.__getitem__, ids.tolist())) for names, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids))]
         if said != [data, data]:
             if len(parts) == 1:
-                return [None]
+                return [np.zeros(0, "<u4")]
             half = len(parts) // 2  # few stretches differ: find them by halves
-            return self.stretches(parts[:half]) + self.stretches(parts[half:])
+            return self._stretches(parts[:half]) + self._stretches(parts[half:])
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         byte = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
-        spans = byte[np.array(a.offsets)]
+        spans = byte[np.fromiter(itertools.chain.from_iterable(a.offsets), np.int64).reshape(-1, 2)]
         a_ends = token_ends(spans[:, 0], spans[:, 1], self.a_sizes[a_ids])
         # one byte on, for the space that the model puts before, which is its first token's
         first, end = np.array([p.begin for p in b]) + 1, np.array([p.end for p in b]) + 1
@@ -124,32 +119,20 @@ class Aligner:
         out = np.empty(len(a_ids) + len(b_ids), "<u4")
         out[a_at] = a_ids * 4 + np.where(a_last, A_LAST, A_INNER)
         out[b_at] = b_ids * 4 + np.where(b_last, B_LAST, B_INNER)
-        out, edges = out.tobytes(), (4 * (a_edges + b_edges)).tolist()
-        return [out[x:y] for x, y in zip(edges, edges[1:])]
-
-    def tokens(self, texts: list[str | None]) -> list[bytes | None]:
-        """The same of whole texts; None for texts without tokens."""
-        split = [_CUT.split(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT:
-            self.before, self.kept = self.kept, {}
-        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(split)) if p not in self.kept]
-        here = {p: self.before[p] for p in new if p in self.before}
-        new = [p for p in new if p not in here]
-        visible = [p for p in new if not p[-1].isspace()]
-        for some in [visible[at : at + 2000] for at in range(0, len(visible), 2000)] + [[p] for p in new if p[-1].isspace()]:
-            here.update(zip(some, self.stretches(some)))
-        self.kept.update((p, r) for p, r in here.items() if len(p) <= KEPT_CHARS)
-        out = []
-        for parts in split:
-            found = [self.kept[p] if p in self.kept else here[p] for p in parts]
-            out.append(None if not found or None in found else b"".join(found))
-        return out
-
-    def groups(self, texts: list[str | None]) -> list[pa.Array]:
-        """Columns n_a, n_b, n_groups, n_links, groups and links of whole texts."""
-        made = [t or b"" for t in self.tokens(texts)]
-        flat = np.frombuffer(b"".join(made), "<u4").astype(np.int64)
-        edges = _edges(len(t) // 4 for t in made)
+        return np.split(out, (a_edges + b_edges)[1:-1])
+
+    def stretches(self, parts: list[str]) -> list[np.ndarray]:
+        """The same of any stretches."""
+        visible = [p for p in parts if not p[-1].isspace()]
+        found = {}
+        for some in [visible[at : at + 2000] for at in range(0, len(visible), 2000)] + [[p] for p in parts if p[-1].isspace()]:
+            found.update(zip(some, self._stretches(some)))
+        return [found[p] for p in parts]
+
+    def columns(self, made: list[np.ndarray]) -> list[pa.Array]:
+        """n_a, n_b, n_groups, n_links, groups and links of texts, from their tokens in the order of their groups."""
+        flat = np.concatenate([np.zeros(0, np.int64), *made]).astype(np.int64)
+        edges = _edges(map(len, made))
         kind, ids = flat & 3, flat >> 2
         row = np.repeat(np.arange(len(made)), np.diff(edges))
         is_a, last = kind < B_INNER, kind == B_LAST
@@ -189,6 +172,11 @@ class Aligner:
         return pa.ListArray.from_arrays(pa.array(_edges(np.bincount(keys >> 40, minlength=rows)), pa.int32()), links)
 
 
+def stretched(text: str | None) -> list[str]:
+    """The stretches of a text, each without the space that it begins with."""
+    return _CUT.split(text) if text else []
+
+
 _made: dict[tuple[str, str], Aligner] = {}
 
 
@@ -198,7 +186,7 @@ def aligner(a: str, b: str) -> Aligner:
     return _made[a, b]
 
 
-def align(docs: DataFrame, a: str = "byte_bpe_50k", b: str = "piece_bpe_32k", id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def align(docs: DataFrame, a: str = "byte_bpe_50k", b: str = "piece_bpe_32k", id_column: str = "doc_id", text: str = "text", shares: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Groups and links of every text, of a space and the text for A, of the text for B, which adds the space.
 
     Columns: doc_id, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2,b3``:
@@ -208,20 +196,13 @@ def align(docs: DataFrame, a: str = "byte_bpe_50k", b: str = "piece_bpe_32k", id
     zeros, empty groups, no links. Rows stay one by one, repeated ones and null
     ids too. No documents give no rows; other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
-    src = docs.select(docs[id_column].alias("doc_id"), docs[text].alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int,n:long>>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = aligner(a, b)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 50):
-                part = batch.slice(at, 50)
-                cols = [part.column(0), *made.groups(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
-
-    return src.mapInArrow(run, schema)
+    def finish(found: list[np.ndarray]) -> list[pa.Array]:
+        # a few documents at a time: groups and links are many times a token
+        parts = [aligner(a, b).columns(found[at : at + 50]) for at in range(0, len(found), 50)]
+        return [pa.concat_arrays([p[k] for p in parts]) for k in range(6)]
+
+    columns = "n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int,n:long>>"
+    return by_distinct_parts(docs, id_column, text, stretched, lambda parts: aligner(a, b).stretches(parts), finish, columns, shares, block_chars)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
