@@ -23,11 +23,13 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwellgrid.llm.markup import next_tag, raw_end
 from dwellgrid.llm.store import stored
 from dwellgrid.llm.text import bounded_batches, seeded
 from dwellgrid.llm.urls import host_of
@@ -56,9 +58,6 @@ NAMES = set(
 )
 # First parts of a name that tells what stands beside or is missing.
 BESIDE = {"with", "has", "no", "without"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-
 
 def _hash(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -71,18 +70,14 @@ class Element:
         self.tag, self.sig, self.parent, self.depth, self.apart, self.main, self.words, self.order = tag, sig, parent, depth, apart, main, 0, order
 
 
-def _named(attrs: str) -> tuple[str, int, bool]:
+def _named(attributes: dict[str, str]) -> tuple[str, int, bool]:
     """(class, how surely its names tell that it isn't main text: 0 to 2, do they tell that it is)."""
-    if not attrs:
-        return "", 0, False
     own, apart, main = "", 0, False
-    for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        name = name.lower()
-        if name == "class":
-            own = value.split()[0] if value.split() else ""
-        parts = value.split()
-        main |= name == "role" and value == "main" or name == "itemprop" and value == "articlebody"
+    for name in ("class", "id", "role", "itemprop"):
+        parts = attributes.get(name, "").lower().split()
+        if name == "class" and parts:
+            own = parts[0]
+        main |= (name, parts) in (("role", ["main"]), ("itemprop", ["articlebody"]))
         for p in parts:
             bits = re.split(r"[-_]+", p)
             if bits[0] in BESIDE:
@@ -96,6 +91,7 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """(elements, blocks) of a page in order; a block is (element it stands in, text with single spaces)."""
     root = Element("", seeded_sig, 0, 0, False, False, 0)
     stack, elements, blocks, said = [root], [], [], []
+    opened: Counter[str] = Counter()  # open elements by tag
 
     def flush():
         if said:
@@ -110,33 +106,33 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     def close(n: int):
         while len(stack) > n:
             gone = stack.pop()
+            opened[gone.tag] -= 1
             stack[-1].words += gone.words
 
     at, size = 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
+        m = next_tag(page, at)
         if m is None:
             said.append(page[at:])
             break
-        if m.start() > at:
-            said.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if m.start > at:
+            said.append(page[at : m.start])
+        at, tag = m.end, m.name
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if m.closing:
             if tag in BLOCK or tag in NOT_TEXT:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close(i)
-                        break
+                if opened[tag]:
+                    i = len(stack) - 1
+                    while stack[i].tag != tag:
+                        i -= 1
+                    close(i)
             elif tag == "br":
                 said.append(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = raw_end(page, tag, at)
             continue
         if tag == "br":
             said.append(" ")
@@ -151,7 +147,7 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         for closed in (CLOSES.get(tag) or ()):
             if stack[-1].tag in CLOSES[tag]:
                 close(len(stack) - 1)
-        own, apart, main = _named(m[3])
+        own, apart, main = _named(m.attributes)
         up = stack[-1]
         main = main or tag in ("article", "main")
         by_tag = tag in NOT_TEXT
@@ -162,11 +158,13 @@ def read(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             level = 2
         else:
             level = 0 if main else int(up.apart or apart)
-        el = Element(tag, _hash(up.sig, tag, own), up.sig, up.depth + 1, level, main, len(elements))
+        # what a token is taken for is a part of it, so that all its pages agree
+        el = Element(tag, _hash(up.sig, tag, own, level, main), up.sig, up.depth + 1, level, main, len(elements))
         elements.append(el)
-        if m[3].rstrip().endswith("/") and tag in ("svg", "iframe", "object"):
+        if m.empty and tag in ("svg", "iframe", "object"):
             continue
         stack.append(el)
+        opened[tag] += 1
     flush()
     close(1)
     return elements, blocks

@@ -259,6 +259,36 @@ def test_html_survives_odd_markup():
         assert isinstance(html.main_text(page, None, set()), str) and len(blocks) <= 2
 
 
+def test_broken_quotes_lose_no_text(spark):
+    rows = [
+        "<body><article><p title=it's>First words</p><p>Second don't stop</p></article></body>",
+        '<p class="x"">Hello world one</p><p>two',
+        "<p a = 'x>y' b=\"'\" c=d>one</p ><p/>two<br/>three</p x='>'>four",
+        "<p =\"x\">one<p a=>two</p><p a='>three",
+        "<!-->one--><p>two<!x>three<!-- a --!>four",
+    ]
+    pages = spark.createDataFrame([(i, None, r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    assert [got[i] for i in range(5)] == ["First words\n\nSecond don't stop", "Hello world one\n\ntwo", "one\n\ntwo three\n\nfour", "one\n\ntwo", "one-->\n\ntwothreefour"]
+
+
+def test_pages_cost_their_length():
+    import time
+
+    for piece in ("<a ", "<", "<!a ", "<p a='", '<p a="b"', "<script ", "</script ", "<!--", "<p>", "</div>", "<div>", "=\"'", "<p a= ", "& "):
+        for start in ("", "<script>", "<div>"):
+            page = start + piece * ((1 << 20) // len(piece))
+            before = time.process_time()
+            elements, blocks = read(page)
+            assert time.process_time() - before < 12, piece
+            assert len(elements) < len(page)
+
+
+def test_what_a_token_is_taken_for_is_a_part_of_it():
+    one, two = (read(f"<body><div id={i}><p>x</p></div></body>")[0] for i in ("content", "comments"))
+    assert one[1].sig != two[1].sig and one[1].apart == 0 and two[1].apart == 2 and one[0].sig == two[0].sig
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB9 \n\t\x0b,.é日-", max_size=30)), max_size=12), st.integers(1, 40))
 def test_words_match_the_patterns(texts, limit):
