@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled cutoffs.
 
 A rule rejects a document whose measure lies above a cutoff. Labelled documents
-are the holdout: for each stratum, rule and candidate cutoff, the number of good
-documents that would be rejected is binomial, and a cutoff is valid only if the
-exact (Clopper-Pearson) upper bound of its false-rejection rate is within the
-stratum's allowance. The error probability is shared out over all strata,
-rules and cutoffs tried (Bonferroni), so all bounds hold together; the
-allowance is shared out over the rules, so the rules together keep it. Among
-valid cutoffs the one that rejects most bad documents net of good ones is used;
-where none is valid, or none pays, the rule stays silent in that stratum.
+are the holdout, in two halves: one lays out a path of joint sets of cutoffs for
+all rules of a stratum, each rejecting more than the one before, the other
+tests them in this order. The number of good documents that a set would reject
+is binomial, and it is valid only if the exact (Clopper-Pearson) upper bound of
+its false-rejection rate is within the stratum's allowance and so are all sets
+before it. The error probability is shared out over the strata (Bonferroni), so
+all bounds hold together. Among valid sets the one that rejects most bad
+documents net of good ones is used; where none is valid, or none pays, the
+rules stay silent in that stratum.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from dwellgrid.llm.text import VISIBLE, U, bounded_batches, chunks, hashed, only
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["symbol_share", "dup_line_share", "repeat_share", "mean_word", "short_word"]
 STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-#: Candidate cutoffs lie on this many steps of each measure.
-STEPS = 64
+#: Cutoffs lie on this many steps of each measure, and a path has this many sets besides the first.
+STEPS, PATH = 1024, 32
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
@@ -126,44 +127,80 @@ def within_risk(k: int, n: int, allowed: float, error: float) -> bool:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, rules: list[str], allowed: float, error: float, price: float) -> DataFrame:
-    """(stratum, rule, cutoff) for every rule that is valid and pays in its stratum.
+    """(stratum, rule, cutoff, good_rejected, bad_rejected) of the strata where rejecting is safe and pays.
 
     ``measured``: doc_id, stratum and the measures, one row per document;
-    ``labels``: doc_id, quality. Only counts per stratum, rule and step leave
-    the tasks: a table of fixed width per stratum.
+    ``labels``: doc_id, quality. One half of the labels finds each rule's best
+    cutoff, by documents won and lost within ``allowed``; a rule that wins none
+    stays out. All rules of a stratum go along one path to these: at step i a
+    rule rejects at most i / PATH of the good ones that its best cutoff does,
+    so every step rejects all that the one before does. The other half tests
+    the steps in this order, and the first whose bound isn't low enough ends
+    the path: fixed-sequence testing, which needs no share of the
+    error for a step or a rule, and gives all rules together the whole
+    ``allowed``. ``error`` is shared over strata. Of the steps that hold the
+    best by documents won and lost is taken. Half of a stratum's good labels
+    must number log(error / strata) / log(1 - allowed) at least (217 for four
+    strata as they are by default). Only counts per stratum, rule and step
+    leave the tasks.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.lit(STEPS - 1), F.floor(F.col(r) * STEPS)).cast("int").alias("step")) for r in rules]))
+    bins = F.array(*[F.least(F.lit(STEPS - 1), F.floor(F.col(r) * STEPS)).cast("int") for r in rules])
+    half = (F.crc32(F.col("doc_id").cast("string")) % 2).cast("int")
+    seen = stored(measured.join(known, "doc_id").select(F.col(stratum).alias("stratum"), (F.col("quality") == 1).alias("good"), half.alias("half"), bins.alias("bins")), "rule-labelled")
+    reached = (
+        seen.where("half = 0").select("stratum", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin")
+        .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    )
+
+    def steps(pdf):
+        pdf = pdf.sort_values("bin", ascending=False)
+        good, bad, bins = pdf.good.cumsum().to_numpy(), pdf.bad.cumsum().to_numpy(), pdf.bin.to_numpy()
+        gain = np.where(good <= allowed * good[-1], bad - price * good, -np.inf)
+        best = int(gain.argmax())  # of equals the highest cutoff
+        edges = [STEPS] * (PATH + 1)
+        if gain[best] > 0:
+            within = [np.flatnonzero(good[: best + 1] <= good[best] * i / PATH) for i in range(PATH + 1)]
+            edges = [int(bins[w[-1]]) if len(w) else int(bins[0]) + 1 for w in within]
+        return pdf.head(1)[["stratum", "rule"]].assign(edges=[edges])
+
+    paths = reached.groupBy("stratum", "rule").applyInPandas(steps, "stratum string, rule int, edges array<int>")
+    paths = stored(paths.groupBy("stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "edges"))), lambda x: x["edges"]).alias("paths")), "rule-paths")
+    # the first step at which any rule rejects a document: as many as have their cutoff above it
+    first = F.array_min(F.zip_with("bins", "paths", lambda b, edges: F.size(F.filter(edges, lambda e: e > b))))
     counts = (
-        measured.join(known, "doc_id").select(F.col(stratum).alias("stratum"), "quality", pairs.alias("x"))
-        .groupBy("stratum", "x.rule", "x.step").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
+        seen.join(paths, "stratum").select("stratum", "half", "good", first.alias("step")).groupBy("stratum", "half", "step")
+        .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     )
     counts = stored(counts, "rule-counts")
-    tries = max(1, counts.select("stratum").distinct().count()) * len(rules) * STEPS
-    per_rule, per_try = allowed / len(rules), error / tries
+    share = error / max(1, counts.select("stratum").distinct().count())
 
     def choose(pdf):
-        pdf = pdf.sort_values("step", ascending=False)
-        good, n, best = pdf.good.cumsum().to_numpy(), int(pdf.good.sum()), None
-        bad = pdf.bad.cumsum().to_numpy()
-        for step, g, b in zip(pdf.step, good, bad):
-            if not within_risk(int(g), n, per_rule, per_try):
+        held, best = pdf[pdf.half == 1], None
+        n = int(held.good.sum())
+        for i in range(PATH + 1):
+            if not within_risk(int(held.good[held.step <= i].sum()), n, allowed, share):
                 break
+            out = pdf[pdf.step <= i]
+            g, b = int(out.good.sum()), int(out.bad.sum())
             gain = b - price * g
-            if step > 0 and gain > 0 and (best is None or gain > best[0]):
-                best = (gain, step / STEPS, int(g), int(b))
-        out = pdf.head(1 if best else 0)[["stratum", "rule"]]
-        return out.assign(cutoff=best[1] if best else 0.0, good_rejected=best[2] if best else 0, bad_rejected=best[3] if best else 0)
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, i, g, b)
+        out = pdf.head(1 if best else 0)[["stratum"]]
+        return out.assign(step=best[1] if best else 0, good_rejected=best[2] if best else 0, bad_rejected=best[3] if best else 0)
 
-    return counts.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double, good_rejected long, bad_rejected long")
+    chosen = counts.groupBy("stratum").applyInPandas(choose, "stratum string, step int, good_rejected long, bad_rejected long")
+    out = chosen.join(paths, "stratum").select("stratum", "step", "good_rejected", "bad_rejected", F.posexplode("paths").alias("at", "edges"))
+    out = out.withColumn("cutoff", F.get("edges", F.col("step")) / STEPS).where("cutoff < 1")
+    return out.select("stratum", F.get(F.array(*map(F.lit, rules)), F.col("at")).alias("rule"), "cutoff", "good_rejected", "bad_rejected")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", allowed: float = 0.02, error: float = 0.05, price: float = 5.0) -> DataFrame:
     """Every document with its counts, the rules it breaks and the verdict.
 
-    allowed: rate of good documents that may be rejected in a stratum, all
-    rules together; error: probability that any such bound is wrong; price: bad
-    documents that one lost good one must buy. A null stratum is one of its own.
+    allowed: rate of good documents that pass the base and may be rejected in a
+    stratum, all rules together; error: probability that any such bound is
+    wrong; price: bad documents that one lost good one must buy. A null stratum is one of its own.
     base_failed: under 50 words, or more than half of the words in repeated
     3-word windows. kept is false if the base fails or a rule rejects.
     Repeated rows are judged each; repeated labels of a document count as bad
@@ -172,13 +209,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", all
     src = docs.select("doc_id", "text", F.coalesce(docs[stratum].cast("string"), F.lit("∅")).alias("stratum"))
     stats = stored(text_stats(src, keep=("doc_id", "stratum")), "rule-stats")
     measured = measures(stats)
-    chosen = cutoffs(measured, labels, "stratum", MEASURES, allowed, error, price)
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    chosen = cutoffs(measured.where(~base), labels, "stratum", MEASURES, allowed, error, price)
     wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in MEASURES])
     wide = stored(wide, "rule-cutoffs")
     strata = wide.limit(100_001).count()
     out = measured.join(F.broadcast(wide) if strata <= 100_000 else wide, "stratum", "left")
     broken = F.filter(F.array(*[F.when(F.col(r) >= F.col(f"cut_{r}"), F.lit(r)) for r in MEASURES]), lambda x: x.isNotNull())
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         broken.alias("broken_rules"), (~base & (F.size(broken) == 0)).alias("kept"), F.col("stratum"),

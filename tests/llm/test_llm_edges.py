@@ -161,6 +161,50 @@ def test_rules_choose_cutoffs(spark):
     assert len(cut) == 1 and 0.1 < cut[0]["cutoff"] <= 0.9 and cut[0]["good_rejected"] == 0 and cut[0]["bad_rejected"] == 1000
 
 
+def plain_cutoffs(rows, labels, strata, allowed, error, price):
+    """stratum -> {rule: cutoff}; rows: (doc_id, stratum, measures)."""
+    import zlib
+
+    out = {}
+    for stratum in strata:
+        mine = [(zlib.crc32(str(i).encode()) % 2, labels[i], [min(rules.STEPS - 1, int(x * rules.STEPS)) for x in m]) for i, s, m in rows if s == stratum and i in labels]
+        teach = [(good, b) for half, good, b in mine if half == 0]
+        held, best, tops = [b for half, good, b in mine if good and half == 1], None, []
+        for r in range(len(mine[0][2])):
+            lost = lambda e: sum(g and b[r] >= e for g, b in teach)  # noqa: B023, E731
+            won = lambda e: sum(not g and b[r] >= e for g, b in teach)  # noqa: B023, E731
+            seen = sorted({b[r] for _, b in teach}, reverse=True)
+            gain, top = max((won(e) - price * lost(e), e) for e in seen if lost(e) <= allowed * sum(g for g, _ in teach)) if any(lost(e) <= allowed * sum(g for g, _ in teach) for e in seen) else (0, 0)
+            tops.append([min((e for e in seen if e >= top and lost(e) <= lost(top) * i / rules.PATH), default=seen[0] + 1) for i in range(rules.PATH + 1)] if gain > 0 else [rules.STEPS] * (rules.PATH + 1))
+        for i in range(rules.PATH + 1):
+            edges = [t[i] for t in tops]
+            off = lambda b: any(x >= e for x, e in zip(b, edges))  # noqa: B023, E731
+            if not rules.within_risk(sum(map(off, held)), len(held), allowed, error / len(strata)):
+                break
+            gain = sum(off(b) for _, good, b in mine if not good) - price * sum(off(b) for _, good, b in mine if good)
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, edges)
+        out[stratum] = {r: e / rules.STEPS for r, e in enumerate(best[1]) if e < rules.STEPS} if best else {}
+    return out
+
+
+def test_rules_against_a_plain_path(spark):
+    rng = random.Random(8)
+    rows, labels = [], {}
+    for i in range(6000):
+        stratum, good = ("en", "de", "xx")[0 if i < 3000 else 1 if i < 5900 else 2], rng.random() < 0.8
+        x = [rng.random() ** (3 if good else 0.7) * 0.9, rng.random() * 0.5 + (0.4 if not good and rng.random() < 0.3 else 0)]
+        rows.append((i, stratum, x))
+        labels[i] = good
+    measured = spark.createDataFrame([(i, s, *x) for i, s, x in rows], "doc_id long, stratum string, m0 double, m1 double").repartition(3)
+    labelled = spark.createDataFrame([(i, int(g)) for i, g in labels.items()], "doc_id long, quality int")
+    got = {}
+    for r in rules.cutoffs(measured, labelled, "stratum", ["m0", "m1"], 0.02, 0.05, 1.0).collect():
+        got.setdefault(r["stratum"], {})[int(r["rule"][1])] = r["cutoff"]
+    want = plain_cutoffs(rows, labels, ["en", "de", "xx"], 0.02, 0.05, 1.0)
+    assert got == {s: c for s, c in want.items() if c} and set(got) == {"en", "de"}
+
+
 def test_lines(spark, docs, none):
     line, other = "this line is on very many sites", "a line of its own in here"
     rows = [(i, f"{line}\n{other} {i}\n  {line} ", f"site{i % 10 if i else None}") for i in range(30)] + [(31, line, None), (32, "short\nshort", "site1"), (32, "short\nshort", "site1")]
