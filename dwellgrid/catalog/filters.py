@@ -195,12 +195,13 @@ def stream_union(spark, folder):
         (F.size(F.array_except(want, have)) == 0).alias("covered"))
 
 
-@query("coverage_equality", """WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus IN ('F','P') AND o_totalprice > 300000)
+@query("coverage_equality", """WITH a AS (SELECT DISTINCT o_orderdate AS k FROM orders), b AS (SELECT DISTINCT l_shipdate AS k FROM lineitem)
 SELECT coalesce(a.k,b.k) AS k, CASE WHEN a.k IS NULL THEN 'not labelled' ELSE 'not covered' END AS problem FROM a FULL JOIN b ON a.k=b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def coverage_equality(spark, folder):
-    o = table(spark, folder, "orders").where("o_totalprice > 300000").withColumn("k", F.col("o_custkey"))
-    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
-    return op.coverage_gaps(c, o.where("o_orderstatus='F'"), o.where("o_orderstatus='P'"), "k")
+    """Days with orders against days with lines shipped, whatever their flag: whole tables on both sides."""
+    days = table(spark, folder, "orders").select(F.col("o_orderdate").alias("k")).distinct()
+    shipped = table(spark, folder, "lineitem").select(F.col("l_shipdate").alias("k"), "l_returnflag")
+    return op.coverage_gaps(days, shipped.where("l_returnflag='N'"), shipped.where("l_returnflag<>'N'"), "k")
 
 
 @query("first_seen_order", f"""WITH {SAMPLES} SELECT user_id, min(t) AS t FROM ev GROUP BY user_id""")

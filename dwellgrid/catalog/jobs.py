@@ -297,12 +297,12 @@ def extract_scan(spark, folder):
     return rounded(solve.principal_plane_angle(s, ["row_no"], ["x", "y", "z"], "motor").select("row_no", "auto_a", "auto_b", "angle"), 5)
 
 
-@query("labelled_recall", f"""WITH {CELLS}, r AS (SELECT row_no, avg((x>0.15)::INT) AS f FROM cells GROUP BY 1), w AS (SELECT o_orderkey%1000*1.0 AS a, o_orderkey%1000+4.0 AS b, CASE WHEN o_orderkey%2=0 THEN 'labelled' ELSE 'control' END AS label FROM orders)
+@query("labelled_recall", f"""WITH {CELLS}, r AS (SELECT row_no, avg((x>0.15)::INT) AS f FROM cells GROUP BY 1), n AS (SELECT count(*) AS n FROM spectra), w AS (SELECT o_orderkey%n*1.0 AS a, o_orderkey%n+4.0 AS b, CASE WHEN o_orderkey%2=0 THEN 'labelled' ELSE 'control' END AS label FROM orders, n)
 SELECT label, count(*) AS n, round(median(f),9) AS median_flagged FROM (SELECT DISTINCT row_no, label, f FROM r JOIN w ON row_no BETWEEN a AND b) GROUP BY 1""")
 def labelled_recall(spark, folder):
     c = cells(spark, folder).withColumn("t", F.col("row_no").cast("double"))
-    k = F.col("o_orderkey")
-    w = table(spark, folder, "orders").select((k % 1000 * 1.0).alias("a"), (k % 1000 + 4.0).alias("b"), F.when(k % 2 == 0, "labelled").otherwise("control").alias("label"))
+    k, n = F.col("o_orderkey"), F.lit(spectra(spark, folder).count())
+    w = table(spark, folder, "orders").select((k % n * 1.0).alias("a"), (k % n + 4.0).alias("b"), F.when(k % 2 == 0, "labelled").otherwise("control").alias("label"))
     return rounded(evaluation.labelled_recall(c, "row_no", "t", F.col("x") > 0.15, w, "a", "b", "label"))
 
 
@@ -316,7 +316,21 @@ def injection_curve(spark, folder):
     return rounded(evaluation.injection_curve(cells(spark, folder), ["chan"], ["row_no"], "x", chosen, [2.0, 4.0, 6.0]))
 
 
-@query("smooth_injection", f"""WITH {CELLS} SELECT row_no, chan, round(p*(1-0.1*exp(-pow((chan-30)/8.0,2)/2)),6) AS p FROM cells""")
+_DIP = "CASE WHEN row_no%5=2 AND abs(chan-30)<=32 THEN exp(-pow((chan-30)/8.0,2)/2) ELSE 0 END"
+
+
+def _dip_sql() -> str:
+    """The whole table altered and detected again, at every depth."""
+    w = _roll("depth, chan", 4)
+    return f"""WITH {CELLS}, d AS (SELECT unnest([0.0,0.05,0.3]) AS depth), c AS (SELECT depth, row_no, chan, p, p*(1-depth*({_DIP})) AS q, ({_DIP})<>0 AS k FROM cells, d),
+{padded('', 'c', 'depth, chan', 'row_no', 'row_no, p, q, k', 4, 'a')}, m AS (SELECT depth, row_no, chan, p, q, rn, cn, median(p) OVER {w} AS mp, median(q) OVER {w} AS mq, bool_or(k) OVER {w} AS near FROM a),
+i AS (SELECT * FROM m WHERE rn BETWEEN 1 AND cn), o AS (SELECT depth, chan, median(p-mp) AS o FROM i GROUP BY 1,2), s AS (SELECT depth, chan, 1.4826*median(abs(p-mp-o)) AS s FROM i JOIN o USING (depth, chan) GROUP BY 1,2),
+f AS (SELECT depth, near, s>=1e-9 AND abs(p-mp)>2*s AS b, s>=1e-9 AND abs(q-mq)>2*s AS a FROM i JOIN s USING (depth, chan))
+SELECT depth::DOUBLE AS depth, count_if(near) AS n, count_if(b AND near) AS before, count_if(a AND near) AS after, round(count_if(a AND NOT b)/count_if(near),9) AS newly_flagged FROM f GROUP BY 1"""
+
+
+@query("smooth_injection", _dip_sql())
 def smooth_injection(spark, folder):
-    p = evaluation.smooth_injection(F.col("p"), F.col("chan"), 30.0, 8.0, 0.1)
-    return cells(spark, folder).select("row_no", "chan", r6(p).alias("p"))
+    """A smooth dip in every fifth row: what the transient track newly flags, against a run over the whole altered table."""
+    shape = F.when(F.col("row_no") % 5 == 2, evaluation.smooth_dip(F.col("chan"), 30.0, 8.0)).otherwise(0.0)
+    return rounded(evaluation.smooth_injection(cells(spark, folder), ["chan"], ["row_no"], "p", shape, [0.0, 0.05, 0.3], clip=2.0))

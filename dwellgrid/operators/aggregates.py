@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import bits
+from dwellgrid.operators.folds import Fold, folded
 from dwellgrid.operators.ordered import GROUP_LIMIT, attach, numbered
 from dwellgrid.operators.quantiles import quantiles, with_mad
 
@@ -91,9 +92,11 @@ def dwell_means(cells: DataFrame, keys: list[str], chan: str, value: str, weight
 STATS = {"mean": F.avg, "min": F.min, "max": F.max}
 
 
-def block_stats(cells: DataFrame, keys: list[str], chan: str, value: str, stat: str = "median",
+def block_stats(cells: DataFrame, keys: list[str], chan: str, value: str, stat: str | Fold = "median",
                 limit: int = GROUP_LIMIT) -> DataFrame:
-    """One value per block and channel by a named reduction."""
+    """One value per block and channel by a named reduction or a fold of the user's own."""
+    if isinstance(stat, Fold):
+        return folded(cells, [*keys, chan], F.col(value), stat)
     if stat == "median":
         return quantiles(cells, [*keys, chan], F.col(value), {"value": 0.5}, limit=limit).drop("n")
     return cells.groupBy(*keys, chan).agg(STATS[stat](value).alias("value"))
