@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scan", "filters", "segments", "timejoins", "aggregates", "rolling", "scalars", "solves", "detect", "jobs", "hooks", "streaming"]
+AREAS = ["scan", "filters", "segments", "timejoins", "aggregates", "rolling", "scalars", "solves", "detect", "jobs", "hooks", "cross", "streaming"]
 
 
 def load() -> None:

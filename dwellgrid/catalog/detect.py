@@ -60,20 +60,22 @@ def _classes():
     return {name: (t, fits.class_basis(t, list(range(64)), 2, line)) for name, t in trusted.items()}
 
 
-def _class_sql(name: str, parity: int, most: float) -> str:
-    trusted, table = _classes()[name]
+def class_sql(name: str, parity: int, most: float, made=None, tag: str = "", value: str = "p") -> str:
+    """CTEs of one class filled from w (row_no, chan, the value, f, bad): o<tag><name>."""
+    trusted, table = (made or _classes())[name]
+    column, name = name, tag + name
     values = ", ".join(f"({c}, {v[0]!r}::DOUBLE, {v[1]!r}::DOUBLE)" for c, v in table.items())
     use = f"chan IN ({', '.join(map(str, trusted))}) AND NOT f"
-    return f"""v{name} AS (SELECT * FROM (VALUES {values}) t(chan, b0, b1)), s{name} AS (SELECT c.*, b0, b1 FROM w c JOIN v{name} USING (chan)), {gauss('g' + name, 's' + name, 'row_no', 2, 'p', use)},
+    return f"""v{name} AS (SELECT * FROM (VALUES {values}) t(chan, b0, b1)), s{name} AS (SELECT c.*, b0, b1 FROM w c JOIN v{name} USING (chan)), {gauss('g' + name, 's' + name, 'row_no', 2, value, use)},
 e{name} AS (SELECT g.row_no, c0, c1, n, sqrt((t+sqrt(t*t-4*d))/(t-sqrt(t*t-4*d))) AS cond FROM g{name} g JOIN (SELECT row_no, a0_0+a1_1 AS t, a0_0*a1_1-a0_1*a0_1 AS d FROM g{name}0) USING (row_no) JOIN (SELECT row_no, count_if({use}) AS n FROM s{name} GROUP BY 1) USING (row_no)),
-o{name} AS (SELECT row_no, chan, CASE WHEN bad THEN NULL WHEN chan%2={parity} THEN CASE WHEN NOT f THEN p END WHEN n>=4 AND cond<={most} THEN c0*b0+c1*b1 END AS {name}, CASE WHEN NOT bad AND n>=4 THEN cond END AS {name}_cond FROM s{name} JOIN e{name} USING (row_no))"""
+o{name} AS (SELECT row_no, chan, CASE WHEN bad THEN NULL WHEN chan%2={parity} THEN CASE WHEN NOT f THEN {value} END WHEN n>=4 AND cond<={most} THEN c0*b0+c1*b1 END AS {column}, CASE WHEN NOT bad AND n>=4 THEN cond END AS {column}_cond FROM s{name} JOIN e{name} USING (row_no))"""
 
 
 _MOST = 1.9
 
 
 @query("interleaved_fill", f"""WITH {CELLS}, w AS MATERIALIZED (SELECT row_no, chan, p, f, avg(f::INT) OVER (PARTITION BY row_no)>0.35 AS bad FROM (SELECT *, x>0.1 OR (row_no%9=4 AND chan BETWEEN 12 AND 51 AND chan%4<>1) AS f FROM cells)),
-{_class_sql('even', 0, _MOST)}, {_class_sql('odd', 1, _MOST)}
+{class_sql('even', 0, _MOST)}, {class_sql('odd', 1, _MOST)}
 SELECT row_no, chan, bad, round(even,4) AS even, round(odd,4) AS odd, round(even_cond,5) AS even_cond, round(odd_cond,5) AS odd_cond FROM w JOIN oeven USING (row_no, chan) JOIN oodd USING (row_no, chan)""")
 def interleaved_fill(spark, folder):
     """Two classes on straight lines; ill-conditioned spectra keep their measured cells alone."""

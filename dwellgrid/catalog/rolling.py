@@ -86,16 +86,16 @@ def mean_flagger(spark, folder):
     return op.mean_flagger(cells(spark, folder).select("row_no", "chan", "p"), ["row_no"], "chan", "p", F.lit(30.0), 5.0).select("row_no", "chan", "flag")
 
 
-def _clip_round(before: str, out: str) -> str:
-    """CTEs of one pass: median and scatter of the cells not flagged before, then the cells far off."""
-    return (padded("", before, "chan", "row_no", "row_no, p, f, CASE WHEN NOT f THEN p END AS v", 4, f"{out}a") + f""",
-{out}b AS (SELECT chan, row_no, p, f, v, rn, cn, median(v) OVER {_roll('chan', 4)} AS m FROM {out}a), {out}c AS (SELECT chan, row_no, p, f, v, m FROM {out}b WHERE rn BETWEEN 1 AND cn),
-""" + padded("", f"{out}c", "chan", "row_no", "row_no, p, m, abs(v-m) AS a", 4, f"{out}d") + f""",
-{out}e AS (SELECT chan, row_no, p, m, rn, cn, median(a) OVER {_roll('chan', 4)} AS d FROM {out}d),
-{out} AS (SELECT chan, row_no, p, coalesce(chan%2=1 AND m IS NOT NULL AND (p<0 OR abs(p-m)>3*greatest(1.4826*coalesce(d,0),1e-30) AND abs(p-m)>0.2*abs(m)),false) AS f FROM {out}e WHERE rn BETWEEN 1 AND cn)""")
+def clip_round(before: str, out: str, may: str = "chan%2=1", carry: str = "") -> str:
+    """CTEs of one pass: median and scatter of the cells not flagged before, then the cells far off, of those that ``may`` be."""
+    return (padded("", before, "chan", "row_no", f"row_no, p, f{carry}, CASE WHEN NOT f THEN p END AS v", 4, f"{out}a") + f""",
+{out}b AS (SELECT chan, row_no, p, f{carry}, v, rn, cn, median(v) OVER {_roll('chan', 4)} AS m FROM {out}a), {out}c AS (SELECT chan, row_no, p, f{carry}, v, m FROM {out}b WHERE rn BETWEEN 1 AND cn),
+""" + padded("", f"{out}c", "chan", "row_no", f"row_no, p, m{carry}, abs(v-m) AS a", 4, f"{out}d") + f""",
+{out}e AS (SELECT chan, row_no, p, m{carry}, rn, cn, median(a) OVER {_roll('chan', 4)} AS d FROM {out}d),
+{out} AS (SELECT chan, row_no, p{carry}, coalesce({may} AND m IS NOT NULL AND (p<0 OR abs(p-m)>3*greatest(1.4826*coalesce(d,0),1e-30) AND abs(p-m)>0.2*abs(m)),false) AS f FROM {out}e WHERE rn BETWEEN 1 AND cn)""")
 
 
-@query("iterative_rolling_clip", f"""WITH {CELLS}, k0 AS (SELECT chan, row_no, p, false AS f FROM cells), {', '.join(_clip_round(f'k{i}', f'k{i + 1}') for i in range(5))} SELECT chan, row_no, f AS outlier FROM k5""")
+@query("iterative_rolling_clip", f"""WITH {CELLS}, k0 AS (SELECT chan, row_no, p, false AS f FROM cells), {', '.join(clip_round(f'k{i}', f'k{i + 1}') for i in range(5))} SELECT chan, row_no, f AS outlier FROM k5""")
 def iterative_rolling_clip(spark, folder):
     c = cells(spark, folder).withColumn("measured", F.col("chan") % 2 == 0)
     return op.iterative_clip(c, ["chan"], ["row_no"], "p", "measured", 9, 3.0, 0.2).select("chan", "row_no", "outlier")
