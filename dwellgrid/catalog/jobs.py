@@ -203,15 +203,16 @@ mm AS (SELECT file, arg_min(mode,num) AS mode FROM f JOIN md ON file BETWEEN a A
 camp AS (SELECT file, CASE WHEN NOT closed BETWEEN 1704200000 AND 1706400000 THEN 'time' WHEN phase<>'A' THEN 'phase' WHEN mode IS NULL THEN 'unmapped' WHEN mode NOT IN ('m0','m1') THEN 'mode' WHEN mask IS NOT NULL THEN 'mask: '||mask END AS reason FROM f LEFT JOIN mm USING (file) LEFT JOIN mh USING (file))"""
 
 
-def _campaign(spark, folder):
+def _campaign(spark, folder, masks=None, **asked):
     h = hourly(spark, folder)
     files = h.groupBy("file").agg(F.max("t").alias("closed"), F.min("phase").alias("phase"))
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     day = F.concat(F.lit("corr_202401"), two(1 + k % 28))
     modes = table(spark, folder, "supplier").select(k.alias("number"), F.concat(day, two(n % 10)).alias("file_first"), F.concat(day, two(10 + n % 14)).alias("file_last"), F.concat(F.lit("m"), (n % 3).cast("string")).alias("mode"))
-    masks = samples(spark, folder).where("power > 200").select(F.col("t").alias("start"), (F.col("t") + 3600).alias("stop"), F.col("event_id").alias("rank"), F.col("state").alias("mask"))
-    return campaign.campaign_select(files, "file", "closed", 1704200000.0, 1706400000.0, "phase", ["A"], modes, masks, {"mode": ["m0", "m1"]})
+    if masks is None:
+        masks = samples(spark, folder).where("power > 200").select(F.col("t").alias("start"), (F.col("t") + 3600).alias("stop"), F.col("event_id").alias("rank"), F.col("state").alias("mask"))
+    return campaign.campaign_select(files, "file", "closed", 1704200000.0, 1706400000.0, "phase", ["A"], modes, masks, {"mode": ["m0", "m1"]}, **asked)
 
 
 @query("campaign_select", f"WITH {_CAMP} SELECT file, reason FROM camp")
@@ -224,22 +225,38 @@ def campaign_warnings(spark, folder):
     return campaign.selection_warnings(_campaign(spark, folder))
 
 
-@query("campaign_masks", f"WITH {HOURLY}" + """, f AS (SELECT hfile AS file, max(t) AS closed FROM hourly GROUP BY 1),
-mk AS (SELECT t AS a, t+3600 AS b, event_id AS rank, state AS mask, user_id%3=0 AS must, CASE WHEN user_id%2=1 THEN input END AS inp FROM ev WHERE power>100),
-h AS (SELECT file, (NOT must)::INT AS late, rank::DOUBLE AS rank, mask FROM f JOIN mk ON closed BETWEEN a AND b WHERE must OR mask IN ('RFANT','VNAANT') AND coalesce(inp IN (0,1),true)
+_SCOPED = """mk2 AS (SELECT t AS a, t+3600 AS b, event_id AS rank, state AS mask, user_id%3=0 AS must, CASE WHEN user_id%2=1 THEN input END AS inp FROM ev WHERE power>100),
+h AS (SELECT file, (NOT must)::INT AS late, rank::DOUBLE AS rank, mask FROM f JOIN mk2 ON closed BETWEEN a AND b WHERE must OR mask IN ('RFANT','VNAANT') AND coalesce(inp IN (0,1),true)
  UNION ALL SELECT DISTINCT hfile, 1, 500.5, 'overflow' FROM hourly WHERE power>120 AND input IN (0,1)),
-g AS (SELECT file, arg_min(mask,(late,rank)) AS mask FROM h GROUP BY 1) SELECT file, mask FROM f LEFT JOIN g USING (file)""")
-def campaign_masks(spark, folder):
-    """Mandatory masks first, then the wanted ones that concern inputs 0 and 1, overflow among them."""
+g AS (SELECT file, arg_min(mask,(late,rank)) AS mask FROM h GROUP BY 1)"""
+
+
+def _scoped(spark, folder):
+    """Masks of which some are mandatory and some bound to an input, and files with wrapped samples."""
     h, s = hourly(spark, folder), samples(spark, folder)
-    files = h.groupBy("file").agg(F.max("t").alias("closed"))
     masks = s.where("power > 100").select(
         F.col("t").alias("start"), (F.col("t") + 3600).alias("stop"), F.col("event_id").alias("rank"), F.col("state").alias("mask"),
         (F.col("user_id") % 3 == 0).alias("mandatory"), F.when(F.col("user_id") % 2 == 1, F.array("input")).alias("inputs"))
-    wrapped = h.where("power > 120").select("file", "input")
+    return masks, h.where("power > 120").select("file", "input")
+
+
+@query("campaign_masks", f"WITH {HOURLY}, f AS (SELECT hfile AS file, max(t) AS closed FROM hourly GROUP BY 1), {_SCOPED} SELECT file, mask FROM f LEFT JOIN g USING (file)")
+def campaign_masks(spark, folder):
+    """Mandatory masks first, then the wanted ones that concern inputs 0 and 1, overflow among them."""
+    masks, wrapped = _scoped(spark, folder)
+    files = hourly(spark, folder).groupBy("file").agg(F.max("t").alias("closed"))
     return campaign.first_mask(files, "file", "closed", masks, ["RFANT", "VNAANT", "overflow"], [0, 1], wrapped, ("overflow", 500.5)).select("file", "mask")
 
 
+@query("campaign_select_masks", f"WITH {_CAMP}, {_SCOPED}" + """ SELECT file, CASE WHEN NOT closed BETWEEN 1704200000 AND 1706400000 THEN 'time' WHEN phase<>'A' THEN 'phase' WHEN mode IS NULL THEN 'unmapped' WHEN mode NOT IN ('m0','m1') THEN 'mode'
+WHEN mask IS NOT NULL THEN 'mask: '||mask END AS reason FROM f LEFT JOIN mm USING (file) LEFT JOIN g USING (file)""")
+def campaign_select_masks(spark, folder):
+    """A campaign's files under mandatory, wanted, input-bound and overflow masks in one call."""
+    masks, wrapped = _scoped(spark, folder)
+    out = _campaign(spark, folder, masks, mask_names=["RFANT", "VNAANT", "overflow"], inputs=[0, 1], overflow=wrapped, overflow_mask=("overflow", 500.5))
+    return out.select("file", "reason")
+
+
 @campaign.register("flags")
 def flags_product(base, version, source):
     return rj.join_exact(base, source.where(F.col("version") == version).select("file", "row_no", "mask"), ["file", "row_no"], "flags_")

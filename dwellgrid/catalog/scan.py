@@ -151,6 +151,18 @@ def load_spectra(spark, folder):
     return scan.load_spectra(cube, chosen, ["l_orderkey"], "l_returnflag", "v", keys=["A", "N", "R", "A"])
 
 
+@query("load_spectra_default_keys", """SELECT label, row_no, CAST(i AS INT) AS i, 4 AS n_columns, spec[41+i] AS k5, spec[49+i] AS k6 FROM (SELECT vec_id AS row_no, label, CAST(embedding AS DOUBLE[]) AS spec FROM embeddings), (SELECT unnest(range(8)) AS i)""")
+def load_spectra_default_keys(spark, folder):
+    """Eight bands as keys, of which two are in every file."""
+    s = spectra(spark, folder)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(F.concat(F.lit("k"), j.cast("string")).alias("key"), F.slice("spec", 8 * j + 1, F.lit(8)).alias("v")))
+    there = F.filter(bands, lambda b: (b["key"] != F.concat(F.lit("k"), (F.col("label") % 5).cast("string"))) & ((b["key"] != "k7") | (F.col("label") > 0)))
+    cube = s.select("label", "row_no", F.explode(there).alias("b")).select("label", "row_no", "b.*")
+    out = scan.load_spectra(cube, s.select("label", "row_no"), ["label", "row_no"], "key", "v")
+    each = F.posexplode(F.arrays_zip("k5", "k6")).alias("i", "b")
+    return out.select("label", "row_no", F.lit(len(out.columns)).alias("n_columns"), each).select("label", "row_no", "i", "n_columns", "b.*")
+
+
 @query("null_block", """SELECT event_id, vec_id IS NOT NULL AS present, CAST(64 AS INT) AS n_chan,
   CASE WHEN vec_id IS NULL THEN 64 ELSE 0 END::INT AS n_null FROM events LEFT JOIN embeddings ON event_id=vec_id""")
 def null_block(spark, folder):

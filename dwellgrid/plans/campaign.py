@@ -61,13 +61,20 @@ def skipped_files(base: DataFrame, products: dict[str, DataFrame], file: str, id
 
 
 def campaign_select(files: DataFrame, file: str, closed: str, start: float, stop: float, phase: str, phases: list[str],
-                    modes: DataFrame, masks: DataFrame, wanted: dict[str, list], limit: int = GROUP_LIMIT) -> DataFrame:
+                    modes: DataFrame, masks: DataFrame, wanted: dict[str, list], limit: int = GROUP_LIMIT, *,
+                    mask_names: list[str] | None = None, inputs: list[int] | None = None, overflow: DataFrame | None = None,
+                    overflow_mask: tuple[str, float] = ("overflow", 0.0), aliases: dict[str, str] | None = None) -> DataFrame:
     """file -> reason it is dropped for, NULL if kept.
 
     Closed time window on the file's close time, phases, modes by name range
-    (a file in no range is excluded), masks: the lowest rank that holds it."""
+    (a file in no range is excluded), masks: the lowest rank that holds it.
+    With ``mask_names`` the mandatory masks and the named ones hold, as far as
+    they concern ``inputs``, overflow among them (``first_mask``)."""
     out = rj.name_ranges(files, file, modes, "file_first", "file_last", "number", "mode", limit=limit)
-    out = rj.first_interval(out, [file], closed, masks, "start", "stop", "rank", "mask")
+    if mask_names is None:
+        out = rj.first_interval(out, [file], closed, masks, "start", "stop", "rank", "mask")
+    else:
+        out = first_mask(out, file, closed, masks, mask_names, inputs, overflow, overflow_mask, aliases)
     reason = (F.when(~F.col(closed).between(start, stop), "time").when(~F.col(phase).isin(*phases), "phase")
               .when(F.col("mode") == "", "unmapped").when(~mode_filter(wanted), "mode")
               .when(F.col("mask").isNotNull(), F.concat(F.lit("mask: "), F.col("mask"))))

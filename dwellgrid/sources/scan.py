@@ -148,7 +148,10 @@ def load_spectra(spectra: DataFrame, chosen: DataFrame, ids: list[str], key: str
 
     Default keys are those every selected file (first id column) has; more than
     ``MAX_KEYS`` of them are refused, since each becomes a column.
-    ``missing='raise'`` refuses rows that lack a key."""
+    ``missing='raise'`` refuses rows that lack a key. Where ``value`` is an
+    array, spectra of the selected rows and keys with differing numbers of
+    channels are refused before anything is built on them; NULL ones don't
+    count."""
     rows = spectra.join(chosen.select(*ids).distinct(), ids, "left_semi")
     if keys is None:
         files = rows.select(ids[0]).distinct().count()
@@ -158,6 +161,11 @@ def load_spectra(spectra: DataFrame, chosen: DataFrame, ids: list[str], key: str
         if len(keys) > MAX_KEYS:
             raise ValueError(f"more than {MAX_KEYS} keys would become columns")
     keys = list(dict.fromkeys(keys))
+    if isinstance(spectra.schema[value].dataType, T.ArrayType):
+        n = F.when(F.col(value).isNotNull(), F.size(value))
+        low, high = rows.where(F.col(key).isin(keys)).agg(F.min(n), F.max(n)).first()
+        if low != high:
+            raise ValueError(f"spectra have {low} to {high} channels")
     wide = rows.where(F.col(key).isin(keys)).groupBy(*ids).pivot(key, keys).agg(F.first(value))
     if missing == "raise":
         gap = F.array(*[F.col(f"`{k}`").isNull() for k in keys])

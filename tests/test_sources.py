@@ -72,3 +72,14 @@ def test_default_keys_are_those_of_every_file(spark):
     assert out.columns == ["file", "row", "a"]
     with pytest.raises(Exception, match="lacks a key"):
         scan.load_spectra(cube, cube.select("file", "row"), ["file", "row"], "key", "v", keys=["a", "b"], missing="raise").collect()
+
+
+def test_differing_channel_counts_are_refused(spark):
+    rows = [("f", 0, "a", [1.0, 2.0]), ("f", 0, "b", [1.0, 2.0, 3.0]), ("g", 0, "a", [3.0, 4.0]), ("g", 0, "b", None), ("h", 0, "a", [5.0])]
+    cube = spark.createDataFrame(rows, "file string, row int, key string, v array<double>")
+    ids = cube.select("file", "row")
+    with pytest.raises(ValueError, match="1 to 3 channels"):
+        scan.load_spectra(cube, ids, ["file", "row"], "key", "v", keys=["a", "b"])
+    kept = scan.load_spectra(cube, ids.where("file <> 'h'"), ["file", "row"], "key", "v", keys=["a"]).orderBy("file").collect()
+    assert [r.a for r in kept] == [[1.0, 2.0], [3.0, 4.0]]
+    assert scan.load_spectra(cube, ids.where("file = 'h'"), ["file", "row"], "key", "v").columns == ["file", "row", "a"]
