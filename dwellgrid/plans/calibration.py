@@ -21,6 +21,7 @@ from dwellgrid.operators.rangejoins import in_intervals
 class Limits:
     """Gaps and tolerances of the node tables, seconds and kelvin."""
 
+    # fixed values of the method
     max_cal_gap_s: float = 3600.0
     max_s11_gap_s: float = 7200.0
     s11_hold_s: float = 1800.0
