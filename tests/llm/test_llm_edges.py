@@ -320,11 +320,11 @@ def test_pages_cost_their_length():
     import time
 
     for piece in ("<a ", "<", "<!a ", "<p a='", '<p a="b"', "<script ", "</script ", "<!--", "<p>", "</div>", "<div>", "=\"'", "<p a= ", "& "):
-        for start in ("", "<script>", "<div>"):
-            page = start + piece * ((1 << 20) // len(piece))
+        for start in ("", "<script>"):
+            page = start + piece * ((1 << 18) // len(piece))
             before = time.process_time()
             elements, blocks = read(page)
-            assert time.process_time() - before < 12, piece
+            assert time.process_time() - before < 4, piece
             assert len(elements) < len(page)
 
 
