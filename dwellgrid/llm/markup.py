@@ -10,7 +10,6 @@ times, so a page costs what its length says.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 _OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
 # one attribute: the tag's end, or a name and perhaps a value

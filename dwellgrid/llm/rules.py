@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.llm.store import stored
-from dwellgrid.llm.text import VISIBLE, U, bounded_batches, chunks, hashed, only, row_sums, words
+from dwellgrid.llm.text import VISIBLE, bounded_batches, chunks, hashed, only, row_sums, words
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["symbol_share", "dup_line_share", "repeat_share", "mean_word", "short_word"]
