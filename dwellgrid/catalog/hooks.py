@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dwellgrid.catalog.aggregates import rounded
 from dwellgrid.catalog.registry import query
 from dwellgrid.catalog.scan import _folder
-from dwellgrid.catalog.views import CELLS, SPECTRA, cells, spectra, table
+from dwellgrid.catalog.views import CELLS, cells, spectra, table
 from dwellgrid.operators import aggregates as ag
 from dwellgrid.operators import folds, grids
 from dwellgrid.sources import scanner

@@ -1,7 +1,6 @@
 """Operators without SQL against plain numpy on small fixtures."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from dwellgrid.operators import basis, fits
