@@ -153,7 +153,7 @@ SELECT event_id, round(rate,6) AS rate, CASE WHEN abs(rate)<0.5 THEN 'steady' WH
 
 @query("classify_rate", _RATE.format(cte=SAMPLES))
 def classify_rate(spark, folder):
-    out = op.classify_rate(samples(spark, folder), ["state"], "t", "power", 0.5)
+    out = op.classify_rate(samples(spark, folder), ["state"], "t", "power", 0.5, ties=["event_id"])
     return out.select("event_id", r6("rate").alias("rate"), "kind")
 
 

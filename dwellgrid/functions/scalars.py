@@ -32,6 +32,11 @@ def safe_divide(a: Column, b: Column, eps: float = EPS) -> Column:
     return F.when(F.abs(b) > eps, F.try_divide(a, b)).when(b.isNotNull(), F.lit(INF))
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """a / b of doubles as floating point has it: over zero infinite, 0/0 NaN; NULL only for NULL."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def radiometer_noise(x: Column, dt: Column, df: Column, cross: bool = False) -> Column:
     n = F.try_divide(F.abs(x), F.sqrt(dt * df))
     return n / math.sqrt(2) if cross else n

@@ -204,3 +204,12 @@ def test_masks_by_kind_input_and_name(spark):
     assert {r["file"]: r["mask"] for r in got} == {"a": "always", "b": "scoped", "c": None, "d": None}
     with pytest.raises(KeyError, match="v9"):
         bundle(files, {"flags@v9": masks.selectExpr("mask AS file", "'v1' AS version")}, ["file"])
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 2])
+def test_rate_of_tied_times_is_infinite_by_the_tie_order(spark, limit):
+    df = spark.createDataFrame([(0, 0.0, 1.0), (1, 60.0, 2.0), (2, 60.0, 5.0), (3, 60.0, 5.0), (4, 120.0, 4.0), (5, 120.0, 1.0)], "i int, t double, v double")
+    out = ro.classify_rate(df, [], "t", "v", 0.5, limit, ties=["i"])
+    inf = float("inf")
+    assert [str(x) for x in col(out, "rate")] == [str(x) for x in (1.0, inf, float("nan"), float("nan"), -inf, -inf)]
+    assert col(out, "kind") == ["heating", "heating", "heating", "heating", "cooling", "cooling"]
