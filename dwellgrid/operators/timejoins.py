@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwellgrid.functions.scalars import ieee_divide
 from dwellgrid.operators.ordered import GROUP_LIMIT, Size, attach, framed, numbered, running
 from dwellgrid.operators.quantiles import quantiles
 
@@ -234,16 +235,17 @@ def across_gap(nodes: DataFrame, time: str, value: str, tolerance_s: float, limi
     """Change across the longest gap, and over equal spans before it.
 
     One row: gap edges, change across the gap, count and median of the changes
-    between nodes the same span apart (to within the tolerance)."""
+    between nodes the same span apart (to within the tolerance).  From a node of
+    zero the change is infinite (NaN to another zero), and counts."""
     led = running(nodes.select(time, value), [], [time], lead={"_t1": F.col(time), "_v1": F.col(value)}, limit=limit)
     gap = led.where("_t1 IS NOT NULL").agg(F.max_by(
-        F.struct(F.col(time).alias("before"), F.col("_t1").alias("after"), (F.try_divide(F.col("_v1"), F.col(value)) - 1).alias("r")),
+        F.struct(F.col(time).alias("before"), F.col("_t1").alias("after"), (ieee_divide(F.col("_v1"), F.col(value)) - 1).alias("r")),
         F.struct(F.col("_t1") - F.col(time), -F.col(time))).alias("g")).select(
         "g.before", "g.after", F.abs("g.r").alias("change"))
     early = attach(nodes.select(F.col(time).alias("t"), F.col(value).alias("v")), gap, []).where("t <= before")
     early = early.withColumn("_target", F.col("t") + F.col("after") - F.col("before"))
     mate = nearest(early, "_target", nodes.select(F.col(time).alias("nt"), F.col(value).alias("nv")), "nt", ["nv"],
                    tolerance_s=tolerance_s, strict=True, prefix="m_", limit=limit)
-    pairs = mate.where("m_nv IS NOT NULL AND _target - m_dt <= before").withColumn("c", F.abs(F.try_divide(F.col("m_nv"), F.col("v")) - 1))
+    pairs = mate.where("m_nv IS NOT NULL AND _target - m_dt <= before").withColumn("c", F.abs(ieee_divide(F.col("m_nv"), F.col("v")) - 1))
     other = quantiles(pairs, [], F.col("c"), {"median_elsewhere": 0.5}, limit=limit).withColumnRenamed("n", "n_elsewhere")
     return attach(gap, other, [])

@@ -213,3 +213,11 @@ def test_rate_of_tied_times_is_infinite_by_the_tie_order(spark, limit):
     inf = float("inf")
     assert [str(x) for x in col(out, "rate")] == [str(x) for x in (1.0, inf, float("nan"), float("nan"), -inf, -inf)]
     assert col(out, "kind") == ["heating", "heating", "heating", "heating", "cooling", "cooling"]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 2])
+def test_change_from_a_zero_node_is_infinite_and_counts(spark, limit):
+    n = spark.createDataFrame([(0.0, 0.0), (10.0, 2.0), (20.0, 3.0), (30.0, 0.0), (40.0, 0.0), (50.0, 5.0), (70.0, 4.0)], "t double, v double")
+    (r,) = tj.across_gap(n, "t", "v", 5.0, limit).collect()
+    # 0 to 3, 2 to 0, 3 to 0, 0 to 5: infinite, 1, 1, infinite
+    assert (r.before, r.after, round(r.change, 9), r.n_elsewhere) == (50.0, 70.0, 0.2, 4) and r.median_elsewhere == float("inf")
