@@ -45,7 +45,8 @@ def filter_funnel(spark, folder):
 @query("select_span", f"""WITH {SAMPLES} SELECT event_id FROM ev WHERE t>=1704412800 AND t<1705276800
  AND file>='corr_20240106' AND file<='corr_20240112_235959Z.h5'""")
 def select_span(spark, folder):
-    return op.select_rows(_index(spark, folder), time=(1704412800.0, 1705276800.0),
+    span = (1704412800.0, 1705276800.0)
+    return op.select_rows(samples(spark, folder, window=span), time=span, time_column="t",
                           files=("corr_20240106", "corr_20240112_235959Z.h5")).select("event_id")
 
 

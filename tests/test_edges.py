@@ -221,3 +221,12 @@ def test_change_from_a_zero_node_is_infinite_and_counts(spark, limit):
     (r,) = tj.across_gap(n, "t", "v", 5.0, limit).collect()
     # 0 to 3, 2 to 0, 3 to 0, 0 to 5: infinite, 1, 1, infinite
     assert (r.before, r.after, round(r.change, 9), r.n_elsewhere) == (50.0, 70.0, 0.2, 4) and r.median_elsewhere == float("inf")
+
+
+def test_span_keeps_every_value(spark, tmp_path):
+    from dwellgrid.catalog.filters import select_span
+
+    rows = [(i, f"2024-01-{6 + i:02d} 12:00:00", 1, "click", v, "{}") for i, v in enumerate([0.0, 0.5, 0.5, 7.0, -1.0])] + [(9, "2024-01-20 00:00:00", 1, "click", 0.5, "{}")]
+    e = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert col(select_span(spark, str(tmp_path)), "event_id", "event_id") == [0, 1, 2, 3, 4]
