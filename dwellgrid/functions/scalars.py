@@ -54,9 +54,10 @@ def residual_z(data: Column, model: Column, dt: Column, df: Column) -> Column:
 
 
 def thermistor_k(logged_ohm: Column, pullup_ohm: float, a: float, b: float, c: float) -> Column:
-    """Steinhart-Hart temperature of a resistance logged for another pull-up."""
-    lr = F.ln(logged_ohm * (pullup_ohm / PULLUP_OHM))
-    return 1 / (a + b * lr + c * lr * lr * lr)
+    """Steinhart-Hart temperature of a resistance logged for another pull-up; its limit, 0 K, for no resistance."""
+    ohm = logged_ohm * (pullup_ohm / PULLUP_OHM)
+    lr = F.when(ohm == 0, -INF).otherwise(F.ln(ohm))
+    return ieee_divide(F.lit(1.0), a + b * lr + c * lr * lr * lr)
 
 
 def three_state(p_ant: Column, p_noise: Column, p_load: Column, t_load: Column, t_ns: Column | float) -> Column:

@@ -230,3 +230,11 @@ def test_span_keeps_every_value(spark, tmp_path):
     e = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
     e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     assert col(select_span(spark, str(tmp_path)), "event_id", "event_id") == [0, 1, 2, 3, 4]
+
+
+def test_no_resistance_is_zero_kelvin(spark):
+    from dwellgrid.functions.scalars import thermistor_k
+
+    df = spark.createDataFrame([(0, 0.0), (1, 10_000.0), (2, None), (3, -1.0)], "i int, r double")
+    k = col(df.select("i", thermistor_k(F.col("r"), 10_000.0, 0.001, 0.0002, 1e-7).alias("k")), "k")
+    assert k[0] == 0.0 and 250 < k[1] < 400 and k[2:] == [None, None]
