@@ -16,7 +16,8 @@ INF = float("inf")
 
 
 def to_db(x: Column) -> Column:
-    return 10 * F.log10(x)
+    """10 log10 x; -inf for 0, NULL below."""
+    return 10 * F.when(x == 0, -INF).otherwise(F.log10(x))
 
 
 def from_db(x: Column) -> Column:

@@ -238,3 +238,10 @@ def test_no_resistance_is_zero_kelvin(spark):
     df = spark.createDataFrame([(0, 0.0), (1, 10_000.0), (2, None), (3, -1.0)], "i int, r double")
     k = col(df.select("i", thermistor_k(F.col("r"), 10_000.0, 0.001, 0.0002, 1e-7).alias("k")), "k")
     assert k[0] == 0.0 and 250 < k[1] < 400 and k[2:] == [None, None]
+
+
+def test_zero_in_decibels_is_minus_infinity(spark):
+    from dwellgrid.functions.scalars import to_db
+
+    df = spark.createDataFrame([(0, 0.0), (1, 100.0), (2, None), (3, -1.0)], "i int, x double")
+    assert col(df.select("i", to_db(F.col("x")).alias("db")), "db") == [-float("inf"), 20.0, None, None]
