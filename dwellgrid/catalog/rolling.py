@@ -154,7 +154,8 @@ SELECT event_id, round(rate,6) AS rate, CASE WHEN abs(rate)<0.5 THEN 'steady' WH
 @query("classify_rate", _RATE.format(cte=SAMPLES))
 def classify_rate(spark, folder):
     out = op.classify_rate(samples(spark, folder), ["state"], "t", "power", 0.5, ties=["event_id"])
-    return out.select("event_id", r6("rate").alias("rate"), "kind")
+    # as SQL rounds: rates between close times have no more than six decimals
+    return out.select("event_id", (F.round(F.col("rate") * 1e6) / 1e6 + F.lit(0.0)).alias("rate"), "kind")
 
 
 @query("neighbour_outliers", f"""WITH {CELLS}, n AS (SELECT row_no, chan, p, label, list_filter([CASE WHEN lag(label,2) OVER w=label THEN lag(p,2) OVER w END, CASE WHEN lag(label) OVER w=label THEN lag(p) OVER w END,
