@@ -7,7 +7,8 @@ the largest group first (one aggregation over the key columns):
 
 * up to ``GROUP_LIMIT`` rows it is a plain window;
 * beyond, the rows are range-partitioned by (keys, order), so that a group is
-  spread over many slices of even size, the window runs inside each slice, and
+  spread over many slices of even size (at most the limit or ``SLICE_ROWS`` rows,
+  whichever is more), the window runs inside each slice, and
   what earlier or later slices contribute comes from one row per slice.
 
 Only the first and the last key of a slice can continue in another slice, so
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from dwellgrid.session import cut
 
 GROUP_LIMIT = 1_000_000
+SLICE_ROWS = 100_000  # no slice is cut smaller for a low limit: each is a task
 
 Exprs = dict[str, Column]
 
@@ -71,7 +73,7 @@ def _backwards(order: list[str]) -> list[Column]:
 
 def _in_slices(df: DataFrame, keys: list[str], order: list[str], size: Size, limit: int) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(parts, 2, -(-size.total // limit))
+    n = max(parts, 2, -(-size.total // max(limit, SLICE_ROWS)))
     sliced = df.repartitionByRange(n, *keys, *order)
     return cut(sliced.withColumn("_slice", F.spark_partition_id()))
 

@@ -245,3 +245,11 @@ def test_zero_in_decibels_is_minus_infinity(spark):
 
     df = spark.createDataFrame([(0, 0.0), (1, 100.0), (2, None), (3, -1.0)], "i int, x double")
     assert col(df.select("i", to_db(F.col("x")).alias("db")), "db") == [-float("inf"), 20.0, None, None]
+
+
+def test_slices_are_no_smaller_for_a_low_limit(spark):
+    from dwellgrid.operators.ordered import _in_slices, measure
+
+    df = spark.range(3000).select(F.col("id").alias("i"), F.col("id").cast("double").alias("t"))
+    rows = _in_slices(df, [], ["t"], measure(df, []), 10)
+    assert 1 < rows.select("_slice").distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions")) and rows.rdd.getNumPartitions() < 300
