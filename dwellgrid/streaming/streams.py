@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -80,80 +82,104 @@ def route_late(stream: DataFrame, ts: str, path: str, marks: str, checkpoint: st
             .trigger(availableNow=True).start())
 
 
-_PENDING = ["us", "id", "state", "value"]
+_WAITING = ["none", "key", "us", "id", "state", "value"]
+_BY = ["none", "key"]
 
 
 class BlockGate(StatefulProcessor):
-    """Number the switch blocks of one key in order of event time, with the last node.
+    """Number the switch blocks of the keys of one shard in order of event time, with the last node.
 
-    Rows wait in the state until the watermark has passed them; a timer at the
-    earliest waiting row then releases all that are due at once, in order, and
-    is set again for the next. So a key holds the rows of one watermark delay,
-    besides one small row: last time and state, block number, and time and
-    value of the last row in the node state."""
+    Rows wait in the state, packed as Arrow tables, until the watermark has passed
+    them; a timer at the earliest waiting row then releases all that are due at
+    once, in order, and is set again for the next. So a shard holds the rows of
+    one watermark delay, besides one small row per key: last time and state,
+    block number, and time and value of the last row in the node state. Calls to
+    the state go by shard, not by key or row."""
 
     def __init__(self, gap_s: float, node_state: str):
         self.gap_us, self.node_state = round(gap_s * 1e6), node_state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "us bigint, id bigint, state string, value double")
-        self.last = handle.getValueState("last", "us bigint, state string, block bigint, node_us bigint, node double")
+        self.pending = handle.getListState("pending", "rows binary")
+        self.last = handle.getValueState("last", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            self.pending.appendList(_plain(batch))
-            self.handle.registerTimer(int(batch.us.min() // 1000))
+            self.pending.appendValue((_packed(batch[_WAITING]),))
+            first = batch.us.min() if first is None else min(first, batch.us.min())
+        if first is not None:
+            self.handle.registerTimer(int(first // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.pending.get()), columns=_PENDING).astype({"us": "int64", "id": "int64"})
+        chunks = [_unpacked(c[0]) for c in self.pending.get()]
+        if not chunks:
+            return
+        held = pd.concat(chunks, ignore_index=True)
         due = held.us // 1000 < timerValues.getCurrentWatermarkInMs()
         if not due.any():
             return
         wait = held[~due]
         if len(wait):
-            self.pending.put(_plain(wait))
+            self.pending.put([(_packed(wait),)])
             self.handle.registerTimer(int(wait.us.min() // 1000))
         else:
             self.pending.clear()
-        yield self._numbered(key, held[due].sort_values(["us", "id"], ignore_index=True))
-
-    def _numbered(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        us, state, block, node_us, node = self.last.get() if self.last.exists() else (None, None, -1, None, None)
-        before_us, before = rows.us.shift(), rows.state.shift()
-        new = (rows.state != before) | (rows.us - before_us > self.gap_us)
-        new[0] = us is None or rows.state[0] != state or rows.us[0] - us > self.gap_us
-        blocks = block + new.cumsum()
+        yield self._numbered(held[due].sort_values([*_BY, "us", "id"], ignore_index=True))
+
+    def _numbered(self, rows: pd.DataFrame) -> pd.DataFrame:
+        known = _unpacked(self.last.get()[0]) if self.last.exists() else None
+        if known is not None:
+            rows = rows.merge(known, on=_BY, how="left")
+        else:
+            rows = rows.assign(last_us=np.nan, last_state=None, last_block=np.nan, node_us=np.nan, node=np.nan)
+        first = ~rows.duplicated(_BY)
+        before_us, before = rows.us.shift().where(~first, rows.last_us), rows.state.shift().where(~first, rows.last_state)
+        new = (rows.state != before) | (rows.us - before_us > self.gap_us) | (first & rows.last_block.isna())
         at = rows.state == self.node_state
-        nodes = rows.value.where(at).ffill().fillna(node) if node is not None else rows.value.where(at).ffill()
-        times = rows.us.where(at).astype("Int64").ffill()
-        times = times.fillna(node_us) if node_us is not None else times
-        out = pd.DataFrame({"id": rows.id, "us": rows.us, "block": blocks.astype("int64"), "node_us": times, "node": nodes})
-        end = out.iloc[-1]
-        self.last.update((int(end.us), rows.state.iloc[-1], int(end.block), None if pd.isna(end.node_us) else int(end.node_us), None if pd.isna(end.node) else float(end.node)))
-        out.insert(0, "key", key[0])
-        return out
+        seen = rows.assign(new=new.astype("int64"), at_us=rows.us.where(at), at_value=rows.value.where(at)).groupby(_BY, sort=False)
+        times, nodes = seen.at_us.ffill().fillna(rows.node_us), seen.at_value.ffill().fillna(rows.node)
+        blocks = rows.last_block.fillna(-1).astype("int64") + seen.new.cumsum()
+        ends = pd.DataFrame({"none": rows.none, "key": rows.key, "last_us": rows.us, "last_state": rows.state, "last_block": blocks,
+                             "node_us": times.astype("Int64"), "node": nodes}).drop_duplicates(_BY, keep="last")
+        if known is not None:
+            ends = pd.concat([known, ends], ignore_index=True).drop_duplicates(_BY, keep="last")
+        self.last.update((_packed(ends),))
+        return pd.DataFrame({"key": rows.key.astype("Int64").mask(rows.none), "id": rows.id, "us": rows.us, "block": blocks,
+                             "node_us": times.astype("Int64"), "node": nodes})
 
     def close(self) -> None:
         pass
 
 
-def _plain(rows: pd.DataFrame) -> list[tuple]:
-    return [(int(u), int(i), s, None if pd.isna(v) else float(v)) for u, i, s, v in zip(rows.us, rows.id, rows.state, rows.value)]
+def _packed(rows: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
 
 
-def gate(stream: DataFrame, ts: str, key: str, id: str, state: str, value: str, gap_s: float, node_state: str, late: str = BACKLOG) -> DataFrame:
+def gate(stream: DataFrame, ts: str, key: str, id: str, state: str, value: str, gap_s: float, node_state: str, late: str = BACKLOG,
+         shards: int = 256) -> DataFrame:
     """id, key, time, block and last node of every row, once the watermark has passed it.
 
     A block ends where the state changes or more than ``gap_s`` pass without a
     row; rows of one time follow by id. Rows may come in any order within
     ``late``; later ones are dropped by the watermark. Rows after the last
     watermark stay open. ``key`` and ``id`` are integers; a NULL value is no
-    node."""
-    rows = stream.withWatermark(ts, late).select(F.col(key).cast("bigint").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"),
-                                                 F.col(id).cast("bigint").alias("id"), F.col(state).alias("state"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").transformWithStateInPandas(
+    node. Keys are dealt over ``shards``, each with one state and one timer; a
+    checkpoint keeps its number of shards."""
+    k = F.col(key).cast("bigint")
+    rows = stream.withWatermark(ts, late).select(F.pmod(F.xxhash64(k), F.lit(shards)).alias("shard"), k.isNull().alias("none"), F.coalesce(k, F.lit(0)).alias("key"),
+                                                 F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"), F.col(id).cast("bigint").alias("id"),
+                                                 F.col(state).alias("state"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=BlockGate(gap_s, node_state),
         outputStructType="key bigint, id bigint, us bigint, block bigint, node_us bigint, node double",
         outputMode="Append", timeMode="EventTime")

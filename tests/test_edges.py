@@ -253,3 +253,67 @@ def test_slices_are_no_smaller_for_a_low_limit(spark):
     df = spark.range(3000).select(F.col("id").alias("i"), F.col("id").cast("double").alias("t"))
     rows = _in_slices(df, [], ["t"], measure(df, []), 10)
     assert 1 < rows.select("_slice").distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions")) and rows.rdd.getNumPartitions() < 300
+
+
+def test_gate_calls_its_state_by_shard_and_carries_every_key():
+    import numpy as np
+    import pandas as pd
+
+    from dwellgrid.streaming.streams import BlockGate
+
+    class State:
+        calls, held = 0, None
+
+        def __getattr__(self, name):
+            def call(*args):
+                State.calls += 1
+                if name == "exists":
+                    return self.held is not None
+                if name == "get":
+                    return iter(list(self.held or [])) if self.many else self.held
+                self.held = {"appendValue": lambda v: (self.held or []) + [v], "put": list, "update": lambda v: v}.get(name, lambda *_: None)(*args)
+            return call
+
+    class Handle:
+        timers = []
+
+        def getListState(self, *_):
+            s = State()
+            s.many = True
+            return s
+
+        def getValueState(self, *_):
+            s = State()
+            s.many = False
+            return s
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    rng = np.random.default_rng(3)
+    n, keys = 4000, 500
+    key = rng.integers(0, keys, n)
+    rows = pd.DataFrame({"none": key == 7, "key": np.where(key == 7, 0, key), "us": rng.integers(0, 4_000_000, n) * 1000 + np.arange(n), "id": np.arange(n),
+                         "state": rng.choice(["a", "b", "n"], n), "value": np.where(rng.random(n) < 0.1, np.nan, rng.random(n))})
+    gate = BlockGate(300.0, "n")
+    gate.init(Handle())
+    out, done = [], 0
+    for mark in (1000, 2500, 5000):  # seconds; rows up to a second ahead come with each
+        come = rows[(rows.us >= done) & (rows.us < (mark + 1) * 1e6)].sample(frac=1, random_state=1)
+        done = (mark + 1) * 1_000_000
+        list(gate.handleInputRows(None, iter([come[:50], come[50:]]), None))
+        for _ in range(2):
+            out += list(gate.handleExpiredTimer(None, At(mark * 1000), None))
+    out = pd.concat(out).set_index("id").sort_index()
+    assert len(out) == n and State.calls < 60 and out.key.isna().sum() == (key == 7).sum()
+    for _, g in rows.sort_values(["us", "id"]).groupby(["none", "key"]):
+        block, node, last = -1, None, None
+        for r in g.itertuples():
+            block += last is None or r.state != last.state or r.us - last.us > 300e6
+            node = r.value if r.state == "n" and r.value == r.value else node
+            last, mine = r, out.loc[r.id]
+            assert mine.block == block and (mine.node == node if node is not None else pd.isna(mine.node))
