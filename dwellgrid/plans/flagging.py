@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import bits
@@ -192,14 +192,19 @@ def group_triggers(cells: DataFrame, keys: list[str], row: str, chan: str, freq:
     work = work.withColumns({"_tooth": F.coalesce(F.col("_curv") / F.col("_cs"), F.lit(0.0)), "_phase": F.pmod(F.col(chan), F.lit(cuts.comb_spacing))})
     clip = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     hit = F.col("_ev") & (F.col("_tooth") > cuts.comb_tooth)
-    combs = work.groupBy(*keys, row, "_phase").agg(
-        F.count_if("_ev").alias("_n"), F.sum(F.when(F.col("_ev"), clip(F.col("_tooth"), -3.0, 8.0)).otherwise(0.0)).alias("_sum"),
-        F.count_if(hit).alias("_hits"), *[F.count_if(hit & (f >= lo) & (f < hi)).alias(f"_g{i}") for i, (lo, hi) in enumerate(cuts.regions)])
+    # a phase of a row is a share of one spectrum: sums beside the cells, no join back
+    phase = Window.partitionBy(*keys, row, "_phase")
+    number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(phase)
+    work = work.withColumns({
+        "_n": number(F.col("_ev")), "_sum": F.sum(F.when(F.col("_ev"), clip(F.col("_tooth"), -3.0, 8.0)).otherwise(0.0)).over(phase), "_hits": number(hit),
+        **{f"_g{i}": number(hit & (f >= lo) & (f < hi)) for i, (lo, hi) in enumerate(cuts.regions)}})
     on = ((F.col("_sum") / F.sqrt(F.greatest("_n", F.lit(1))) > cuts.comb) & (F.col("_hits") >= F.greatest(F.lit(4.0), cuts.comb_fraction * F.col("_n")))
           & (F.col("_n") >= cuts.comb_min_teeth))
     for i in range(len(cuts.regions)):
         on = on & (F.col(f"_g{i}") >= 2)
-    work = attach(work, combs.select(*keys, row, "_phase", on.alias("_comb")), [*keys, row, "_phase"])
+    reasons = ["positive_auto_excess", "negative_or_model_failure", "cross_change"]
+    used = dict.fromkeys([*cells.columns, *reasons, "_std"])
+    work = cut(work.select(*used, on.alias("_comb")))  # read for the bands and for the result
     # a cell belongs to its band and to one tile of it
     low = cells.groupBy(chan).agg(F.min(freq).alias("_f"))
     groups = None
@@ -222,7 +227,7 @@ def group_triggers(cells: DataFrame, keys: list[str], row: str, chan: str, freq:
     lit = (((F.col("_raw") - F.col("_gc")) / F.col("_gs") > cuts.group) & (F.col("_high") / F.greatest("_n", F.lit(1)) >= cuts.group_fraction) & (F.col("_n") >= 3))
     hits = per.where(lit).select(*keys, row, "_group").join(groups, "_group").select(*keys, row, chan).distinct().withColumn("_band", F.lit(True))
     work = attach(work, hits, [*keys, row, chan])
-    return work.select(*cells.columns, "positive_auto_excess", "negative_or_model_failure", "cross_change",
+    return work.select(*cells.columns, *reasons,
                        (ok & F.col("_comb")).alias("comb_group_trigger"), (ok & F.coalesce("_band", F.lit(False))).alias("band_group_trigger"))
 
 

@@ -304,3 +304,10 @@ def test_in_intervals_left_is_one_join_at_every_size(spark):
     spans = spark.createDataFrame([(0.0, 0.0, "a"), (-1.0, 1e9, "b"), (2.5, 4.0, "c"), (9.0, 8.0, "d")], "lo double, hi double, n string")
     got = [sorted((r.t, r.n or "") for r in in_intervals(rows, "t", spans, "lo", "hi", "left", size).collect()) for size in (10_000, 0)]
     assert got[0] == got[1] == [(-5.0, ""), (0.0, "a"), (0.0, "b"), (3.0, "b"), (3.0, "b"), (3.0, "c"), (3.0, "c"), (900.0, "b"), (2e9, "")]
+
+
+def test_triggers_window_their_cells_once(spark):
+    df = _noisy(spark, [0.01]).withColumn("z", F.col("p") / 1e6 - 1)
+    out = flagging.group_triggers(df, ["input", "segment"], "i", "c", "f", "z", "x", "sky", "sky")
+    # what is left reads cells with their residuals from the checkpoint; only the bands' scores are windowed
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
