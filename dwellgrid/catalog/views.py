@@ -27,22 +27,25 @@ def _state() -> F.Column:
     return out
 
 
-def samples(spark: SparkSession, folder: str, window: tuple[float, float] | None = None, states: list[str] | None = None) -> DataFrame:
+def samples(spark: SparkSession, folder: str, window: tuple[float, float] | None = None, states: list[str] | None = None,
+            placed: bool = False) -> DataFrame:
     """Integrations without the row number (no shuffle).
 
     A half-open time window and a list of states are also stated on the stored
-    columns, where the Parquet reader can use them."""
+    columns, where the Parquet reader can use them.  ``placed`` adds where a row
+    is stored: ``source``, the file it is read from, and ``place``, its number there."""
     ev = table(spark, folder, "events")
     if window is not None:
         naive = [F.lit(datetime.fromtimestamp(t, timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz") for t in window]
         ev = ev.where((F.col("ts") >= naive[0]) & (F.col("ts") < naive[1]))
     if states is not None:
         ev = ev.where(F.col("event_type").isin([e for e, s in STATES.items() if s in states]))
+    place = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.row_index").alias("place")] if placed else []
     return ev.select(
         "event_id", unix_seconds(F.col("ts")).alias("t"),
         F.concat(F.lit("corr_"), F.date_format("ts", "yyyyMMdd"), F.lit("_235959Z.h5")).alias("file"),
         (F.col("user_id") % 4).cast("int").alias("input"), "user_id", _state().alias("state"),
-        F.col("value").alias("power"), F.col("props").alias("meta"),
+        F.col("value").alias("power"), F.col("props").alias("meta"), *place,
     )
 
 

@@ -317,3 +317,20 @@ def test_gate_calls_its_state_by_shard_and_carries_every_key():
             node = r.value if r.state == "n" and r.value == r.value else node
             last, mine = r, out.loc[r.id]
             assert mine.block == block and (mine.node == node if node is not None else pd.isna(mine.node))
+
+
+def test_rate_takes_tied_rows_as_they_are_stored(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from __spark_entry__ import oracle_sql, queries
+    from compare import compare
+
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta([0, 60, 60, 60, 120], unit="s").astype("timedelta64[us]")
+    pd.DataFrame({"event_id": [5, 9, 2, 7, 1], "ts": at, "user_id": 1, "event_type": "click", "value": [1.0, 2.0, 5.0, 3.0, 4.0], "props": "{}"}).to_parquet(tmp_path / "events.parquet")
+    got = queries()["classify_rate"](spark, str(tmp_path))
+    assert [r["kind"] for r in got.orderBy("event_id").collect()] == ["heating", "heating", "heating", "cooling", "heating"]
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert compare(got, con, oracle_sql()["classify_rate"]) is None
