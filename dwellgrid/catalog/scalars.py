@@ -59,7 +59,7 @@ def complex_interpolation(spark, folder):
 @query("unit_conversions", """SELECT event_id, round(10*log10(value),9) AS db, round(pow(10,value/1000),9) AS lin, round(value+273.15,6) AS kelvin FROM events""")
 def unit_conversions(spark, folder):
     v = F.col("value")
-    return table(spark, folder, "events").select("event_id", r6(S.to_db(v), 9).alias("db"), r6(S.from_db(v / 100), 9).alias("lin"), r6(S.to_kelvin(v)).alias("kelvin"))
+    return table(spark, folder, "events").select("event_id", r6(S.to_db(v), 9).alias("db"), r6(S.from_db(v, 1000.0), 9).alias("lin"), r6(S.to_kelvin(v)).alias("kelvin"))
 
 
 @query("safe_divide", f"""WITH {CELLS} SELECT row_no, chan, CASE WHEN chan%5=0 THEN 'inf' ELSE CAST(x/(chan%5)>0 AS VARCHAR) END AS q, round(CASE WHEN chan%5<>0 THEN x/(chan%5) END,9) AS v FROM cells""")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dwellgrid.functions.clock import unix_seconds
 from dwellgrid.operators.ordered import numbered
 
+LARGE = 1.7976931348623157e308  # fixed value: the largest double
 STATES = {"click": "RFANT", "view": "RFAMB", "purchase": "RFNON", "signup": "VNAANT", "error": "UNKNOWN"}
 
 
@@ -111,6 +112,8 @@ SHIPPED = """shipped AS (SELECT l_returnflag AS flag, epoch_us(l_shipdate)/1e6 +
 
 
 def r6(c, digits: int = 6):
-    """Round for comparison; adding 0.0 turns -0.0 into 0.0."""
+    """Round for comparison as SQL rounds: the scaled number, scaled back, or the number
+    itself where it is too large to scale; adding 0.0 turns -0.0 into 0.0."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
+    scale = float(10**digits)
+    return F.when(F.abs(c) < LARGE / scale, F.round(c * scale) / scale).otherwise(c) + F.lit(0.0)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from dwellgrid.functions.complexnum import abs2, mismatch
 
@@ -15,13 +17,34 @@ PULLUP_OHM = 10_000.0  # fixed value: pull-up the logged resistance assumes
 INF = float("inf")
 
 
+@F.arrow_udf(DoubleType())
+def _log10(x: pa.Array) -> pa.Array:
+    """Logarithm of positive numbers by the C library, as SQL engines and numpy take it:
+    Java's differs in the last bit, on which a rounded digit can hang."""
+    return pa.array([None if v is None else math.log10(v) for v in x.to_pylist()], pa.float64())
+
+
+@F.arrow_udf(DoubleType())
+def _power_of_10(x: pa.Array) -> pa.Array:
+    """10 to the power of x by the C library."""
+    return pa.array([None if v is None else _exp10(v) for v in x.to_pylist()], pa.float64())
+
+
+def _exp10(x: float) -> float:
+    try:
+        return math.pow(10.0, x)
+    except OverflowError:
+        return INF
+
+
 def to_db(x: Column) -> Column:
     """10 log10 x; -inf for 0, NULL below."""
-    return 10 * F.when(x == 0, -INF).otherwise(F.log10(x))
+    return 10 * F.when(x == 0, -INF).otherwise(_log10(F.when(x > 0, x)))
 
 
-def from_db(x: Column) -> Column:
-    return F.pow(F.lit(10.0), x / 10)
+def from_db(x: Column, decade: float = 10.0) -> Column:
+    """10^(x / decade); ``decade`` is how many units of x make a factor of ten."""
+    return _power_of_10(x / decade)
 
 
 def to_kelvin(celsius: Column) -> Column:

@@ -334,3 +334,26 @@ def test_rate_takes_tied_rows_as_they_are_stored(spark, tmp_path):
     con.execute("SET threads=1")
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert compare(got, con, oracle_sql()["classify_rate"]) is None
+
+
+def test_conversions_round_as_their_sql_at_odd_values(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from __spark_entry__ import oracle_sql, queries
+    from compare import compare
+
+    # rounded digits between two, values whose last bit is not Java's, too large to scale, none
+    values = [30.1679825, 6.3659515, 47.69966544999999, 1216.09, 2393.52, 2961.3, 9e5, 1e300, 1e-320, 0.0, float("inf"), None]
+    pd.DataFrame({"event_id": range(len(values)), "value": values}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert compare(queries()["unit_conversions"](spark, str(tmp_path)), con, oracle_sql()["unit_conversions"]) is None
+
+
+def test_rounding_is_that_of_sql(spark):
+    from dwellgrid.catalog.views import r6
+
+    values = [303.31798249999997, -303.31798249999997, 2.5e-7, 5e-7, -4e-7, 123456789012.3456789, 1e305, float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    assert col(df.select("i", r6("x").alias("x")), "x") == [303.317983, -303.317983, 0.0, 1e-6, 0.0, 123456789012.34567, 1e305, float("inf"), None]
